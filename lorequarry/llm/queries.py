@@ -5,14 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_rules
-from .common import documents
+from . import bpe, language_id, quality_rules, sharding, token_counts, token_store
+from .common import documents, shared_dir
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), "doc_id")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), "doc_id")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.write_shards(documents(spark, sf_dir).select("doc_id", "text"), 16, shared_dir(spark, "shards"))
+    return shards.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_store.write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), shared_dir(spark, "tokens"))
+    return token_store.read_store(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
@@ -28,5 +61,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op7_token_store, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
