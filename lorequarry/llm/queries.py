@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, quality_rules, sharding, token_counts, token_store
+from . import bpe, decontaminate, jaccard_join, language_id, quality_rules, sharding, token_counts, token_store
 from .common import documents, shared_dir
 
 
@@ -41,6 +41,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), shared_dir(spark, "tokens"))
     return token_store.read_store(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -68,5 +72,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op7_token_store, op9_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op5_jaccard_join, op7_token_store, op9_decontamination, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE_SQL}
