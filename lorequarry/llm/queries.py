@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language_id, quality_rules, sharding, token_counts, token_store
+from . import bpe, decontaminate, jaccard_join, language_id, quality_rules, sharding, suffix_dedup, token_counts, token_store
 from .common import documents, shared_dir
 
 
@@ -45,6 +45,18 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", length=200, keep="none")
+    removed = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["e"] - s["b"]), F.lit(0).cast("bigint"))
+    return cut.select(
+        "doc_id",
+        (F.length("kept") + removed).cast("bigint").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_store.write_store(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), shared_dir(spark, "tokens"))
     return token_store.read_store(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -72,5 +84,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op5_jaccard_join, op7_token_store, op9_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op5_jaccard_join, op6_suffix_dedup, op7_token_store, op9_decontamination, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE_SQL}
