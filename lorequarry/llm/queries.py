@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language_id, quality_rules, sharding, suffix_dedup, token_counts, token_store
+from . import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, sharding, suffix_dedup, token_counts, token_store
 from .common import documents, shared_dir
 
 
@@ -70,6 +70,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, profiles, "doc_id", "held_out")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_duplicate_lines(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.hits(documents(spark, sf_dir), benchmark, "doc_id")
@@ -84,5 +89,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, rules).select(*columns)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op5_jaccard_join, op6_suffix_dedup, op7_token_store, op9_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op5_jaccard_join, op6_suffix_dedup, op7_token_store, op8_line_dedup, op9_decontamination, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE_SQL}

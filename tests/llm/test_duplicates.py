@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from lorequarry.llm import common, jaccard_join
+from lorequarry.llm import common, jaccard_join, line_dedup
 
 from . import fixtures
 
@@ -117,3 +117,80 @@ def test_connected_components(spark):
     got = common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r["id"]: r["component"] for r in got} == want and len(got) == len(want)
     assert common.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def brute_lines(data, percent=80):
+    """Remaining text of each row; rows are told apart by (doc_id, text)."""
+    places = []
+    for r in sorted({(r[0] is None, r[0] or 0, r[1]) for r in data if r[1]}):
+        places += [(*r, k, line_dedup.normal(x)) for k, x in enumerate(r[2].split("\n"))]
+    places = [p for p in places if len(p[4]) >= line_dedup.MIN_CHARS]
+    sets = [{p[4][k : k + 8] for k in range(len(p[4]) - 7)} for p in places]
+    root = list(range(len(places)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(places)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    gone = {p[:4] for k, p in enumerate(places) if find(k) != k}
+    out = []
+    for r in data:
+        if r[1] is None:
+            out.append((r[0], None))
+        else:
+            out.append((r[0], "\n".join(x for k, x in enumerate(r[1].split("\n")) if (r[0] is None, r[0] or 0, r[1], k) not in gone)))
+    return sorted(out, key=str)
+
+
+def line_families(seed):
+    rng = random.Random(seed)
+    lines = []
+    for _ in range(25):
+        w = fixtures.words(rng, rng.randint(8, 30))
+        for _ in range(rng.randint(1, 40 if rng.random() < 0.1 else 4)):
+            lines.append(" ".join(w) + rng.choice(["", ".", " "]))
+            if rng.random() < 0.6:
+                w = list(w)
+                w[rng.randrange(len(w))] = "zz"
+    rng.shuffle(lines)
+    return [(k, "\n".join(lines[5 * k : 5 * k + 5]), None, None, 0, None, None) for k in range(len(lines) // 5 + 1)]
+
+
+def test_lines_equal_brute_force(spark):
+    for data in (fixtures.rows(), line_families(1), line_families(2)):
+        got = line_dedup.remove_duplicate_lines(fixtures.table(spark, data), "doc_id").collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == brute_lines(data)
+    assert line_dedup.remove_duplicate_lines(fixtures.empty(spark), "doc_id").count() == 0
+
+
+def test_line_stage_keeps_columns(spark):
+    table = fixtures.table(spark)
+    kept = line_dedup.clean_documents(table)
+    assert kept.columns == table.columns and kept.dtypes == table.dtypes
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert {30, 31, 32}.isdisjoint(ids) and set(range(30)) <= ids and {37, 38, 39, 40, 41} <= ids
+    assert all(r["text"] is None or r["n_chars"] in (None, len(r["text"])) for r in kept.collect())
+
+
+def test_bucket_pairs_reach_everything():
+    rng = random.Random(4)
+    ids = list(range(60))
+    parity = {k: rng.randrange(5) for k in ids}
+    labels, refuted = list(ids), set()
+    for _ in range(200):
+        pairs = line_dedup.bucket_pairs(ids, labels, refuted, True)
+        if not pairs:
+            break
+        for a, b in pairs:
+            if parity[a] == parity[b]:
+                labels = [labels[a] if x == labels[b] else x for x in labels]
+            else:
+                refuted.add((a, b))
+    assert len(set(labels)) == len(set(parity.values()))
