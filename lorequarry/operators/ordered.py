@@ -103,7 +103,8 @@ def furniture(lines: DataFrame, document: str = "doc_id", order: str = "line_no"
     marked = marked.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     marked = marked.withColumn("_place", F.row_number().over(Window.partitionBy(document, "_run").orderBy(order)))
     spread = marked.where("location is not null and location <> ''").select(document, "_key", "location").distinct().groupBy(document, "_key").agg(F.count("*").alias("_places"))
-    marked = marked.join(spread.withColumnRenamed("_key", "_match"), [marked[document] == spread[document], T.structure_key(F.col("_shown")) == F.col("_match")], "left").drop(spread[document])
+    spread = spread.select(F.col(document).alias("_doc"), F.col("_key").alias("_match"), "_places")
+    marked = marked.join(spread, (F.col(document) == F.col("_doc")) & (T.structure_key(F.col("_shown")) == F.col("_match")), "left")
     repeated = (F.coalesce("location", F.lit("")) != "") & (F.col("_place") <= 2) & (F.length(T.structure_key(F.col("_shown"))) >= 3) & (F.coalesce("_places", F.lit(0)) >= 2)
     found = (F.col("_shown") == "") | F.col("_shown").rlike(X.PAGE_FURNITURE) | repeated
-    return marked.withColumn("furniture", found).drop("_shown", "_key", "_new", "_run", "_place", "_match", "_places")
+    return marked.withColumn("furniture", found).drop("_shown", "_key", "_new", "_run", "_place", "_doc", "_match", "_places")

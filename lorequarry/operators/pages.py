@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import fixed as X
 from ..functions import text as T
@@ -264,7 +265,7 @@ def tagged_lines(items: DataFrame, ops: DataFrame, codes: dict[str, int], annota
     return page_lines(flagged)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def red_pixel_ratio(pixels: pd.Series) -> pd.Series:
     """Share of red pixels in RGBA bytes."""
     import numpy as np

@@ -81,7 +81,11 @@ def sniff(files: DataFrame) -> DataFrame:
     conversations, objects, log (two or more JSON lines), plain, or empty.
     """
     body = T.clean(F.col("body"))
-    out = files.withColumn("body", body).withColumn("file_id", F.xxhash64("file_name", "body")).withColumn("json", F.try_parse_json("body"))
+    # in brackets, since the parser stops after a first value and would take JSON lines for one
+    boxed = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]")))
+    single = F.try_variant_get("_boxed", "$[1]", "variant").isNull()
+    out = files.withColumn("body", body).withColumn("file_id", F.xxhash64("file_name", "body")).withColumn("_boxed", boxed)
+    out = out.withColumn("json", F.when(single, F.try_variant_get("_boxed", "$[0]", "variant"))).drop("_boxed")
     lines = F.size(F.filter(F.split("body", "\n"), lambda x: x.rlike(r"^\s*\{") & F.try_parse_json(x).isNotNull()))
     talks = F.get_json_object("body", "$[0].mapping").isNotNull() | F.get_json_object("body", "$.conversations[0]").isNotNull() | (F.col("body").rlike(r"^\[") & F.col("body").rlike(r"\"mapping\"\s*:\s*\{"))
     kind = F.when(F.col("body") == "", "empty").when(F.col("json").isNotNull() & talks, "conversations").when(F.col("json").isNotNull(), "objects").when(lines >= 2, "log").otherwise("plain")
