@@ -165,11 +165,11 @@ def plain_pairs(files: DataFrame) -> DataFrame:
     return both.select(*_FILE, F.col("source_hint").alias("source"), "prompt", "response", F.col("now_ms").alias("occurredAt"), "title", F.lpad(F.col("n").cast("string"), 9, "0").alias("place"))
 
 
-def _item_columns(choices: Column, stem: Column, answer: Column, explanation: Column, kind: str, knowledge: Column) -> list[Column]:
+def _item_columns(choices: Column, stem: Column, answer: Column, explanation: Column, kind: Column, knowledge: Column) -> list[Column]:
     identity = F.concat_ws("|", "source", F.col("occurredAt").cast("string"), stem, answer)
     title = F.when(F.col("title") != "", F.col("title")).otherwise(T.shorten(stem))
     return [
-        F.concat(F.lit("history-"), H.hash_id(identity)).alias("id"), F.col("source").alias("source"), F.col("occurredAt").alias("occurredAt"), title.alias("title"), F.lit(kind).alias("kind"),
+        F.concat(F.lit("history-"), H.hash_id(identity)).alias("id"), F.col("source").alias("source"), F.col("occurredAt").alias("occurredAt"), title.alias("title"), kind.alias("kind"),
         stem.alias("stem"), choices.alias("choices"), answer.alias("answer"), explanation.alias("explanation"), knowledge.alias("knowledgePoint"), F.col("origin_label").alias("originLabel"),
     ]
 
@@ -201,13 +201,14 @@ def items_from_pairs(pairs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     p = split_pairs(pairs).withColumn("_c", T.choice_block(F.col("prompt")))
     p = p.withColumn("_a", T.resolve_answer(F.col("response"), F.col("_c.choices"))).withColumn("_hit", F.when(F.col("_a") != "", _same_choice(F.col("_c.choices"), F.col("_a"))))
-    keep = [*_FILE[:3], "place", "part"]
-    chosen = p.where((F.size("_c.choices") >= 2) & F.col("_hit").isNotNull()).withColumn("_e", T.clean_explanation(F.col("response"))).where("_e <> ''")
-    stem = F.when(F.col("_c.stem") != "", F.col("_c.stem")).otherwise(F.col("prompt"))
-    choices = chosen.select(*keep, *_item_columns(F.col("_c.choices"), stem, F.col("_hit"), F.col("_e"), "choice", F.col("_hit")))
-    rest = p.where(~((F.size("_c.choices") >= 2) & F.col("_hit").isNotNull())).withColumn("_k", T.knowledge_statement(F.col("response"))).where("_k <> ''")
-    stated = rest.select(*keep, *_item_columns(none, F.col("prompt"), F.col("_k"), T.clean(F.col("response")), "knowledge", F.col("_k")))
-    return choices.unionByName(stated)
+    asks = (F.size("_c.choices") >= 2) & F.col("_hit").isNotNull()
+    p = p.withColumn("_asks", asks).withColumn("_e", T.clean_explanation(F.col("response"))).withColumn("_k", T.knowledge_statement(F.col("response")))
+    p = p.where((F.col("_asks") & (F.col("_e") != "")) | (~F.col("_asks") & (F.col("_k") != "")))
+    pick = lambda chosen, stated: F.when(F.col("_asks"), chosen).otherwise(stated)
+    stem = pick(F.when(F.col("_c.stem") != "", F.col("_c.stem")).otherwise(F.col("prompt")), F.col("prompt"))
+    answer = pick(F.col("_hit"), F.col("_k"))
+    columns = _item_columns(pick(F.col("_c.choices"), none), stem, answer, pick(F.col("_e"), T.clean(F.col("response"))), pick(F.lit("choice"), F.lit("knowledge")), answer)
+    return p.select(*_FILE[:3], "place", "part", *columns)
 
 
 def items_from_objects(files: DataFrame) -> DataFrame:
@@ -236,13 +237,14 @@ def items_from_objects(files: DataFrame) -> DataFrame:
     v = v.withColumn("origin_label", F.when(F.col("own_origin") != "", F.col("own_origin")).otherwise(F.col("origin_label")))
     v = v.withColumn("_a", T.resolve_answer(F.when(F.col("raw") != "", F.col("raw")).otherwise(F.col("response")), F.col("choices")))
     v = v.withColumn("_hit", F.when((F.col("_a") != "") & (F.size("choices") >= 2) & (F.col("stem") != ""), _same_choice(F.col("choices"), F.col("_a"))))
-    keep = [*_FILE[:3], F.lpad(F.col("idx").cast("string"), 9, "0").alias("place"), F.lit(0).alias("part")]
-    chosen = v.where("_hit is not null").withColumn("_e", T.clean_explanation(F.col("response"))).where("_e <> ''")
-    choices = chosen.select(*keep, *_item_columns(F.col("choices"), F.col("stem"), F.col("_hit"), F.col("_e"), "choice", F.when(F.col("known") != "", F.col("known")).otherwise(F.col("_hit"))))
     point = F.when(F.col("known") != "", F.col("known")).when((F.col("raw") != "") & ~F.col("raw").rlike(r"(?i)^[A-H]\z"), F.col("raw")).otherwise(T.knowledge_statement(F.col("response")))
-    rest = v.where("_hit is null").withColumn("_k", point).where("_k <> '' and stem <> ''")
-    stated = rest.select(*keep, *_item_columns(none, F.col("stem"), F.col("_k"), F.when(F.col("response") != "", F.col("response")).otherwise(F.col("_k")), "knowledge", F.col("_k")))
-    return choices.unionByName(stated)
+    v = v.withColumn("_asks", F.col("_hit").isNotNull()).withColumn("_e", T.clean_explanation(F.col("response"))).withColumn("_k", point)
+    v = v.where((F.col("_asks") & (F.col("_e") != "")) | (~F.col("_asks") & (F.col("_k") != "") & (F.col("stem") != "")))
+    pick = lambda chosen, stated: F.when(F.col("_asks"), chosen).otherwise(stated)
+    told = F.when(F.col("response") != "", F.col("response")).otherwise(F.col("_k"))
+    knowledge = pick(F.when(F.col("known") != "", F.col("known")).otherwise(F.col("_hit")), F.col("_k"))
+    columns = _item_columns(pick(F.col("choices"), none), F.col("stem"), pick(F.col("_hit"), F.col("_k")), pick(F.col("_e"), told), pick(F.lit("choice"), F.lit("knowledge")), knowledge)
+    return v.select(*_FILE[:3], F.lpad(F.col("idx").cast("string"), 9, "0").alias("place"), F.lit(0).alias("part"), *columns)
 
 
 def finalize(items: DataFrame, today_only: bool = True, nfkc: bool = True) -> DataFrame:
@@ -259,6 +261,7 @@ def parse(files: DataFrame, today_only: bool = True) -> DataFrame:
     """Learning items of all files, whatever their format."""
     sniffed = sniff(files)
     pairs = conversation_pairs(sniffed).unionByName(log_pairs(sniffed)).unionByName(plain_pairs(sniffed))
+    pairs = pairs.repartition("file_id", "place")  # files differ in size; and what follows is planned once, not once a reader
     return finalize(items_from_pairs(pairs).unionByName(items_from_objects(sniffed)), today_only).select("file_id", *ITEM)
 
 
