@@ -11,8 +11,9 @@ nodes whose largest possible overlap is below what a link needs.
 Only connectivity is asked for, so a traversal passes over pairs that are connected
 already and emits a spanning forest of what is left, at most one pair a member. The
 pairs are verified exactly on the texts. Where pairs were refuted, the groups they came
-from are searched again without them, until nothing new comes up; at that point every
-pair in every group is connected, ruled out by the bound, or refuted.
+from are searched again without them for all pairs that aren't connected, a bounded
+number a round, until nothing new comes up; at that point every pair in every group is
+connected, ruled out by the bound, or refuted.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; a null doc_id takes part
@@ -32,9 +33,12 @@ from . import common
 
 SHINGLE = 4
 PERCENT = 85
-#: 64-bit words of a bitmap.
-BITMAP = 32
+#: Bits of a bitmap for each token, at least; the number of words is a power of two.
+BITS_PER_TOKEN = 8
 LEAF = 32
+#: Pairs that a group emits for each member and round, once something in it was refuted.
+PAIRS_PER_MEMBER = 8
+TEXTS_KEPT = 64
 WORD_ENTRIES = 400_000
 #: Tables of pairs of numbers up to so many rows are broadcast.
 MAX_BROADCAST_ROWS = 300_000
@@ -74,8 +78,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP * 64, bool)
-    bits[(hashes >> np.uint64(20)) % np.uint64(BITMAP * 64)] = True
+    words = 1 << max(0, (len(hashes) * BITS_PER_TOKEN // 64 - 1)).bit_length()
+    bits = np.zeros(words * 64, bool)
+    bits[(hashes >> np.uint64(20)) % np.uint64(words * 64)] = True
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
@@ -141,58 +146,91 @@ class SignatureTree:
         return most * (100 + percent) >= percent * (n + m)
 
 
-def spanning_candidates(sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray, refuted: set[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows that may be linked, a forest over what ``labels`` doesn't connect yet.
+def _halves(r: tuple[int, int]) -> list[tuple[int, int]]:
+    return [(r[0], (r[0] + r[1]) // 2), ((r[0] + r[1]) // 2, r[1])]
 
-    Rows must be sorted by size. ``refuted`` holds pairs known not to be linked.
-    """
-    tree, labels, out = SignatureTree(sizes, bits), labels.copy(), []
-    stack = [((0, len(sizes)), (0, len(sizes)))]
-    while stack:
+
+def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted: np.ndarray, percent: int, forest: bool, room: int) -> list[tuple[int, int]]:
+    """Dual traversal over the tree of ``rows``; see ``group_candidates``. ``labels`` is changed in place."""
+    out: list[tuple[int, int]] = []
+    whole = (0, len(rows))
+    stack = [(whole, whole)]
+    while stack and len(out) < room:
         a, b = stack.pop()
-        first = labels[a[0]]
-        if (labels[a[0] : a[1]] == first).all() and (a == b or (labels[b[0] : b[1]] == first).all()):
+        la, lb = labels[rows[a[0] : a[1]]], labels[rows[b[0] : b[1]]]
+        if (la == la[0]).all() and (a == b or (lb == la[0]).all()):
             continue
         if a != b and not tree.may_link(a, b, percent):
             continue
         wide_a, wide_b = a[1] - a[0] > LEAF, b[1] - b[0] > LEAF
-        if not wide_a and not wide_b:
-            near = tree.pairs(a, b, percent)
+        if wide_a or wide_b:
             if a == b:
-                near = np.triu(near, 1)
-            near &= labels[a[0] : a[1], None] != labels[None, b[0] : b[1]]
-            for i, j in refuted:
-                for i, j in ((i, j), (j, i)):
-                    if a[0] <= i < a[1] and b[0] <= j < b[1]:
-                        near[i - a[0], j - b[0]] = False
-            while near.any():
-                i, j = divmod(int(near.argmax()), near.shape[1])
-                i, j = i + a[0], j + b[0]
-                out.append((i, j))
-                labels[labels == labels[j]] = labels[i]
-                near &= labels[a[0] : a[1], None] != labels[None, b[0] : b[1]]
+                lo, hi = _halves(a)
+                stack += [(lo, hi), (hi, hi), (lo, lo)]
+            else:
+                stack += [(x, y) for x in (_halves(a) if wide_a else [a]) for y in (_halves(b) if wide_b else [b])]
             continue
-        halves = lambda r: [(r[0], (r[0] + r[1]) // 2), ((r[0] + r[1]) // 2, r[1])]
+        near = tree.pairs(a, b, percent)
         if a == b:
-            lo, hi = halves(a)
-            stack += [(lo, hi), (hi, hi), (lo, lo)]
-        else:
-            stack += [(x, y) for x in (halves(a) if wide_a else [a]) for y in (halves(b) if wide_b else [b])]
+            near = np.triu(near, 1)
+        near &= la[:, None] != lb[None, :]
+        if len(refuted):
+            for i, j in (refuted.T, refuted.T[::-1]):
+                here = (i >= a[0]) & (i < a[1]) & (j >= b[0]) & (j < b[1])
+                near[i[here] - a[0], j[here] - b[0]] = False
+        if not forest:
+            i, j = np.nonzero(near)
+            out += zip(rows[i + a[0]].tolist(), rows[j + b[0]].tolist())
+            continue
+        while near.any():
+            i, j = divmod(int(near.argmax()), near.shape[1])
+            i, j = int(rows[i + a[0]]), int(rows[j + b[0]])
+            out.append((i, j))
+            labels[labels == labels[j]] = labels[i]
+            near &= labels[rows[a[0] : a[1]], None] != labels[None, rows[b[0] : b[1]]]
     return out
 
 
-def _search_batches(batches, percent):
+def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, refuted: set[tuple[int, int]], percent: int, forest: bool = True) -> list[tuple[int, int]]:
+    """Pairs of a group's members that may be linked and that ``labels`` doesn't connect yet.
+
+    Members must be sorted by size. ``refuted`` holds pairs known not to be linked. With
+    ``forest`` the pairs are a spanning forest; without it they are all such pairs, or as
+    many as a round may emit. Bitmaps double in width with the size, so members are
+    searched by width, together with those of twice the width that are small enough to
+    be linked, folded.
+    """
+    labels, n = labels.copy(), len(sizes)
+    widths = np.array([len(b) for b in bitmaps])
+    pairs = np.array(sorted(refuted), np.int64).reshape(-1, 2)
+    out: list[tuple[int, int]] = []
+    room = n * n if forest else PAIRS_PER_MEMBER * n
+    for width in np.unique(widths):
+        own = np.flatnonzero(widths == width)
+        more = np.flatnonzero((widths == 2 * width) & (percent * sizes <= 100 * sizes[own].max()))
+        rows = np.concatenate([own, more])
+        if len(rows) < 2:
+            continue
+        bits = np.array([bitmaps[k] for k in own] + [bitmaps[k][:width] | bitmaps[k][width:] for k in more], np.uint64)
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        inside = place[pairs]
+        out += _traverse(SignatureTree(sizes[rows], bits), rows, labels, inside[(inside >= 0).all(axis=1)], percent, forest, room - len(out))
+    return list(dict.fromkeys(out))
+
+
+def _search_batches(batches, percent, forest):
     """Rows (token, id, n_shingles, bits, label, refuted) sorted by (token, n_shingles, id)."""
     held: list[tuple] = []
 
     def finish():
         sizes = np.array([r[2] for r in held], np.int64)
-        bits = np.frombuffer(b"".join(r[3] for r in held), "<u8").reshape(len(held), BITMAP)
+        bits = [np.frombuffer(r[3], "<u8") for r in held]
         number: dict[int, int] = {}
         labels = np.array([number.setdefault(r[4], len(number)) for r in held], np.int64)
         place = {r[1]: k for k, r in enumerate(held)}
         refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[5] or () if o in place}
-        for i, j in spanning_candidates(sizes, bits, labels, refuted, percent):
+        for i, j in group_candidates(sizes, bits, labels, refuted, percent, forest):
             yield held[0][0], min(held[i][1], held[j][1]), max(held[i][1], held[j][1])
 
     def rows(found):
@@ -216,13 +254,20 @@ def _search_batches(batches, percent):
 
 
 def _verify_batches(batches, shingle, percent):
+    """Rows come in order of b. The set of b is held while it stays, and some sets of a."""
     last: tuple = (None, None)
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
         out = []
-        for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            if last[0] != a:
-                last = (a, shingle_set(x, shingle))
-            s, t = last[1], shingle_set(y, shingle)
+        for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]):
+            if last[0] != b:
+                last = (b, shingle_set(y, shingle))
+            s = held.get(a)
+            if s is None:
+                if len(held) >= TEXTS_KEPT:
+                    held.pop(next(iter(held)))
+                s = held[a] = shingle_set(x, shingle)
+            t = last[1]
             both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
@@ -240,14 +285,14 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     keyed = docs.select("doc_id", "text", common.document_key().alias("_key"))
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, _key bigint, {_SIGNATURES}"
     signed = common.materialize(common.arrow_map(keyed.select("doc_id", "_key", "text"), f"{__name__}:_signature_batches", kinds, shingle=shingle, percent=percent), "signatures")
-    sets = signed.where("id is not null").groupBy("id").agg(F.min("_key").alias("_key"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    sets = signed.where("id is not null").groupBy("id").agg(F.max("prefix").alias("prefix"))
     # where classes meet: one token for each distinct group of two or more
     met = sets.select("id", F.explode("prefix").alias("token")).repartition("token")
     groups = met.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("id") % 1_000_003).alias("s")).where("n > 1")
     chosen = groups.groupBy("n", "x", "lo", "hi", "s").agg(F.min("token").alias("token")).select("token")
     members = common.materialize(met.join(chosen, "token"), "members")
     needed = members.select("id").distinct()
-    held = common.materialize(signed.where("id is not null").join(_small(needed, needed.count()), "id").groupBy("id").agg(F.min("_key").alias("_key"), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits")), "bitmaps")
+    held = common.materialize(signed.where("id is not null").join(_small(needed, needed.count()), "id").groupBy("id").agg(F.min("_key").alias("_key"), F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits")), "bitmaps")
     links = refuted = components = None
     while True:
         rows = members.join(held.drop("_key"), "id")
@@ -257,7 +302,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         else:
             rows = rows.withColumn("label", F.col("id")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
         rows = rows.select("token", "id", "n_shingles", "bits", "label", "refuted").repartition("token").sortWithinPartitions("token", "n_shingles", "id")
-        found = common.materialize(common.arrow_map(rows, f"{__name__}:_search_batches", "token bigint, a bigint, b bigint", percent=percent), "candidates")
+        found = common.materialize(common.arrow_map(rows, f"{__name__}:_search_batches", "token bigint, a bigint, b bigint", percent=percent, forest=refuted is None), "candidates")
         pairs = found.select("a", "b").distinct()
         n_pairs = pairs.count()
         if not n_pairs:

@@ -79,11 +79,11 @@ def test_tree_finds_all_that_a_plain_search_finds():
                 s.add(rng.getrandbits(64))
             sets.append(np.array(sorted(s), np.uint64))
         sets.sort(key=len)
-        bits = np.array([jaccard_join.bitmap(s) for s in sets])
+        bits = [jaccard_join.bitmap(s) for s in sets]
         sizes = np.array([len(s) for s in sets])
         n, refuted, linked = len(sets), set(), np.arange(len(sets))
         while True:
-            found = jaccard_join.spanning_candidates(sizes, bits, linked, refuted, 85)
+            found = jaccard_join.group_candidates(sizes, bits, linked, refuted, 85, forest=not refuted)
             if not found:
                 break
             for i, j in found:
