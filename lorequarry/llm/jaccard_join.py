@@ -1,8 +1,9 @@
 """N-gram Jaccard self-join by signature trees.
 
 Every text becomes the set of its word shingles. Texts with equal sets are one class.
-Classes that could be linked share a token of their prefixes (the smallest hashes of a
-set, as many as an unlinked pair could miss), so they meet in the group of that token.
+Classes that could be linked share a token of their prefixes (the first tokens of a set
+in one order of all tokens, as many as an unlinked pair could miss), so they meet in the
+group of that token. The order is by hash, with tokens that many documents share last.
 Groups with the same members are searched once. In a group, a signature tree holds
 the members: every node has the OR of its members' token bitmaps, their size range and
 the largest number of tokens that bitmaps can hide. A dual traversal drops pairs of
@@ -38,6 +39,9 @@ BITS_PER_TOKEN = 8
 LEAF = 32
 #: Pairs that a group emits for each member and round, once something in it was refuted.
 PAIRS_PER_MEMBER = 8
+#: Tokens in the prefixes of more documents than this go last in the order of prefixes;
+#: the bound rises so that there are never more than MAX_HEAVY of them.
+HEAVY, MAX_HEAVY = 64, 100_000
 TEXTS_KEPT = 64
 WORD_ENTRIES = 400_000
 #: Tables of pairs of numbers up to so many rows are broadcast.
@@ -87,7 +91,15 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 _SIGNATURES = "id bigint, n_shingles bigint, prefix array<bigint>, bits binary"
 
 
-def _signature_batches(batches, shingle, percent):
+def prefix_tokens(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set in order of (heavy, hash), as many as a link can't do without."""
+    if len(heavy):
+        last = np.isin(s, heavy)
+        s = np.concatenate([s[~last], s[last]])
+    return s[: prefix_length(len(s), percent)]
+
+
+def _signature_batches(batches, shingle, percent, heavy):
     for batch in batches:
         names = [n for n in batch.schema.names if n != "text"]
         ids, sizes, prefixes, bits = [], [], [], []
@@ -96,7 +108,7 @@ def _signature_batches(batches, shingle, percent):
             sizes.append(len(s))
             if len(s):
                 ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1)
-                prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64))
+                prefixes.append(prefix_tokens(s, heavy, percent).view(np.int64))
                 bits.append(bitmap(s).tobytes())
             else:
                 ids.append(None)
@@ -284,7 +296,16 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     """
     keyed = docs.select("doc_id", "text", common.document_key().alias("_key"))
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, _key bigint, {_SIGNATURES}"
-    signed = common.materialize(common.arrow_map(keyed.select("doc_id", "_key", "text"), f"{__name__}:_signature_batches", kinds, shingle=shingle, percent=percent), "signatures")
+    read = lambda heavy: common.materialize(common.arrow_map(keyed.select("doc_id", "_key", "text"), f"{__name__}:_signature_batches", kinds, shingle=shingle, percent=percent, heavy=heavy), "signatures")
+    signed = read(np.zeros(0, np.uint64))
+    # tokens that many documents share say little; they go last, so that groups stay small
+    spread = signed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    total = signed.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    heavy = [r["token"] for r in spread.where(F.col("n") > max(HEAVY, total // MAX_HEAVY)).select("token").collect()]  # MAX_HEAVY at most
+    if heavy:
+        first = signed
+        signed = read(np.sort(np.array(heavy, np.int64).view(np.uint64)))
+        common.drop_tables(first)
     sets = signed.where("id is not null").groupBy("id").agg(F.max("prefix").alias("prefix"))
     # where classes meet: one token for each distinct group of two or more
     met = sets.select("id", F.explode("prefix").alias("token")).repartition("token")
@@ -315,8 +336,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         if not wrong.head(1):
             break
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        again = found.join(wrong, ["a", "b"]).select("token").distinct()
-        members = common.materialize(members.join(again, "token"), "members")
+        members = common.materialize(members.join(found.select("token").distinct(), "token"), "members")
     out = signed.select("doc_id", "_key", "n_shingles", "id")
     if components is None:
         return out.withColumn("component", F.col("id"))
