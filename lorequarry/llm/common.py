@@ -90,18 +90,46 @@ def document_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def _contract_batches(batches):
+    """Union-find over the edges of one task: every id with the smallest id it reaches there."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(k):
+        top = k
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[k] != top:
+            root[k], k = top, root[k]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    found = [(k, find(k)) for k in list(root)]
+    found = [x for x in found if x[0] != x[1]]
+    if found:
+        u, v = zip(*found)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, edges_per_task: int = 500_000) -> DataFrame:
     """Distributed union-find: rows (id, component) for every id on an edge.
 
-    Alternating large-star and small-star rounds. Minimum neighbours are found by
-    aggregation with map-side combine and joined back, so no neighbourhood is gathered
-    in one place. ``component`` is the smallest id that can be reached.
+    Each task contracts a bounded number of edges to stars. If that took more than one
+    task, alternating large-star and small-star rounds join the stars: minimum neighbours
+    are found by aggregation with map-side combine and joined back, so no neighbourhood
+    is gathered in one place. ``component`` is the smallest id that can be reached.
     """
-    now = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
-    )
+    raw = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    tasks = -(-raw.count() // edges_per_task)
+    now = materialize(arrow_map(raw.coalesce(max(1, tasks)), f"{__name__}:_contract_batches", "u bigint, v bigint"), "cc")
+    drop_tables(raw)
     before = None
-    for _ in range(rounds):
+    for _ in range(rounds if tasks > 1 else 0):
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             break
@@ -121,7 +149,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         drop_tables(now)
         now = after
     else:
-        raise RuntimeError("components did not settle")
+        if tasks > 1:
+            raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component"))
     ).distinct()

@@ -34,6 +34,7 @@ BANDS, BAND_ROWS = 8, 3
 SMALL = 24
 ROUNDS = 5
 CHUNK = 1 << 15
+LINES_KEPT = 2_000
 MAX_BROADCAST_ROWS = 300_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _FACTORS = np.random.Generator(np.random.Philox(20_231_117)).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,13 +182,23 @@ def _line_batches(batches):
 
 
 def _verify_batches(batches, percent):
+    """Rows come in order of b; its set is held while it stays, and recent sets of a."""
     last: tuple = (None, None)
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
         out = []
-        for a, x, y in zip(batch.column("a").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-            if last[0] != a:
-                last = (a, shingles(x))
-            s, t = last[1], shingles(y)
+        for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]):
+            if last[0] != b:
+                last = (b, shingles(y))
+            s = held.get(a)
+            if s is None:
+                if len(held) >= LINES_KEPT:
+                    held.pop(next(iter(held)))
+                s = held[a] = shingles(x)
+            t = last[1]
+            if percent * max(len(s), len(t)) > 100 * min(len(s), len(t)):
+                out.append(False)  # the sizes alone rule it out
+                continue
             both = len(np.intersect1d(s, t, assume_unique=True))
             out.append(100 * both >= percent * (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])

@@ -48,10 +48,13 @@ def families(seed):
     return [(d, t, None, None, None, None, None) for d, t in out]
 
 
-def test_components_equal_brute_force(spark):
+def test_components_equal_brute_force(spark, monkeypatch):
     for data in (fixtures.rows(), families(1), families(2)):
         got = jaccard_join.components(fixtures.table(spark, data)).collect()
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(data, 4, 85)
+    monkeypatch.setattr(jaccard_join, "HEAVY", 2)
+    got = jaccard_join.components(fixtures.table(spark, families(3))).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(families(3), 4, 85)
     assert jaccard_join.components(fixtures.empty(spark)).count() == 0
 
 
@@ -114,8 +117,9 @@ def test_connected_components(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     want = {k: find(k) for k in list(root)}
-    got = common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
-    assert {r["id"]: r["component"] for r in got} == want and len(got) == len(want)
+    for size in (500_000, 60):  # one task; several tasks and rounds
+        got = common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6), edges_per_task=size).collect()
+        assert {r["id"]: r["component"] for r in got} == want and len(got) == len(want)
     assert common.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
