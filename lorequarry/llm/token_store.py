@@ -23,7 +23,9 @@ temporary name and renamed, so a task that runs twice leaves one file.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from bisect import bisect_left
@@ -43,7 +45,8 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 350_000
+PIECE_ENTRIES = 700_000
 
 
 def varint(n: int) -> bytes:
@@ -214,9 +217,18 @@ class TableReader:
             k += 1
 
 
+_TAIL = re.compile("[.,]+$")
+
+
 class WordCache:
-    """The library's identifiers of every word. White space separates words in this
-    tokenizer, so a text's identifiers are its words' identifiers in order."""
+    """The library's identifiers of every word, kept in a bounded cache.
+
+    White space separates words in this tokenizer, so a text's identifiers are its words'
+    identifiers in order. A word of letters only is one piece of the pre-tokenizer, as is
+    a run of full stops and commas after one, so such words are looked up as letters and
+    tail, letters of ASCII in lower case. New ones are encoded by the library in one call,
+    and the identifiers are told apart by the mark that ends every piece.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -225,24 +237,66 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
         self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.replace("\n", " ").split(" ")
+        self.pieces: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Identifiers of words that aren't known yet."""
+        pieces, cut, new = self.pieces, [], {}
+        for w in words:
+            core = _TAIL.sub("", w)
+            if len(core) <= 64 and core.isalpha() and (core.isascii() or core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
+                tail = w[len(core) :]
+                core = core.lower() if core.isascii() else core
+                for p in (core, tail):
+                    if p and p not in pieces:
+                        new[p] = None
+                cut.append((w, core, tail))
+            else:
+                cut.append((w, None, None))
+        if len(pieces) + len(new) > PIECE_ENTRIES:
+            held = {p: pieces[p] for _, *both in cut for p in both if p in pieces}
+            pieces.clear()
+            pieces.update(held)
+        if new:
+            order, ids = list(new), self._library(" ".join(new))
+            stops = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+            if len(stops) == len(order) and stops[-1] == len(ids):
+                raw, begin = struct.pack(f"<{len(ids)}I", *ids), 0
+                for p, stop in zip(order, stops):
+                    pieces[p] = raw[4 * begin : 4 * stop]
+                    begin = stop
+            else:  # a letter that the tokenizer's tables class otherwise
+                for p in order:
+                    ids = self._library(p)
+                    pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+        out = {}
+        for w, core, tail in cut:
+            if core is None:
+                ids = self._library(w)
+                out[w] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                out[w] = pieces[core] + (pieces[tail] if tail else b"")
+        return out
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        missing = [w for w in set(words) if w not in known]
-        fresh = {}
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                fresh[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-            if len(known) + len(fresh) > WORD_ENTRIES:
-                fresh = {w: known[w] for w in set(words) if w in known} | fresh
-                known.clear()
-            known.update({w: v for w, v in fresh.items() if len(w) <= 64})
+        missing = {w for words in split for w in words if w not in known}
+        fresh = self._learn(sorted(missing)) if missing else {}
+        if len(known) + len(fresh) > WORD_ENTRIES:
+            fresh |= {w: known[w] for words in split for w in words if w in known}
+            known.clear()
+        known.update((w, v) for w, v in fresh.items() if len(w) <= 64)
+        long = {w: v for w, v in fresh.items() if len(w) > 64}
         get = known.get
-        return b"".join([v if (v := get(w)) is not None else fresh[w] for w in words])
+        if long:
+            return [b"".join([long[w] if w in long else get(w) for w in words]) for words in split]
+        return [b"".join(map(get, words)) for words in split]
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -269,7 +323,7 @@ def _write_batches(batches, path, folder, end_id, width):
     end = np.array([end_id], "<u4").tobytes()
     previous, copy, first = object(), 0, None
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), words.encode_batch(batch.column("text").to_pylist())):
             if writer is None:
                 fs.create_dir(os.path.dirname(target), recursive=True)
                 out = fs.open_output_stream(temporary)
@@ -278,7 +332,7 @@ def _write_batches(batches, path, folder, end_id, width):
             previous = doc_id
             key = make_key(doc_id, copy)
             first = first or key
-            writer.add(key, np.frombuffer(words.encode(text) + end, "<u4"))
+            writer.add(key, np.frombuffer(encoded + end, "<u4"))
     if writer is not None:
         writer.close()
         out.close()
