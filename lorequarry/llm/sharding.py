@@ -23,6 +23,8 @@ from . import common
 
 SEED = 20_240_229
 BUCKET_BYTES = 16 << 20
+#: Small tables get smaller buckets, so that many tasks share the work.
+LEAST_BUCKETS, LEAST_BUCKET_BYTES = 512, 256 << 10
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -77,7 +79,8 @@ def shuffle(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int =
     columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in names]
     turn = F.xxhash64(F.lit(seed), *columns)
     sizes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("bytes")).first()
-    buckets = max(1, -(-int(sizes["bytes"] or 0) // bucket_bytes))
+    size = int(sizes["bytes"] or 0)
+    buckets = max(1, -(-size // bucket_bytes), min(LEAST_BUCKETS, -(-size // LEAST_BUCKET_BYTES)))
     bucket = F.pmod(F.xxhash64(turn, F.lit(seed + 1)), F.lit(buckets)).cast("int")
     dealt = docs.select(*[F.col(f"`{c}`") for c in names], bucket.alias("_bucket"), turn.alias("_turn"))
     counts = dict(dealt.groupBy("_bucket").count().collect())
