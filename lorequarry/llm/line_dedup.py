@@ -2,8 +2,11 @@
 
 Lines (split at \\n, outer white space cut, inner white space made one space, lower
 case) of at least MIN_CHARS characters take part. Their MinHash signatures over
-8-character shingles are cut into bands; lines that agree in a band are candidates.
-Candidates are verified by the exact Jaccard similarity of their shingle sets, and
+character shingles are cut into bands; lines that agree in a band are candidates, unless
+the sizes of their shingle sets alone rule a link out. An edit of one character breaks as
+many shingles as a shingle has characters, so the length decides which edits are seen: at
+Jaccard 0.8 FINE shingles link inner edits of one character in lines from 39 characters
+on, those of SHINGLE from 79 on. The query and the pipeline use FINE. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
 verified pairs are joined into components by distributed union-find. The first line of
 each component, by doc_id (null last) and place, stays; the others are removed.
 
@@ -27,30 +30,32 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 8
+#: Characters of a shingle in the query and the pipeline.
+FINE = 4
 PERCENT = 80
 MIN_CHARS = 30
 COPY_PERCENT = 50
-BANDS, BAND_ROWS = 8, 3
+#: Unrelated lines share many short shingles, so a band needs enough rows to tell them apart.
+BANDS, BAND_ROWS = 26, 7
 SMALL = 24
 ROUNDS = 5
 CHUNK = 1 << 15
 LINES_KEPT = 2_000
 MAX_BROADCAST_ROWS = 300_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_FACTORS = np.random.Generator(np.random.Philox(20_231_117)).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.Generator(np.random.Philox(20_231_117)).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def _hashes(units: bytes, count: int) -> np.ndarray:
-    """Hashes of the ``count`` shingles of UTF-16 text."""
-    a = np.ndarray((count,), "<u8", units, 0, (2,))
-    b = np.ndarray((count,), "<u8", units, 8, (2,))
-    h = a * _K1
+def _hashes(units: bytes, count: int, shingle: int) -> np.ndarray:
+    """Hashes of the ``count`` shingles, of 4 or 8 units, of UTF-16 text."""
+    h = np.ndarray((count,), "<u8", units, 0, (2,)) * _K1
     h ^= h >> np.uint64(32)
-    h += b
+    if shingle == 8:
+        h += np.ndarray((count,), "<u8", units, 8, (2,))
     h *= _K2
     h ^= h >> np.uint64(29)
     h *= _K3
@@ -58,33 +63,38 @@ def _hashes(units: bytes, count: int) -> np.ndarray:
     return h
 
 
-def shingles(line: str) -> np.ndarray:
+def shingles(line: str, shingle: int = SHINGLE) -> np.ndarray:
     units = line.encode("utf-16-le", "replace")
-    return np.unique(_hashes(units, len(units) // 2 - SHINGLE + 1))
+    return np.unique(_hashes(units, len(units) // 2 - shingle + 1, shingle))
 
 
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """(lines, BANDS) hashes; every line has at least SHINGLE characters."""
+def band_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) hashes and the number of each line's different shingles; every line has at least ``shingle`` characters."""
     parts = [x.encode("utf-16-le", "replace") for x in lines]
     sizes = np.array([len(p) // 2 for p in parts])
     starts = np.cumsum(sizes) - sizes
-    h = _hashes(b"".join(parts), int(sizes.sum()) - SHINGLE + 1)
+    h = _hashes(b"".join(parts), int(sizes.sum()) - shingle + 1, shingle).astype(np.uint32)
     # shingles that run over the end of a line take the value of its first one
-    over = np.concatenate([np.arange(s + n - SHINGLE + 1, min(s + n, len(h))) for s, n in zip(starts, sizes)]) if len(sizes) else np.zeros(0, int)
-    h[over] = np.repeat(h[starts], [min(s + n, len(h)) - (s + n - SHINGLE + 1) for s, n in zip(starts, sizes)])
+    ends = np.minimum(starts + sizes, len(h))
+    over = np.concatenate([np.arange(s + n - shingle + 1, e) for s, n, e in zip(starts, sizes, ends)])
+    h[over] = np.repeat(h[starts], ends - (starts + sizes - shingle + 1))
+    own = np.repeat(np.arange(len(parts), dtype=np.uint64), ends - starts) << np.uint64(32) | h
+    own.sort()
+    fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    different = np.bincount((own[fresh] >> np.uint64(32)).astype(np.int64), minlength=len(parts))
     out = np.zeros((len(parts), BANDS), np.uint64)
     for k, factor in enumerate(_FACTORS):
         low = np.minimum.reduceat(h * factor, starts)
         band = k // BAND_ROWS
         out[:, band] = (out[:, band] + low) * _K1
         out[:, band] ^= out[:, band] >> np.uint64(31)
-    return out * _K2 + np.arange(BANDS, dtype=np.uint64)
+    return out * _K2 + np.arange(BANDS, dtype=np.uint64), different
 
 
-_LINES = "_key bigint, doc_id bigint, line_no int, line bigint, bands array<bigint>"
+_LINES = "_key bigint, doc_id bigint, line_no int, line bigint, size int, bands array<bigint>"
 
 
-def _signature_batches(batches):
+def _signature_batches(batches, shingle):
     for batch in batches:
         held: list[tuple] = []
         size = 0
@@ -95,29 +105,40 @@ def _signature_batches(batches):
                     held.append((key, doc, k, line))
                     size += len(line)
                     if size >= CHUNK:
-                        yield _signed(held)
+                        yield _signed(held, shingle)
                         held, size = [], 0
         if held:
-            yield _signed(held)
+            yield _signed(held, shingle)
 
 
-def _signed(held):
+def _signed(held, shingle):
     keys, docs, places, lines = zip(*held)
-    bands = band_hashes(list(lines)).view(np.int64)
+    bands, sizes = band_hashes(list(lines), shingle)
     ids = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) >> 1 for x in lines]
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * BANDS, pa.array(bands.reshape(-1)))],
-        names=["_key", "doc_id", "line_no", "line", "bands"],
+        [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).reshape(-1)))],
+        names=["_key", "doc_id", "line_no", "line", "size", "bands"],
     )
 
 
-def bucket_pairs(ids: list[int], labels: list[int], refuted: set[tuple[int, int]], forest: bool) -> list[tuple[int, int]]:
-    """Pairs of a bucket to verify: all that aren't connected or refuted, or a spanning forest of those."""
+def bucket_pairs(ids: list[int], labels: list[int], refuted: set[tuple[int, int]], forest: bool, sizes: list[int] | None = None, percent: int = 0) -> list[tuple[int, int]]:
+    """Pairs of a bucket to verify: all that aren't connected or refuted, or a spanning forest of those.
+
+    ``sizes`` of the shingle sets rule out pairs that can't be linked; as they are counted
+    by short hashes, one more or less is allowed for.
+    """
+    size = dict(zip(ids, sizes)) if sizes else None
+
+    def open_(a, b):
+        if size and percent * (max(size[a], size[b]) - 1) > 100 * (min(size[a], size[b]) + 1):
+            return False
+        return (min(a, b), max(a, b)) not in refuted
+
     out = []
     if not forest or len(ids) <= SMALL:
         for i in range(len(ids)):
             for j in range(i):
-                if labels[i] != labels[j] and (ids[j], ids[i]) not in refuted:
+                if labels[i] != labels[j] and open_(ids[j], ids[i]):
                     out.append((ids[j], ids[i]))
         return out
     groups: dict[int, list[int]] = {}
@@ -129,7 +150,7 @@ def bucket_pairs(ids: list[int], labels: list[int], refuted: set[tuple[int, int]
         while changed:
             changed, left = False, []
             for group in rest:
-                pair = next(((min(a, b), max(a, b)) for a in group for b in tree if (min(a, b), max(a, b)) not in refuted), None)
+                pair = next(((min(a, b), max(a, b)) for a in group for b in tree if open_(a, b)), None)
                 if pair is None:
                     left.append(group)
                 else:
@@ -141,22 +162,22 @@ def bucket_pairs(ids: list[int], labels: list[int], refuted: set[tuple[int, int]
     return out
 
 
-def _pair_batches(batches, forest):
-    """Rows (bucket, line, label, refuted) sorted by (bucket, line)."""
+def _pair_batches(batches, forest, percent):
+    """Rows (bucket, line, label, refuted, size) sorted by (bucket, line)."""
     held: list[tuple] = []
     found: list[tuple] = []
 
     def finish():
         ids = [r[1] for r in held]
         refuted = {(min(r[1], o), max(r[1], o)) for r in held for o in r[3] or ()}
-        return [(held[0][0], a, b) for a, b in bucket_pairs(ids, [r[2] for r in held], refuted, forest)]
+        return [(held[0][0], a, b) for a, b in bucket_pairs(ids, [r[2] for r in held], refuted, forest, [r[4] for r in held], percent)]
 
     def rows():
         t, a, b = zip(*found)
         return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["bucket", "a", "b"])
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "line", "label", "refuted")]):
+        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "line", "label", "refuted", "size")]):
             if held and row[0] != held[0][0]:
                 found += finish()
                 held = []
@@ -181,7 +202,7 @@ def _line_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
 
 
-def _verify_batches(batches, percent):
+def _verify_batches(batches, percent, shingle):
     """Rows come in order of b; its set is held while it stays, and recent sets of a."""
     last: tuple = (None, None)
     held: dict[int, np.ndarray] = {}
@@ -189,12 +210,12 @@ def _verify_batches(batches, percent):
         out = []
         for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]):
             if last[0] != b:
-                last = (b, shingles(y))
+                last = (b, shingles(y, shingle))
             s = held.get(a)
             if s is None:
                 if len(held) >= LINES_KEPT:
                     held.pop(next(iter(held)))
-                s = held[a] = shingles(x)
+                s = held[a] = shingles(x, shingle)
             t = last[1]
             if percent * max(len(s), len(t)) > 100 * min(len(s), len(t)):
                 out.append(False)  # the sizes alone rule it out
@@ -208,10 +229,10 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def _links(keyed: DataFrame, lines: DataFrame, percent: int) -> DataFrame | None:
+def _links(keyed: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame | None:
     """Components (id, component) of lines that differ, or None."""
-    sets = lines.groupBy("line").agg(F.first("bands").alias("bands"))
-    met = sets.select("line", F.explode("bands").alias("bucket")).repartition("bucket")
+    sets = lines.groupBy("line").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    met = sets.select("line", "size", F.explode("bands").alias("bucket")).repartition("bucket")
     groups = met.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("line").alias("x"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.sum(F.col("line") % 1_000_003).alias("s")).where("n > 1")
     chosen = groups.groupBy("n", "x", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = common.materialize(met.join(chosen, "bucket"), "buckets")
@@ -229,13 +250,13 @@ def _links(keyed: DataFrame, lines: DataFrame, percent: int) -> DataFrame | None
             rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "line"), "line", "left")
         else:
             rows = rows.withColumn("label", F.col("line")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        rows = rows.select("bucket", "line", "label", "refuted").repartition("bucket").sortWithinPartitions("bucket", "line")
-        found = common.materialize(common.arrow_map(rows, f"{__name__}:_pair_batches", "bucket bigint, a bigint, b bigint", forest=turn < ROUNDS), "pairs")
+        rows = rows.select("bucket", "line", "label", "refuted", "size").repartition("bucket").sortWithinPartitions("bucket", "line")
+        found = common.materialize(common.arrow_map(rows, f"{__name__}:_pair_batches", "bucket bigint, a bigint, b bigint", forest=turn < ROUNDS, percent=percent), "pairs")
         pairs = found.select("a", "b").distinct()
         if not pairs.head(1):
             break
         both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
-        checked = common.materialize(common.arrow_map(both.select("a", "b", "x", "y"), f"{__name__}:_verify_batches", "a bigint, b bigint, linked boolean", percent=percent), "verified")
+        checked = common.materialize(common.arrow_map(both.select("a", "b", "x", "y"), f"{__name__}:_verify_batches", "a bigint, b bigint, linked boolean", percent=percent, shingle=shingle), "verified")
         fresh, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
         components = common.materialize(common.connected_components(links), "components")
@@ -249,10 +270,10 @@ def _links(keyed: DataFrame, lines: DataFrame, percent: int) -> DataFrame | None
     return components
 
 
-def duplicate_lines(keyed: DataFrame, percent: int = PERCENT) -> DataFrame:
+def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(_key, removed): places of the lines to remove from each document that loses any."""
-    lines = common.materialize(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_signature_batches", _LINES), "line_signatures")
-    components = _links(keyed, lines, percent)
+    lines = common.materialize(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_signature_batches", _LINES, shingle=shingle), "line_signatures")
+    components = _links(keyed, lines, percent, shingle)
     rows = lines.select("_key", "doc_id", "line_no", "line")
     if components is None:
         rows = rows.withColumn("label", F.col("line"))
@@ -282,18 +303,18 @@ def _cut_batches(batches):
         )
 
 
-def remove_duplicate_lines(docs: DataFrame, *keep: str, percent: int = PERCENT) -> DataFrame:
+def remove_duplicate_lines(docs: DataFrame, *keep: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Columns ``keep`` with the remaining ``text``, ``n_lines`` before, ``n_removed``, and
     ``n_left``: lines left that take part (null where none was removed)."""
     keyed = docs.withColumn("_key", common.document_key())
-    removed = duplicate_lines(keyed, percent)
+    removed = duplicate_lines(keyed, percent, shingle)
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string, n_lines bigint, n_removed bigint, n_left bigint"])
     joined = keyed.select("_key", *keep, "text").join(removed, "_key", "left").select(*keep, "text", "removed")
     return common.arrow_map(joined, f"{__name__}:_cut_batches", schema)
 
 
-def clean_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def clean_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = FINE) -> DataFrame:
     """The documents with their lines deduplicated and ``n_chars`` brought up to date.
 
     A document goes as a copy if no line that takes part is left and less than
@@ -301,7 +322,7 @@ def clean_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), "doc_id", "text")
-    cut = remove_duplicate_lines(packed, "_doc", percent=percent).where(
+    cut = remove_duplicate_lines(packed, "_doc", percent=percent, shingle=shingle).where(
         (F.col("n_removed") == 0) | (F.col("n_left") > 0) | (100 * F.length("text") >= COPY_PERCENT * F.length("_doc.text"))
     )
     changed = F.col("n_removed") > 0

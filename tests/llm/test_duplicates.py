@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from lorequarry.llm import common, jaccard_join, line_dedup
+from lorequarry.llm import common, jaccard_join, line_dedup, queries
 
 from . import fixtures
 
@@ -174,6 +174,48 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.remove_duplicate_lines(fixtures.empty(spark), "doc_id").count() == 0
 
 
+def edited_lines(seed):
+    """(line, edited line) of 40 to 80 characters: one inner character, or one word of three letters."""
+    rng = random.Random(seed)
+    out = []
+    for k in range(60):
+        n = rng.randint(40, 80) if k % 2 else rng.randint(60, 80)
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        at = rng.randint(8, n - 12)
+        if k % 2:
+            out.append((line, line[:at] + "7" + line[at + 1 :]))
+        else:
+            out.append((line[:at] + " old " + line[at + 5 :], line[:at] + " new " + line[at + 5 :]))
+    return out
+
+
+def test_small_edits_in_ordinary_lines_are_found(spark, tmp_path):
+    pairs = edited_lines(5)
+    data = [(2 * k + j, line, None, None, 0, None, None) for k, p in enumerate(pairs) for j, line in enumerate(p)]
+    fixtures.table(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: k % 2 for k in range(len(data))}
+    text = {r["doc_id"] for r in line_dedup.clean_documents(fixtures.table(spark, data)).collect()}
+    assert text == {k for k in range(len(data)) if k % 2 == 0}
+
+
+def test_bands_find_pairs_at_the_threshold():
+    rng = random.Random(6)
+    for shingle in (line_dedup.FINE, line_dedup.SHINGLE):
+        met = tried = 0
+        for _ in range(400):
+            line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9 * shingle + shingle - 1))
+            other = line[: len(line) // 2] + "7" + line[len(line) // 2 + 1 :]
+            a, b = (line_dedup.shingles(x, shingle) for x in (line, other))
+            if 10 * len(np.intersect1d(a, b)) != 8 * len(np.union1d(a, b)):
+                continue  # a shingle came twice
+            bands, sizes = line_dedup.band_hashes([line, other], shingle)
+            assert sizes.tolist() == [len(a), len(b)]
+            met += bool((bands[0] == bands[1]).any())
+            tried += 1
+        assert tried >= 300 and met >= 0.98 * tried
+
+
 def test_line_stage_keeps_columns(spark):
     table = fixtures.table(spark)
     kept = line_dedup.clean_documents(table)
