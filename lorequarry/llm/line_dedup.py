@@ -1,22 +1,24 @@
 """Fuzzy line deduplication: MinHash, banding, exact verification, union-find.
 
 Lines (split at \\n, outer white space cut, inner white space made one space, lower
-case) of at least MIN_CHARS characters take part. Their MinHash signatures over
+case) of at least MIN_CHARS characters take part, and where ``least`` says so shorter
+ones, which are linked if they are equal. The MinHash signatures of the longer ones over
 character shingles are cut into bands; lines that agree in a band are candidates, unless
 the sizes of their shingle sets alone rule a link out. An edit of one character breaks as
 many shingles as a shingle has characters, so the length decides which edits are seen: at
 Jaccard 0.8 FINE shingles link inner edits of one character in lines from 39 characters
-on, those of SHINGLE from 79 on. The query and the pipeline use FINE. Candidates are verified by the exact Jaccard similarity of their shingle sets, and
-verified pairs are joined into components by distributed union-find. The first line of
-each component, by doc_id (null last) and place, stays; the others are removed.
+on, those of SHINGLE from 79 on. The query and the pipeline use FINE. Candidates are
+verified by the exact Jaccard similarity of their shingle sets, and verified pairs are
+joined into components by distributed union-find. The first line of each component, by
+doc_id (null last) and place, stays; the others are removed.
 
 A bucket of up to SMALL lines yields all of its pairs that aren't connected yet. A larger one
 yields a spanning forest and is searched again without the refuted pairs, and after
 ROUNDS rounds yields all that are left, so no candidate is lost.
 
-Defined results: null texts stay null and empty ones empty; blank and short lines
-stay; rows equal in doc_id and text are treated alike, so a line's first place in one
-stays in all of them; extra columns are kept; an empty table gives an empty table.
+Defined results: null texts stay null and empty ones empty; blank lines and those under
+``least`` characters stay; rows equal in doc_id and text are treated alike, so a line's
+first place in one stays in all of them; extra columns are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -94,14 +96,14 @@ def band_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, n
 _LINES = "_key bigint, doc_id bigint, line_no int, line bigint, size int, bands array<bigint>"
 
 
-def _signature_batches(batches, shingle):
+def _signature_batches(batches, shingle, least):
     for batch in batches:
         held: list[tuple] = []
         size = 0
         for key, doc, text in zip(batch.column("_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
             for k, raw in enumerate(text.split("\n") if text else ()):
                 line = normal(raw)
-                if len(line) >= MIN_CHARS:
+                if len(line) >= least:
                     held.append((key, doc, k, line))
                     size += len(line)
                     if size >= CHUNK:
@@ -113,10 +115,15 @@ def _signature_batches(batches, shingle):
 
 def _signed(held, shingle):
     keys, docs, places, lines = zip(*held)
-    bands, sizes = band_hashes(list(lines), shingle)
+    long = [k for k, x in enumerate(lines) if len(x) >= MIN_CHARS]
+    sizes, offsets = np.zeros(len(lines), np.int32), np.zeros(len(lines) + 1, np.int32)
+    bands = np.zeros((0, BANDS), np.uint64)
+    if long:
+        bands, sizes[long] = band_hashes([lines[k] for k in long], shingle)
+        offsets[np.array(long) + 1] = BANDS
     ids = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) >> 1 for x in lines]
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).reshape(-1)))],
+        [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(np.cumsum(offsets, dtype=np.int32), pa.array(bands.view(np.int64).reshape(-1)))],
         names=["_key", "doc_id", "line_no", "line", "size", "bands"],
     )
 
@@ -231,7 +238,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def _links(keyed: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame | None:
     """Components (id, component) of lines that differ, or None."""
-    sets = lines.groupBy("line").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    sets = lines.where("size > 0").groupBy("line").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     met = sets.select("line", "size", F.explode("bands").alias("bucket")).repartition("bucket")
     groups = met.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("line").alias("x"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.sum(F.col("line") % 1_000_003).alias("s")).where("n > 1")
     chosen = groups.groupBy("n", "x", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
@@ -270,9 +277,9 @@ def _links(keyed: DataFrame, lines: DataFrame, percent: int, shingle: int) -> Da
     return components
 
 
-def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, least: int = MIN_CHARS) -> DataFrame:
     """(_key, removed): places of the lines to remove from each document that loses any."""
-    lines = common.materialize(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_signature_batches", _LINES, shingle=shingle), "line_signatures")
+    lines = common.materialize(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_signature_batches", _LINES, shingle=shingle, least=least), "line_signatures")
     components = _links(keyed, lines, percent, shingle)
     rows = lines.select("_key", "doc_id", "line_no", "line")
     if components is None:
@@ -284,7 +291,7 @@ def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHI
     return common.materialize(lost.groupBy("_key").agg(F.collect_set("line_no").alias("removed")), "removed")
 
 
-def _cut_batches(batches):
+def _cut_batches(batches, least):
     for batch in batches:
         names = [n for n in batch.schema.names if n not in ("text", "removed")]
         out, n_lines, n_removed, n_left = [], [], [], []
@@ -296,25 +303,28 @@ def _cut_batches(batches):
                 gone = set(removed)
                 lines = [x for k, x in enumerate(lines) if k not in gone]
                 text = "\n".join(lines)
-            n_left.append(sum(len(normal(x)) >= MIN_CHARS for x in lines) if removed else None)
+            n_left.append(sum(len(normal(x)) >= least for x in lines) if removed else None)
             out.append(text)
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(n) for n in names], pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_left, pa.int64())], names=[*names, "text", "n_lines", "n_removed", "n_left"]
         )
 
 
-def remove_duplicate_lines(docs: DataFrame, *keep: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+def remove_duplicate_lines(docs: DataFrame, *keep: str, percent: int = PERCENT, shingle: int = SHINGLE, least: int = MIN_CHARS) -> DataFrame:
     """Columns ``keep`` with the remaining ``text``, ``n_lines`` before, ``n_removed``, and
-    ``n_left``: lines left that take part (null where none was removed)."""
+    ``n_left``: lines left that take part (null where none was removed).
+
+    Lines of at least ``least`` characters take part, all that aren't blank at 1.
+    """
     keyed = docs.withColumn("_key", common.document_key())
-    removed = duplicate_lines(keyed, percent, shingle)
+    removed = duplicate_lines(keyed, percent, shingle, least)
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string, n_lines bigint, n_removed bigint, n_left bigint"])
     joined = keyed.select("_key", *keep, "text").join(removed, "_key", "left").select(*keep, "text", "removed")
-    return common.arrow_map(joined, f"{__name__}:_cut_batches", schema)
+    return common.arrow_map(joined, f"{__name__}:_cut_batches", schema, least=least)
 
 
-def clean_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = FINE) -> DataFrame:
+def clean_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = FINE, least: int = 1) -> DataFrame:
     """The documents with their lines deduplicated and ``n_chars`` brought up to date.
 
     A document goes as a copy if no line that takes part is left and less than
@@ -322,7 +332,7 @@ def clean_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = FINE
     """
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), "doc_id", "text")
-    cut = remove_duplicate_lines(packed, "_doc", percent=percent, shingle=shingle).where(
+    cut = remove_duplicate_lines(packed, "_doc", percent=percent, shingle=shingle, least=least).where(
         (F.col("n_removed") == 0) | (F.col("n_left") > 0) | (100 * F.length("text") >= COPY_PERCENT * F.length("_doc.text"))
     )
     changed = F.col("n_removed") > 0

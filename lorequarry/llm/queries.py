@@ -71,7 +71,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.remove_duplicate_lines(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", shingle=line_dedup.FINE)
+    cut = line_dedup.remove_duplicate_lines(documents(spark, sf_dir).select("doc_id", "text"), "doc_id", shingle=line_dedup.FINE, least=1)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

@@ -199,6 +199,16 @@ def test_small_edits_in_ordinary_lines_are_found(spark, tmp_path):
     assert text == {k for k in range(len(data)) if k % 2 == 0}
 
 
+def test_short_lines_are_linked_by_equality(spark, tmp_path):
+    texts = ["Home\n\nOne of its own\nAll rights reserved.", "home \n\n\nAnother\n All  rights reserved.", "Home\nAll rights reserved", "x\nx\ny"]
+    data = [(k, t, None, None, 0, None, None) for k, t in enumerate(texts)]
+    fixtures.table(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 2, 2: 1, 3: 1}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(fixtures.table(spark, data)).collect()}
+    assert left == {0: texts[0], 1: "\n\nAnother", 2: "All rights reserved", 3: "x\ny"}
+
+
 def test_bands_find_pairs_at_the_threshold():
     rng = random.Random(6)
     for shingle in (line_dedup.FINE, line_dedup.SHINGLE):
