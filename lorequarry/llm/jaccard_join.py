@@ -333,8 +333,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         links = fresh if links is None else links.unionByName(fresh)
         wrong = checked.where("not linked").select("a", "b")
         components = common.materialize(common.connected_components(links), "components")
-        if not wrong.head(1):
-            break
+        if refuted is None and not wrong.head(1):
+            break  # later rounds may have left pairs beyond a group's room, so those go on until none comes up
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
         members = common.materialize(members.join(found.select("token").distinct(), "token"), "members")
     out = signed.select("doc_id", "_key", "n_shingles", "id")

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -58,6 +59,32 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert jaccard_join.components(fixtures.empty(spark)).count() == 0
 
 
+def capped_families():
+    """Four families of 32 texts (bags of words) in one group. In each the smallest text is
+    linked with some members only, so its forest edges to the others are refuted; what is
+    left open in three families fills the group's room, and all of that are links. Words
+    take the bit of those they replace where bitmaps must not tell the texts apart."""
+    token = {w: int(jaccard_join.shingle_set(w, 1)[0]) for w in (f"w{k}" for k in range(20_000))}
+    pool = sorted(token, key=token.get)
+    common_words, rest = pool[:40], itertools.cycle(random.Random(9).sample(pool[400:], 15_000))
+    bit = lambda w: (token[w] >> 20) % 1024
+    out = []
+    for f in range(4):
+        base = common_words + [next(rest) for _ in range(61 + 2 * f)]
+        swap = lambda words, places: [next(rest) if k in places else w for k, w in enumerate(words)]
+        a = swap(base, {40, 41, 42})
+        b = [next(w for w in rest if bit(w) == bit(old)) if k in {43, 44, 45} else old for k, old in enumerate(a)]
+        texts = [base[:40] + base[41:]] + [swap(a, {46 + k}) for k in range(3)] + [swap(b, {50 + k}) for k in range(28)]
+        out += [(len(out) + k, " ".join(t), None, None, None, None, None) for k, t in enumerate(texts)]
+    return out
+
+
+def test_pairs_beyond_a_full_room_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAVY", 10_000)  # the shared words stay first in the prefixes
+    got = jaccard_join.components(fixtures.table(spark, capped_families()), 1, 90).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(capped_families(), 1, 90)
+
+
 def test_keep_one_leaves_one_of_each_component(spark):
     data = fixtures.rows()
     table = fixtures.table(spark, data)
