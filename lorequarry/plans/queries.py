@@ -508,6 +508,14 @@ def tag_fragments(spark, d):
     return structure.best_lines(wanted, lines).select("doc_id", "ord", F.col("line_no").cast("bigint").alias("line_no"))
 
 
+@query()
+def tag_all_fragments(spark, d):
+    """All lines of each document, tagged with all of its sentences."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("full_text"))
+    sentences = docs.select("doc_id", F.posexplode(F.split("full_text", r"\.")).alias("ord", "fragment"))
+    return structure.tag_fragments(docs, sentences).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "text", "red_text")
+
+
 # --- page geometry -------------------------------------------------------------------------------
 
 _ITEMS = "SELECT l_orderkey AS page, l_linenumber AS idx, 'item ' || l_linenumber AS text, l_quantity AS x, l_tax * 1000 AS y, l_discount * 100 AS width, 10.0::DOUBLE AS height FROM lineitem"

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lorequarry.operators import ordered, pages, questions, review, structure
+from lorequarry.plans import queries as plans
 from lorequarry.streaming import review as streaming
 
 LINES = "doc_id int, line_no int, text string, red_text string, location string"
@@ -78,6 +79,37 @@ def test_fragments_are_tagged(spark):
     assert got == [("1. 首都是哪里", None), ("中国的首都是北京", "中国的首都是北京"), ("另一行", None)]
 
 
+def test_all_sentences_are_tagged(spark, tmp_path):
+    texts = ["alpha beta gamma. delta one\ntwo three. short\nfour five six seven. eight nine ten", "1. first line here. and more\nplain", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in plans.QUERIES["tag_all_fragments"](spark, str(tmp_path)).orderBy("doc_id", "line_no").collect()]
+
+    def key(x):
+        return "".join(c for c in x.lower() if c.isalnum())
+
+    def score(a, b):
+        if not a or not b:
+            return 0
+        return 1 if a == b else len(b) / len(a) if b in a else len(a) / len(b) * 0.9 if a in b else 0
+
+    want = []
+    for d, text in enumerate(texts):
+        lines = [x.strip() for x in (text or "").split("\n") if x.strip()]
+        red = {}
+        for raw in (text or "").split("."):
+            fragment = raw.strip()
+            best = max(range(len(lines)), key=lambda k: (score(key(lines[k]), key(fragment)), -k), default=None)
+            if fragment and best is not None and score(key(lines[best]), key(fragment)) >= 0.32:
+                red.setdefault(best, []).append(fragment)
+        for k, line in enumerate(lines):
+            joined = " ".join(red[k]) if k in red else None
+            numbered = line[:2] == "1."
+            if joined and (key(joined) == key(line) or not numbered and len(key(joined)) >= max(2, int(len(key(line)) * 0.55 + 0.5))):
+                joined = line
+            want.append((d, k, line, joined))
+    assert got == want and sum(r[3] is not None for r in got) >= 3
+
+
 def reference_fold(history):
     state = (0, 0, 0, 0, 0, None, None)
     for ms, correct in history:
