@@ -195,6 +195,11 @@ def review_queue(spark, d):
     return review.queue(_joined(spark, d), limit=100).select("point_id", "due_at")
 
 
+@query(f"WITH RECURSIVE {S.FOLD} SELECT point_id, coalesce(nextReviewAt, 0) AS due_at FROM ({_POINTS}) p LEFT JOIN f USING (point_id) ORDER BY due_at, point_id")
+def review_queue_all(spark, d):
+    return review.queue(_joined(spark, d)).select("point_id", "due_at")
+
+
 @query(f"WITH RECURSIVE {S.FOLD} SELECT min(nextReviewAt) AS next_review FROM f WHERE nextReviewAt > {NOW_MS}")
 def next_review(spark, d):
     return records(spark, d).where(F.col("nextReviewAt") > NOW_MS).agg(F.min("nextReviewAt").alias("next_review"))

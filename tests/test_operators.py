@@ -126,6 +126,15 @@ def test_schedule(spark):
     assert got[1][:2] == (0, 600_000) and got[3][0] == 1 and got[4][:3] == (0, 600_000, 2) and got[6][0] == 6
 
 
+def test_the_whole_queue_is_listed(spark, tmp_path):
+    spark.createDataFrame([(k, f"p{k}") for k in range(130)], "c_custkey bigint, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    events = spark.createDataFrame([(k, k, 1_000 * k, "view") for k in range(0, 130, 2)], "event_id bigint, user_id bigint, s bigint, event_type string")
+    events.withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in plans.QUERIES["review_queue_all"](spark, str(tmp_path)).collect()]
+    due = {k: reference_fold([(1_000_000 * k, True)])[1] if k % 2 == 0 else 0 for k in range(130)}
+    assert got == [(k, due[k]) for k in sorted(due, key=lambda k: (due[k], k))]
+
+
 def test_streamed_schedule_equals_the_batch(spark, tmp_path):
     rows = [(k % 7, k * 3_600_000, k, k % 3 > 0) for k in range(120)]
     schema = "point_id bigint, ts_ms bigint, ord bigint, correct boolean"
