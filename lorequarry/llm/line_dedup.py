@@ -240,8 +240,9 @@ def _links(keyed: DataFrame, lines: DataFrame, percent: int, shingle: int) -> Da
     """Components (id, component) of lines that differ, or None."""
     sets = lines.where("size > 0").groupBy("line").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     met = sets.select("line", "size", F.explode("bands").alias("bucket")).repartition("bucket")
-    groups = met.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("line").alias("x"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.sum(F.col("line") % 1_000_003).alias("s")).where("n > 1")
-    chosen = groups.groupBy("n", "x", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
+    # all columns are used on both sides of the join, so that the exchange is made once
+    groups = met.groupBy("bucket").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.bit_xor("line").alias("x"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.sum(F.col("line") % 1_000_003).alias("s")).where("n > 1")
+    chosen = groups.groupBy("n", "size", "x", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = common.materialize(met.join(chosen, "bucket"), "buckets")
     needed = members.select("line").distinct()
     where = lines.join(_small(needed, needed.count()), "line").groupBy("line").agg(F.min(F.struct("_key", "line_no")).alias("at"))
