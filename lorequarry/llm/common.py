@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Rows in an Arrow batch handed to Python: small, since one text may be very long.
+#: Rows handled at once in Python: small, since one text may be very long.
 BATCH_ROWS = 512
+#: The caller's columns travel in one struct of this name, so that no name of theirs
+#: clashes with ours or has to be quoted.
+KEEP = "_keep"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    The setting is only made here where it is missing (single-machine runs, tests).
+    Where the setting is missing, a single machine gets a folder of its own; a cluster
+    is refused, since its executors couldn't see one another's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lorequarry-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(_remove_local, base[len("file://"):])
@@ -45,33 +54,87 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage.
+class Scratch:
+    """The scratch tables of one run of an operator.
 
-    Unlike a local checkpoint the files outlive the executors that wrote them.
+    ``write`` cuts the lineage: the table lies in the shared folder, where it outlives
+    the executors that wrote it. ``drop`` deletes tables that nothing will read again.
+    What a returned DataFrame still reads stays until ``release`` or the end of the session.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+        Scratch._open.append(self)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if table is not None and id(table) in self.paths:
+                drop_path(self.spark, self.paths.pop(id(table))[0])
+        self.tidy()
+
+    def tidy(self) -> None:
+        """Shuffle files go with the driver's last reference to them, so let it look for such."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+    def release(self) -> None:
+        for path, _ in self.paths.values():
+            drop_path(self.spark, path)
+        self.paths.clear()
+
+
+def release_all() -> None:
+    """Delete the scratch of all operators that ran so far: for a caller who has written their results."""
+    for scratch in Scratch._open:
+        scratch.release()
+    Scratch._open.clear()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """One table written to the shared folder and read again."""
+    return Scratch(df.sparkSession).write(df, name)
 
-def drop_tables(*tables: DataFrame) -> None:
-    """Delete scratch tables that ``materialize`` made and nothing will read again."""
-    for table in tables:
-        files = table.inputFiles()
-        if files:
-            drop_path(table.sparkSession, os.path.dirname(files[0]))
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, keep: Sequence[str], replaced: Iterable[str] = ()) -> tuple[Column, list[str]]:
+    """The columns ``keep`` as one struct, and their names; those of ``replaced`` are left out."""
+    gone = {r.lower() for r in replaced}
+    names = [n for n in keep if n.lower() not in gone]
+    fields = [docs[quoted(n)].alias(n) for n in names] or [F.lit(None).cast("int").alias("none")]
+    return F.struct(*fields).alias(KEEP), names
+
+
+def unpacked(df: DataFrame, names: Sequence[str], *more) -> DataFrame:
+    """The columns out of the struct again, and ``more``."""
+    return df.select(*[F.col(KEEP).getField(n).alias(n) for n in names], *more)
+
+
+def schema_of(df: DataFrame, names: Sequence[str], added: str = "") -> StructType:
+    """The types of some columns, followed by ``added`` in DDL."""
+    own = {f.name: f for f in df.schema}
+    return StructType([own[n] for n in names] + (StructType.fromDDL(added).fields if added else []))
 
 
 def arrow_map(df: DataFrame, target: str, schema, **params) -> DataFrame:
     """``mapInArrow`` with the function given as ``module:function`` of this package.
 
     The function is imported on the executor rather than shipped, so per-process
-    caches live as long as the worker does.
+    caches live as long as the worker does. It gets batches of at most BATCH_ROWS rows.
     """
     module, function = target.split(":")
-    root = ROOT
+    root, here = ROOT, __name__
 
     def run(batches):
         import importlib
@@ -79,22 +142,30 @@ def arrow_map(df: DataFrame, target: str, schema, **params) -> DataFrame:
 
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), function)(batches, **params)
+        parts = importlib.import_module(here).parts
+        return getattr(importlib.import_module(module), function)(parts(batches), **params)
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
+def parts(batches) -> Iterator:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(start, BATCH_ROWS)
+
+
 def document_key() -> Column:
-    """Identifies a document's content under its id; equal rows share it, nulls included."""
-    return F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+    """128 bits of a document's id, of any type, and its text; equal rows share them, nulls included."""
+    part = lambda c: F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(part("doc_id"), F.lit("/"), part("text"))))
 
 
 def _contract_batches(batches):
     """Union-find over the edges of one task: every id with the smallest id it reaches there."""
     import pyarrow as pa
 
-    root: dict[int, int] = {}
+    root: dict = {}
+    kind = None
 
     def find(k):
         top = k
@@ -105,52 +176,48 @@ def _contract_batches(batches):
         return top
 
     for batch in batches:
+        kind = batch.schema.field("u").type
         for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
             a, b = find(u), find(v)
             if a != b:
                 root[max(a, b)] = min(a, b)
     found = [(k, find(k)) for k in list(root)]
     found = [x for x in found if x[0] != x[1]]
-    if found:
-        u, v = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+    for start in range(0, len(found), 100_000):
+        u, v = zip(*found[start : start + 100_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, kind), pa.array(v, kind)], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, edges_per_task: int = 500_000) -> DataFrame:
-    """Distributed union-find: rows (id, component) for every id on an edge.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", edges_per_task: int = 500_000) -> DataFrame:
+    """Distributed union-find: rows (id, component) for every id on an edge, as a scratch table.
 
-    Each task contracts a bounded number of edges to stars. If that took more than one
-    task, alternating large-star and small-star rounds join the stars: minimum neighbours
-    are found by aggregation with map-side combine and joined back, so no neighbourhood
-    is gathered in one place. ``component`` is the smallest id that can be reached.
+    Tasks first contract bounded numbers of edges to stars. Large-star and small-star
+    rounds then join the stars of different tasks: least neighbours are found by
+    aggregation with map-side combine and joined back, so no neighbourhood is gathered
+    in one place. The rounds end once every id hangs on a root and no root on anything,
+    which they reach in a number of rounds that is logarithmic in the longest path.
+    ``component`` is the smallest id that can be reached. Ids may have any ordered type.
     """
-    raw = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    tasks = -(-raw.count() // edges_per_task)
-    now = materialize(arrow_map(raw.coalesce(max(1, tasks)), f"{__name__}:_contract_batches", "u bigint, v bigint"), "cc")
-    drop_tables(raw)
-    before = None
-    for _ in range(rounds if tasks > 1 else 0):
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or not state["n"]:
+    scratch = Scratch(edges.sparkSession)
+    raw = scratch.write(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    tasks = max(1, -(-raw.count() // edges_per_task))
+    now = scratch.write(arrow_map(raw.coalesce(tasks), f"{__name__}:_contract_batches", raw.schema), "stars")
+    scratch.drop(raw)
+    while True:
+        # stars: no child is a root, none hangs on two roots
+        roots = now.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1))
+        children = now.groupBy("u").agg(F.count("*").alias("n"))
+        if not children.join(roots, "u", "left").where("n > 1 or root = 1").head(1):
             break
-        before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct()
-        )
-        after = materialize(small, "cc")
-        drop_tables(now)
-        now = after
-    else:
-        if tasks > 1:
-            raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    ).distinct()
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        small = large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        before, now = now, scratch.write(small, "stars")
+        scratch.drop(before)
+    found = now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = scratch.write(found, "components")
+    scratch.drop(now)
+    return out

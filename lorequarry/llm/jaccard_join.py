@@ -303,9 +303,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     total = signed.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
     heavy = [r["token"] for r in spread.where(F.col("n") > max(HEAVY, total // MAX_HEAVY)).select("token").collect()]  # MAX_HEAVY at most
     if heavy:
-        first = signed
         signed = read(np.sort(np.array(heavy, np.int64).view(np.uint64)))
-        common.drop_tables(first)
     sets = signed.where("id is not null").groupBy("id").agg(F.max("prefix").alias("prefix"))
     # where classes meet: one token for each distinct group of two or more
     met = sets.select("id", F.explode("prefix").alias("token")).repartition("token")

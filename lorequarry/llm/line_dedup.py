@@ -1,24 +1,30 @@
 """Fuzzy line deduplication: MinHash, banding, exact verification, union-find.
 
 Lines (split at \\n, outer white space cut, inner white space made one space, lower
-case) of at least MIN_CHARS characters take part, and where ``least`` says so shorter
-ones, which are linked if they are equal. The MinHash signatures of the longer ones over
-character shingles are cut into bands; lines that agree in a band are candidates, unless
-the sizes of their shingle sets alone rule a link out. An edit of one character breaks as
-many shingles as a shingle has characters, so the length decides which edits are seen: at
-Jaccard 0.8 FINE shingles link inner edits of one character in lines from 39 characters
-on, those of SHINGLE from 79 on. The query and the pipeline use FINE. Candidates are
-verified by the exact Jaccard similarity of their shingle sets, and verified pairs are
-joined into components by distributed union-find. The first line of each component, by
-doc_id (null last) and place, stays; the others are removed.
-
-A bucket of up to SMALL lines yields all of its pairs that aren't connected yet. A larger one
-yields a spanning forest and is searched again without the refuted pairs, and after
-ROUNDS rounds yields all that are left, so no candidate is lost.
-
-Defined results: null texts stay null and empty ones empty; blank lines and those under
-``least`` characters stay; rows equal in doc_id and text are treated alike, so a line's
-first place in one stays in all of them; extra columns are kept; an empty table gives an empty table.
+case) that aren't blank take part. Those under MIN_CHARS characters have too few
+shingles to compare and are linked where they are equal. The MinHash signatures of the
+others over character shingles are cut into bands; lines that agree in a band share a
+bucket. An edit of one character breaks as many shingles as a shingle has characters,
+so the length decides which edits are seen: at Jaccard 0.8, shingles of 4 link inner
+edits of one character in lines from 39 characters on.
+
+Equal lines are one, told apart by 128 bits. A line's band hashes are dealt out by
+bucket as packed numbers, a few bands at a time. With each goes a sketch: one bit of
+each of SKETCH_BITS minima, of which two lines of similarity s share a part (1 + s) / 2,
+and the size of the shingle set. Two members of a bucket are close if neither rules a
+link out; a linked pair fails that with a probability of about 1e-5. A bucket gives a
+spanning forest of its close pairs, so at most one pair a member. Pairs are verified by
+the exact Jaccard similarity of their shingle sets, and verified ones joined into
+components by distributed union-find. Buckets in which a pair was refuted are searched
+again for close pairs that are neither connected nor refuted, a bounded number a round,
+until none is left. So every close pair of a bucket ends up connected or refuted.
+
+The first line of each component, by doc_id (null last) and place, stays; the others go.
+
+Defined results: null texts stay null and empty ones empty; blank lines stay; rows equal
+in doc_id and text are treated alike, so a line's first place in one stays in all of
+them; doc_id may have any type; columns of any names are kept; an empty table gives an
+empty table. A text is held whole in its task, its lines are signed in bounded chunks.
 """
 
 from __future__ import annotations
@@ -31,27 +37,32 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE = 8
-#: Characters of a shingle in the query and the pipeline.
-FINE = 4
+SHINGLE = 4
 PERCENT = 80
 MIN_CHARS = 30
-COPY_PERCENT = 50
-#: Unrelated lines share many short shingles, so a band needs enough rows to tell them apart.
+#: A pair at similarity 0.8 agrees in a band with probability 0.998.
 BANDS, BAND_ROWS = 26, 7
-SMALL = 24
-ROUNDS = 5
+#: Bands dealt out at once; at least SKETCH_BITS minima.
+BANDS_AT_ONCE = 13
+SKETCH_BITS, LEAST_AGREEMENT = 56, 42
+#: Pairs that a bucket emits for each member and round, once something in it was refuted.
+PAIRS_PER_MEMBER = 8
 CHUNK = 1 << 15
+ENTRIES_PER_TASK = 1_000_000
 LINES_KEPT = 2_000
-MAX_BROADCAST_ROWS = 300_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _FACTORS = np.random.Generator(np.random.Philox(20_231_117)).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SKETCH_MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def line_id(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
+
+
 def _hashes(units: bytes, count: int, shingle: int) -> np.ndarray:
     """Hashes of the ``count`` shingles, of 4 or 8 units, of UTF-16 text."""
     h = np.ndarray((count,), "<u8", units, 0, (2,)) * _K1
@@ -70,8 +81,9 @@ def shingles(line: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(_hashes(units, len(units) // 2 - shingle + 1, shingle))
 
 
-def band_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, BANDS) hashes and the number of each line's different shingles; every line has at least ``shingle`` characters."""
+def signatures(lines: list[str], shingle: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (lines, last - first) of some bands, the number of each line's different
+    shingles, and the sketches; every line has at least ``shingle`` characters."""
     parts = [x.encode("utf-16-le", "replace") for x in lines]
     sizes = np.array([len(p) // 2 for p in parts])
     starts = np.cumsum(sizes) - sizes
@@ -84,121 +96,213 @@ def band_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, n
     own.sort()
     fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     different = np.bincount((own[fresh] >> np.uint64(32)).astype(np.int64), minlength=len(parts))
-    out = np.zeros((len(parts), BANDS), np.uint64)
-    for k, factor in enumerate(_FACTORS):
+    out = np.zeros((len(parts), last - first), np.uint64)
+    sketch = np.zeros(len(parts), np.uint64)
+    for k, factor in enumerate(_FACTORS[first * BAND_ROWS : last * BAND_ROWS]):
         low = np.minimum.reduceat(h * factor, starts)
         band = k // BAND_ROWS
         out[:, band] = (out[:, band] + low) * _K1
         out[:, band] ^= out[:, band] >> np.uint64(31)
-    return out * _K2 + np.arange(BANDS, dtype=np.uint64), different
+        if k < SKETCH_BITS:
+            sketch |= (low.astype(np.uint64) >> np.uint64(3) & np.uint64(1)) << np.uint64(k)
+    return out * _K2 + np.arange(first, last, dtype=np.uint64), different, sketch
+
+
+def band_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) hashes and the number of each line's different shingles."""
+    return signatures(lines, shingle, 0, BANDS)[:2]
 
 
-_LINES = "_key bigint, doc_id bigint, line_no int, line bigint, size int, bands array<bigint>"
+# --- lines ---------------------------------------------------------------------------
 
 
-def _signature_batches(batches, shingle, least):
+def _line_batches(batches):
+    """A row for each line that isn't blank: its document, place and 128 bits."""
     for batch in batches:
-        held: list[tuple] = []
-        size = 0
-        for key, doc, text in zip(batch.column("_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+        rows, places, ids = [], [], []
+        for row, text in enumerate(batch.column("text").to_pylist()):
             for k, raw in enumerate(text.split("\n") if text else ()):
                 line = normal(raw)
-                if len(line) >= least:
-                    held.append((key, doc, k, line))
-                    size += len(line)
-                    if size >= CHUNK:
-                        yield _signed(held, shingle)
-                        held, size = [], 0
-        if held:
-            yield _signed(held, shingle)
-
-
-def _signed(held, shingle):
-    keys, docs, places, lines = zip(*held)
-    long = [k for k, x in enumerate(lines) if len(x) >= MIN_CHARS]
-    sizes, offsets = np.zeros(len(lines), np.int32), np.zeros(len(lines) + 1, np.int32)
-    bands = np.zeros((0, BANDS), np.uint64)
-    if long:
-        bands, sizes[long] = band_hashes([lines[k] for k in long], shingle)
-        offsets[np.array(long) + 1] = BANDS
-    ids = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) >> 1 for x in lines]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(np.cumsum(offsets, dtype=np.int32), pa.array(bands.view(np.int64).reshape(-1)))],
-        names=["_key", "doc_id", "line_no", "line", "size", "bands"],
-    )
-
-
-def bucket_pairs(ids: list[int], labels: list[int], refuted: set[tuple[int, int]], forest: bool, sizes: list[int] | None = None, percent: int = 0) -> list[tuple[int, int]]:
-    """Pairs of a bucket to verify: all that aren't connected or refuted, or a spanning forest of those.
-
-    ``sizes`` of the shingle sets rule out pairs that can't be linked; as they are counted
-    by short hashes, one more or less is allowed for.
+                if line:
+                    rows.append(row)
+                    places.append(k)
+                    ids.append(line_id(line))
+        at = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("_key").take(at), batch.column("doc_id").take(at), pa.array(places, pa.int32()), pa.array(ids, pa.binary())], names=["_key", "doc_id", "line_no", "line"])
+
+
+def _size_code(sizes: np.ndarray) -> np.ndarray:
+    """Sizes on a logarithmic scale of 24 steps a doubling, in one byte."""
+    return np.minimum(24 * np.log2(np.maximum(sizes, 1)), 255).astype(np.uint64)
+
+
+def _entry_batches(batches, shingle, first, last, tasks):
+    """Bands as packed entries: bucket (u32), line (u64), sketch and size (u64), by the task that gets them."""
+    held: dict[int, str] = {}
+    seen: set[int] = set()
+    signed: list[tuple] = []
+    size = count = 0
+
+    def sign():
+        bands, sizes, sketch = signatures(list(held.values()), shingle, first, last)
+        ids = np.array(list(held), np.uint64)
+        signed.append((bands, ids, sketch & _SKETCH_MASK | _size_code(sizes) << np.uint64(SKETCH_BITS)))
+        held.clear()
+
+    def dealt():
+        width = last - first
+        bucket = np.concatenate([s[0] for s in signed]).reshape(-1)
+        ids, tail = (np.repeat(np.concatenate([s[k] for s in signed]), width) for k in (1, 2))
+        signed.clear()
+        to = (bucket % np.uint64(tasks)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        ends = np.cumsum(np.bincount(to, minlength=tasks))
+        bucket, ids, tail = (bucket[order] >> np.uint64(32)).astype("<u4"), ids[order], tail[order]
+        begins = np.append(0, ends[:-1])
+        full = np.flatnonzero(ends > begins)
+        data = [bucket[a:b].tobytes() + ids[a:b].tobytes() + tail[a:b].tobytes() for a, b in zip(begins[full], ends[full])]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["task", "entries"])
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            for raw in text.split("\n") if text else ():
+                line = normal(raw)
+                if len(line) < MIN_CHARS or (name := int.from_bytes(line_id(line)[:8], "big")) in seen:
+                    continue
+                seen.add(name)
+                held[name] = line
+                size += len(line)
+                if size >= CHUNK:
+                    count += len(held)
+                    sign()
+                    size = 0
+                    if count * (last - first) >= ENTRIES_PER_TASK:
+                        yield dealt()
+                        seen.clear()
+                        count = 0
+    if held:
+        sign()
+    if signed:
+        yield dealt()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(blob) // 20
+    return np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u8", n, 4 * n), np.frombuffer(blob, "<u8", n, 12 * n)
+
+
+def close(tail: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sketches and sizes let a link be possible. Sizes may be one step off."""
+    agree = SKETCH_BITS - np.bitwise_count((tail ^ other) & _SKETCH_MASK).astype(np.int64)
+    apart = np.abs((tail >> np.uint64(SKETCH_BITS)).astype(np.int64) - (other >> np.uint64(SKETCH_BITS)).astype(np.int64))
+    return (agree >= LEAST_AGREEMENT) & (apart <= 24 * np.log2(100 / percent) + 2)
+
+
+def bucket_pairs(ids, labels, refuted: set[tuple[int, int]], forest: bool, tails: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Pairs of a bucket to verify: close ones that aren't connected by ``labels`` or refuted.
+
+    With ``forest`` a spanning forest of them, else as many as a round may emit. Members
+    with the most frequent label are only met from the side of the others.
     """
-    size = dict(zip(ids, sizes)) if sizes else None
-
-    def open_(a, b):
-        if size and percent * (max(size[a], size[b]) - 1) > 100 * (min(size[a], size[b]) + 1):
-            return False
-        return (min(a, b), max(a, b)) not in refuted
-
-    out = []
-    if not forest or len(ids) <= SMALL:
-        for i in range(len(ids)):
-            for j in range(i):
-                if labels[i] != labels[j] and open_(ids[j], ids[i]):
-                    out.append((ids[j], ids[i]))
+    ids, n = np.asarray(ids, np.int64), len(ids)
+    labels = np.unique(np.asarray(labels, np.int64), return_inverse=True)[1]
+    place = {int(x): k for k, x in enumerate(ids)}
+    never: dict[int, list[int]] = {}
+    for a, b in refuted:
+        if a in place and b in place:
+            never.setdefault(place[a], []).append(place[b])
+            never.setdefault(place[b], []).append(place[a])
+
+    def open_(k, others):
+        out = np.ones(len(others), bool) if tails is None else close(tails[others], tails[k], percent)
+        if k in never:
+            out &= ~np.isin(others, never[k])
         return out
-    groups: dict[int, list[int]] = {}
-    for k, label in enumerate(labels):
-        groups.setdefault(label, []).append(ids[k])
-    waiting = sorted(groups.values(), key=len, reverse=True)
-    while waiting:  # grow a tree from the largest group; what it can't reach starts another tree
-        tree, rest, changed = list(waiting[0]), waiting[1:], True
-        while changed:
-            changed, left = False, []
-            for group in rest:
-                pair = next(((min(a, b), max(a, b)) for a in group for b in tree if open_(a, b)), None)
-                if pair is None:
-                    left.append(group)
-                else:
-                    out.append(pair)
-                    tree += group
-                    changed = True
-            rest = left
-        waiting = rest
-    return out
 
+    out: list[tuple[int, int]] = []
+    if forest:
+        waiting = np.arange(n)
+        while len(waiting):  # grow a tree from a member and all that are connected to it
+            tree = waiting[labels[waiting] == labels[waiting[0]]].tolist()
+            waiting = waiting[labels[waiting] != labels[waiting[0]]]
+            for k in tree:  # the list grows
+                if not len(waiting):
+                    break
+                near = waiting[open_(k, waiting)]
+                groups, one = np.unique(labels[near], return_index=True)
+                if len(groups):
+                    out += [(k, int(near[j])) for j in one]
+                    joined = np.isin(labels[waiting], groups)
+                    tree += waiting[joined].tolist()
+                    waiting = waiting[~joined]
+    else:
+        most = np.bincount(labels).argmax()
+        for k in np.flatnonzero(labels != most):
+            others = np.flatnonzero((labels != labels[k]) & ((labels == most) | (np.arange(n) < k)))
+            out += [(int(k), int(j)) for j in others[open_(k, others)]]
+            if len(out) >= PAIRS_PER_MEMBER * n:
+                break
+    return [(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in out]
 
-def _pair_batches(batches, forest, percent):
-    """Rows (bucket, line, label, refuted, size) sorted by (bucket, line)."""
-    held: list[tuple] = []
-    found: list[tuple] = []
 
-    def finish():
-        ids = [r[1] for r in held]
-        refuted = {(min(r[1], o), max(r[1], o)) for r in held for o in r[3] or ()}
-        return [(held[0][0], a, b) for a, b in bucket_pairs(ids, [r[2] for r in held], refuted, forest, [r[4] for r in held], percent)]
+_SEARCHED = "bucket bigint, a bigint, b bigint, tail bigint"
 
-    def rows():
-        t, a, b = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["bucket", "a", "b"])
 
+def _bucket_batches(batches, percent):
+    """All entries of a task's buckets. Rows (bucket, a, b) are pairs; rows without b are
+    the members of buckets of three or more that gave a pair, with their sketches."""
+    blobs, task = [], 0
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "line", "label", "refuted", "size")]):
+        blobs += batch.column("entries").to_pylist()
+        task = batch.column("task")[0].as_py() if batch.num_rows else task
+    if not blobs:
+        return
+    bucket, ids, tail = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+    blobs.clear()
+    order = np.lexsort((ids, bucket))
+    bucket, ids, tail = bucket[order], ids[order], tail[order]
+    fresh = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])]))
+    bucket, ids, tail = bucket[fresh], ids[fresh].view(np.int64), tail[fresh]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    begin, n = edge[:-1], np.diff(edge)
+    name = bucket.astype(np.int64) | np.int64(task) << np.int64(32)
+    two = begin[n == 2]
+    two = two[close(tail[two], tail[two + 1], percent)]
+    out = [(name[two], np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]), None)]
+    for b, k in zip(begin[n > 2], n[n > 2]):
+        own = ids[b : b + k]
+        if found := bucket_pairs(own, own, set(), True, tail[b : b + k], percent):
+            x, y = np.array(found).T
+            out.append((np.full(len(x), name[b]), x, y, None))
+            out.append((np.full(k, name[b]), own, None, tail[b : b + k].view(np.int64)))
+    full = lambda k: pa.concat_arrays([pa.array(o[k], pa.int64()) if o[k] is not None else pa.nulls(len(o[0]), pa.int64()) for o in out])
+    yield pa.RecordBatch.from_arrays([full(k) for k in range(4)], names=["bucket", "a", "b", "tail"])
+
+
+def _again_batches(batches, percent):
+    """Rows (bucket, line, tail, label, refuted) in order of bucket; see ``bucket_pairs``."""
+    held: list[tuple] = []
+
+    def search():
+        refuted = {(min(r[1], o), max(r[1], o)) for r in held for o in r[4] or ()}
+        found = bucket_pairs([r[1] for r in held], [r[3] for r in held], refuted, False, np.array([r[2] for r in held], np.int64).view(np.uint64), percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["bucket", "a", "b"])
+
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "line", "tail", "label", "refuted")]):
             if held and row[0] != held[0][0]:
-                found += finish()
+                yield search()
                 held = []
-                if len(found) >= 10_000:
-                    yield rows()
-                    found = []
             held.append(row)
     if held:
-        found += finish()
-    if found:
-        yield rows()
+        yield search()
 
 
-def _line_batches(batches):
+# --- verification --------------------------------------------------------------------
+
+
+def _text_batches(batches):
     for batch in batches:
         ids, texts = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
@@ -206,95 +310,118 @@ def _line_batches(batches):
             for w in wanted:
                 ids.append(w["line"])
                 texts.append(normal(lines[w["line_no"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["line", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["line", "text"])
 
 
 def _verify_batches(batches, percent, shingle):
-    """Rows come in order of b; its set is held while it stays, and recent sets of a."""
-    last: tuple = (None, None)
-    held: dict[int, np.ndarray] = {}
+    """Recent sets of either side are held; rows come in order of b."""
+    held: dict[bytes, np.ndarray] = {}
+
+    def of(line, text):
+        found = held.get(line)
+        if found is None:
+            if len(held) >= LINES_KEPT:
+                held.pop(next(iter(held)))
+            found = held[line] = shingles(text, shingle)
+        return found
+
     for batch in batches:
         out = []
-        for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]):
-            if last[0] != b:
-                last = (b, shingles(y, shingle))
-            s = held.get(a)
-            if s is None:
-                if len(held) >= LINES_KEPT:
-                    held.pop(next(iter(held)))
-                s = held[a] = shingles(x, shingle)
-            t = last[1]
+        for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("line_a", "line_b", "x", "y")]):
+            s, t = of(a, x), of(b, y)
             if percent * max(len(s), len(t)) > 100 * min(len(s), len(t)):
                 out.append(False)  # the sizes alone rule it out
                 continue
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            both = np.concatenate([s, t])
+            both.sort()
+            both = int((both[1:] == both[:-1]).sum())
             out.append(100 * both >= percent * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
-
-
-def _links(keyed: DataFrame, lines: DataFrame, percent: int, shingle: int) -> DataFrame | None:
-    """Components (id, component) of lines that differ, or None."""
-    sets = lines.where("size > 0").groupBy("line").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    met = sets.select("line", "size", F.explode("bands").alias("bucket")).repartition("bucket")
-    # all columns are used on both sides of the join, so that the exchange is made once
-    groups = met.groupBy("bucket").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.bit_xor("line").alias("x"), F.min("line").alias("lo"), F.max("line").alias("hi"), F.sum(F.col("line") % 1_000_003).alias("s")).where("n > 1")
-    chosen = groups.groupBy("n", "size", "x", "lo", "hi", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = common.materialize(met.join(chosen, "bucket"), "buckets")
-    needed = members.select("line").distinct()
-    where = lines.join(_small(needed, needed.count()), "line").groupBy("line").agg(F.min(F.struct("_key", "line_no")).alias("at"))
-    wanted = where.groupBy(F.col("at._key").alias("_key")).agg(F.collect_list(F.struct("line", F.col("at.line_no").alias("line_no"))).alias("wanted"))
-    wanted = common.materialize(wanted, "wanted")
-    texts = keyed.select("_key", "text").join(_small(wanted, wanted.count()), "_key")
-    texts = common.materialize(common.arrow_map(texts.select("text", "wanted"), f"{__name__}:_line_batches", "line bigint, text string").dropDuplicates(["line"]), "lines")
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "line_a", "line_b")], pa.array(out, pa.bool_())], names=["a", "b", "line_a", "line_b", "linked"])
+
+
+def _low(line):
+    """The first 64 bits of a line's identity, by which entries name it."""
+    return F.conv(F.hex(F.substring(line, 1, 8)), 16, -10).cast("bigint")
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame:
+    """(a, b, line_a, line_b, linked). Lines that share 64 bits are verified each for itself."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("low")).distinct()
+    where = distinct.withColumn("low", _low(F.col("line"))).join(wanted, "low").select("line", "first._key", "first.line_no")
+    lists = where.groupBy("_key").agg(F.collect_list(F.struct("line", "line_no")).alias("wanted"))  # no more than a document's lines
+    texts = keyed.select("_key", "text").join(lists, "_key").select("text", "wanted")
+    texts = scratch.write(common.arrow_map(texts, f"{__name__}:_text_batches", "line binary, text string").dropDuplicates(["line"]), "lines")
+    scratch.tidy()
+    side = lambda low, line, text: texts.select(_low(F.col("line")).alias(low), F.col("line").alias(line), F.col("text").alias(text))
+    both = pairs.join(side("a", "line_a", "x"), "a").join(side("b", "line_b", "y"), "b").select("a", "b", "line_a", "line_b", "x", "y")
+    out = scratch.write(common.arrow_map(both, f"{__name__}:_verify_batches", "a bigint, b bigint, line_a binary, line_b binary, linked boolean", percent=percent, shingle=shingle), "verified")
+    scratch.drop(texts)
+    return out
+
+
+def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame | None:
+    """(id, component) of linked lines that differ, or None."""
+    spark = keyed.sparkSession
+    searched = None
+    for first in range(0, BANDS, BANDS_AT_ONCE):
+        last = min(first + BANDS_AT_ONCE, BANDS)
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines * (last - first) // ENTRIES_PER_TASK))
+        entries = common.arrow_map(keyed.select("text"), f"{__name__}:_entry_batches", "task int, entries binary", shingle=shingle, first=first, last=last, tasks=tasks)
+        dealt = entries.repartitionById(tasks, F.col("task"))
+        part = scratch.write(common.arrow_map(dealt, f"{__name__}:_bucket_batches", _SEARCHED, percent=percent), "buckets")
+        scratch.tidy()
+        searched = part if searched is None else searched.unionByName(part)
+    found, members = searched.where("b is not null").select("bucket", "a", "b"), searched.where("b is null").select("bucket", F.col("a").alias("line"), "tail")
     links = refuted = components = None
-    for turn in range(ROUNDS + 1):
-        rows = members
-        if components is not None:
-            rows = rows.join(components.select(F.col("id").alias("line"), F.col("component").alias("label")), "line", "left").withColumn("label", F.coalesce("label", "line"))
-            rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "line"), "line", "left")
-        else:
-            rows = rows.withColumn("label", F.col("line")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        rows = rows.select("bucket", "line", "label", "refuted", "size").repartition("bucket").sortWithinPartitions("bucket", "line")
-        found = common.materialize(common.arrow_map(rows, f"{__name__}:_pair_batches", "bucket bigint, a bigint, b bigint", forest=turn < ROUNDS, percent=percent), "pairs")
-        pairs = found.select("a", "b").distinct()
+    while True:
+        pairs = scratch.write(found.select("a", "b").distinct(), "pairs")
         if not pairs.head(1):
-            break
-        both = pairs.join(texts.select(F.col("line").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("text").alias("y")), "b")
-        checked = common.materialize(common.arrow_map(both.select("a", "b", "x", "y"), f"{__name__}:_verify_batches", "a bigint, b bigint, linked boolean", percent=percent, shingle=shingle), "verified")
-        fresh, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
+            return components
+        checked = _verified(pairs, distinct, keyed, percent, shingle, scratch)
+        scratch.drop(pairs)
+        fresh, wrong = checked.where("linked").select("line_a", "line_b"), checked.where("not linked").select("a", "b")
         links = fresh if links is None else links.unionByName(fresh)
-        components = common.materialize(common.connected_components(links), "components")
-        if not wrong.head(1):
-            break
+        components = common.connected_components(links, "line_a", "line_b")
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        # only buckets that were not searched completely can have more
-        large = members.groupBy("bucket").count().where(F.col("count") > SMALL).select("bucket")
-        again = found.join(wrong, ["a", "b"]).select("bucket").distinct().join(large, "bucket")
-        members = common.materialize(members.join(again, "bucket"), "buckets")
-    return components
-
-
-def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, least: int = MIN_CHARS) -> DataFrame:
+        # buckets of two, and those whose forest stands, have nothing left to search
+        again = members.join(found.join(wrong, ["a", "b"], "left_semi").select("bucket").distinct(), "bucket")
+        label = components.select(_low(F.col("id")).alias("line"), _low(F.col("component")).alias("label")).groupBy("line").agg(F.min("label").alias("label"))
+        rows = again.join(label, "line", "left").withColumn("label", F.coalesce("label", "line"))
+        open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        members = scratch.write(again.join(open_, "bucket"), "members")
+        rows = members.join(label, "line", "left").withColumn("label", F.coalesce("label", "line"))
+        rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "line"), "line", "left")
+        rows = rows.select("bucket", "line", "tail", "label", "refuted").repartition("bucket").sortWithinPartitions("bucket", "line")
+        found = scratch.write(common.arrow_map(rows, f"{__name__}:_again_batches", "bucket bigint, a bigint, b bigint", percent=percent), "found")
+
+
+def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(_key, removed): places of the lines to remove from each document that loses any."""
-    lines = common.materialize(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_signature_batches", _LINES, shingle=shingle, least=least), "line_signatures")
-    components = _links(keyed, lines, percent, shingle)
-    rows = lines.select("_key", "doc_id", "line_no", "line")
+    scratch = common.Scratch(keyed.sparkSession)
+    lines = common.schema_of(keyed, ["_key", "doc_id"], "line_no int, line binary")
+    lines = scratch.write(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_line_batches", lines), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "line_no")
+    distinct = scratch.write(lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")), "distinct")
+    components = _components(keyed, distinct, distinct.count(), percent, shingle, scratch)
     if components is None:
-        rows = rows.withColumn("label", F.col("line"))
+        groups = distinct.where("n > 1").select("line", "first")
     else:
-        rows = rows.join(components.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("label", F.coalesce("component", "line"))
-    first = rows.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "line_no")).alias("first")).where("n > 1")
-    lost = rows.join(first, "label").where("not (_key = first._key and line_no = first.line_no)")
-    return common.materialize(lost.groupBy("_key").agg(F.collect_set("line_no").alias("removed")), "removed")
-
-
-def _cut_batches(batches, least):
+        joined = distinct.join(components.select(F.col("id").alias("line"), "component"), "line", "left")
+        alone = joined.where("component is null and n > 1").select("line", "first")
+        linked = joined.where("component is not null")
+        best = linked.groupBy("component").agg(F.min("first").alias("best"))
+        groups = alone.unionByName(linked.select("line", "component").join(best, "component").select("line", F.col("best").alias("first")))
+    groups = scratch.write(groups.select("line", F.col("first._key").alias("stays"), F.col("first.line_no").alias("place")), "groups")
+    scratch.drop(distinct)
+    lost = lines.join(groups, "line").where("not (_key = stays and line_no = place)")
+    removed = common.materialize(lost.groupBy("_key").agg(F.collect_set("line_no").alias("removed")), "removed")
+    scratch.release()
+    scratch.tidy()
+    return removed
+
+
+def _cut_batches(batches):
     for batch in batches:
-        names = [n for n in batch.schema.names if n not in ("text", "removed")]
         out, n_lines, n_removed, n_left = [], [], [], []
         for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
             lines = text.split("\n") if text is not None else []
@@ -304,45 +431,45 @@ def _cut_batches(batches, least):
                 gone = set(removed)
                 lines = [x for k, x in enumerate(lines) if k not in gone]
                 text = "\n".join(lines)
-            n_left.append(sum(len(normal(x)) >= least for x in lines) if removed else None)
+            n_left.append(sum(not x.isspace() and x != "" for x in lines))
             out.append(text)
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in names], pa.array(out, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_left, pa.int64())], names=[*names, "text", "n_lines", "n_removed", "n_left"]
-        )
+        counts = [pa.array(x, pa.int64()) for x in (n_lines, n_removed, n_left)]
+        yield pa.RecordBatch.from_arrays([batch.column(common.KEEP), pa.array(out, pa.string()), *counts], names=[common.KEEP, "text", "n_lines", "n_removed", "n_left"])
 
 
-def remove_duplicate_lines(docs: DataFrame, *keep: str, percent: int = PERCENT, shingle: int = SHINGLE, least: int = MIN_CHARS) -> DataFrame:
-    """Columns ``keep`` with the remaining ``text``, ``n_lines`` before, ``n_removed``, and
-    ``n_left``: lines left that take part (null where none was removed).
+_CUT = ("text", "n_lines", "n_removed", "n_left")
+
+
+def _cut(docs: DataFrame, keep, replaced, percent: int, shingle: int) -> tuple[DataFrame, list[str]]:
+    kept, names = common.packed(docs, keep, replaced)
+    keyed = docs.select(kept, "doc_id", "text", common.document_key().alias("_key"))
+    removed = duplicate_lines(keyed, percent, shingle)
+    joined = keyed.select("_key", common.KEEP, "text").join(removed, "_key", "left").select(common.KEEP, "text", "removed")
+    schema = common.schema_of(joined, [common.KEEP], "text string, n_lines bigint, n_removed bigint, n_left bigint")
+    return common.arrow_map(joined, f"{__name__}:_cut_batches", schema), names
 
-    Lines of at least ``least`` characters take part, all that aren't blank at 1.
+
+def remove_duplicate_lines(docs: DataFrame, *keep: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """Columns ``keep`` with the remaining ``text``, ``n_lines`` before, ``n_removed``, and
+    ``n_left``: lines left that aren't blank. Columns of ``keep`` with these names are replaced.
     """
-    keyed = docs.withColumn("_key", common.document_key())
-    removed = duplicate_lines(keyed, percent, shingle, least)
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["text string, n_lines bigint, n_removed bigint, n_left bigint"])
-    joined = keyed.select("_key", *keep, "text").join(removed, "_key", "left").select(*keep, "text", "removed")
-    return common.arrow_map(joined, f"{__name__}:_cut_batches", schema, least=least)
+    cut, names = _cut(docs, keep, _CUT, percent, shingle)
+    return common.unpacked(cut, names, *_CUT)
 
 
-def clean_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = FINE, least: int = 1) -> DataFrame:
+def clean_documents(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The documents with their lines deduplicated and ``n_chars`` brought up to date.
 
-    A document goes as a copy if no line that takes part is left and less than
-    COPY_PERCENT of its characters are.
+    A document goes if it lost lines and nothing but blank ones is left.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), "doc_id", "text")
-    cut = remove_duplicate_lines(packed, "_doc", percent=percent, shingle=shingle, least=least).where(
-        (F.col("n_removed") == 0) | (F.col("n_left") > 0) | (100 * F.length("text") >= COPY_PERCENT * F.length("_doc.text"))
-    )
+    cut, _ = _cut(docs, docs.columns, (), percent, shingle)
     changed = F.col("n_removed") > 0
     columns = []
-    for n in names:
-        column = F.col(f"_doc.`{n}`")
+    for n in docs.columns:
+        column = F.col(common.KEEP).getField(n)
         if n == "text":
             column = F.col("text")
         elif n == "n_chars":
-            column = F.when(changed, F.length("text").cast("bigint")).otherwise(column)
+            column = F.when(changed, F.length("text").cast(docs.schema[n].dataType)).otherwise(column)
         columns.append(column.alias(n))
-    return cut.select(*columns)
+    return cut.where(~changed | (F.col("n_left") > 0)).select(*columns)
