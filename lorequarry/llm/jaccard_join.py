@@ -1,25 +1,28 @@
 """N-gram Jaccard self-join by signature trees.
 
-Every text becomes the set of its word shingles. Texts with equal sets are one class.
-Classes that could be linked share a token of their prefixes (the first tokens of a set
-in one order of all tokens, as many as an unlinked pair could miss), so they meet in the
-group of that token. The order is by hash, with tokens that many documents share last.
-Groups with the same members are searched once. In a group, a signature tree holds
+Every text becomes the set of its word shingles. Texts with equal sets (128 bits) are one
+class. Classes that could be linked share a token of their prefixes (the first tokens of
+a set in one order of all tokens, as many as an unlinked pair could miss), so they meet
+in the group of that token. The order is by hash, with tokens that many documents share
+last. Groups with the same members are searched once. In a group, a signature tree holds
 the members: every node has the OR of its members' token bitmaps, their size range and
 the largest number of tokens that bitmaps can hide. A dual traversal drops pairs of
 nodes whose largest possible overlap is below what a link needs.
 
 Only connectivity is asked for, so a traversal passes over pairs that are connected
 already and emits a spanning forest of what is left, at most one pair a member. The
-pairs are verified exactly on the texts. Where pairs were refuted, the groups they came
-from are searched again without them for all pairs that aren't connected, a bounded
-number a round, until nothing new comes up; at that point every pair in every group is
-connected, ruled out by the bound, or refuted.
+pairs are verified exactly on the texts. A group's members are dealt to blocks of about
+BLOCK; first every block is searched for itself, then, in groups that are not connected
+by then, every two blocks together, so that no task holds more than two blocks. Where
+pairs were refuted, those units are searched again without them for all pairs that
+aren't connected, a bounded number a round, until nothing new comes up; at that point
+every pair in every group is connected, ruled out by the bound, or refuted.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; a null doc_id takes part
-but names no component unless all of its members lack one; equal rows are linked; an
-empty table gives an empty table.
+but names no component unless all of its members lack one; equal rows are linked;
+doc_id may have any ordered type; an empty table gives an empty table. A text and its
+set are held whole, a batch at a time.
 """
 
 from __future__ import annotations
@@ -35,17 +38,19 @@ from . import common
 SHINGLE = 4
 PERCENT = 85
 #: Bits of a bitmap for each token, at least; the number of words is a power of two.
-BITS_PER_TOKEN = 8
+#: Two are enough to tell apart sets that share no more than half of their tokens.
+BITS_PER_TOKEN = 2
 LEAF = 32
+BLOCK = 4096
 #: Pairs that a group emits for each member and round, once something in it was refuted.
 PAIRS_PER_MEMBER = 8
 #: Tokens in the prefixes of more documents than this go last in the order of prefixes;
 #: the bound rises so that there are never more than MAX_HEAVY of them.
 HEAVY, MAX_HEAVY = 64, 100_000
-TEXTS_KEPT = 64
+SETS_KEPT = 64
 WORD_ENTRIES = 400_000
-#: Tables of pairs of numbers up to so many rows are broadcast.
-MAX_BROADCAST_ROWS = 300_000
+#: Tables of a key and a number, some 60 bytes a row, are broadcast up to so many rows: 6 MB.
+MAX_BROADCAST_ROWS = 100_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORDS: dict[bytes, int] = {}
 
@@ -56,25 +61,37 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    words = text.encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
+def _folded(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    h = np.full(len(ids) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = _mix(h * _K1 + ids[k : len(ids) - n + 1 + k])
+    return h
+
+
+def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each text's distinct shingles."""
     known = _WORDS
     if len(known) > WORD_ENTRIES:
         known.clear()
-    missing = [w for w in words if w not in known]
-    for w in missing:
+    split = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
+    words = [w for ws in split for w in ws]
+    for w in set(words) - known.keys():
         known[w] = xxhash.xxh3_64_intdigest(w)
     ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = min(shingle, len(words))
-    h = np.full(len(words) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = _mix(h * _K1 + ids[k : len(words) - n + 1 + k])
-    return np.unique(h)
+    whole = _folded(ids, shingle) if len(ids) >= shingle else ids[:0]
+    out, at = [], 0
+    for ws in split:
+        n = len(ws)
+        s = whole[at : at + n - shingle + 1].copy() if n >= shingle else _folded(ids[at : at + n], n) if n else ids[:0]
+        s.sort()
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+        at += n
+    return out
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return shingle_sets([text], shingle)[0]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -88,34 +105,39 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view("<u8")
 
 
-_SIGNATURES = "id bigint, n_shingles bigint, prefix array<bigint>, bits binary"
-
-
 def prefix_tokens(s: np.ndarray, heavy: np.ndarray, percent: int) -> np.ndarray:
     """The first tokens of a set in order of (heavy, hash), as many as a link can't do without."""
     if len(heavy):
-        last = np.isin(s, heavy)
-        s = np.concatenate([s[~last], s[last]])
+        at = np.searchsorted(heavy, s)
+        at[at == len(heavy)] = 0
+        last = heavy[at] == s
+        if last.any():
+            s = np.concatenate([s[~last], s[last]])
     return s[: prefix_length(len(s), percent)]
 
 
+def _token_batches(batches, shingle, percent):
+    """The prefix tokens of a batch with their numbers of documents."""
+    none = np.zeros(0, np.uint64)
+    for batch in batches:
+        found = [prefix_tokens(s, none, percent) for s in shingle_sets(batch.column("text").to_pylist(), shingle) if len(s)]
+        if found:
+            tokens, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], names=["token", "n"])
+
+
+_SIGNATURES = "id binary, n_shingles bigint, prefix array<bigint>, bits binary"
+
+
 def _signature_batches(batches, shingle, percent, heavy):
     for batch in batches:
         names = [n for n in batch.schema.names if n != "text"]
-        ids, sizes, prefixes, bits = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            s = shingle_set(text, shingle)
-            sizes.append(len(s))
-            if len(s):
-                ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1)
-                prefixes.append(prefix_tokens(s, heavy, percent).view(np.int64))
-                bits.append(bitmap(s).tobytes())
-            else:
-                ids.append(None)
-                prefixes.append(None)
-                bits.append(None)
+        sets = shingle_sets(batch.column("text").to_pylist(), shingle)
+        ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        prefixes = [prefix_tokens(s, heavy, percent).view(np.int64) if len(s) else None for s in sets]
+        bits = [bitmap(s).tobytes() if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in names], pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+            [*[batch.column(n) for n in names], pa.array(ids, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
             names=[*names, "id", "n_shingles", "prefix", "bits"],
         )
 
@@ -232,27 +254,26 @@ def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.nd
 
 
 def _search_batches(batches, percent, forest):
-    """Rows (token, id, n_shingles, bits, label, refuted) sorted by (token, n_shingles, id)."""
+    """Rows (token, unit, num, n_shingles, bits, label, refuted) sorted by (token, unit, n_shingles, num)."""
     held: list[tuple] = []
 
     def finish():
-        sizes = np.array([r[2] for r in held], np.int64)
-        bits = [np.frombuffer(r[3], "<u8") for r in held]
+        sizes = np.array([r[3] for r in held], np.int64)
+        bits = [np.frombuffer(r[4], "<u8") for r in held]
         number: dict[int, int] = {}
-        labels = np.array([number.setdefault(r[4], len(number)) for r in held], np.int64)
-        place = {r[1]: k for k, r in enumerate(held)}
-        refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[5] or () if o in place}
+        labels = np.array([number.setdefault(r[5], len(number)) for r in held], np.int64)
+        place = {r[2]: k for k, r in enumerate(held)}
+        refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[6] or () if o in place}
         for i, j in group_candidates(sizes, bits, labels, refuted, percent, forest):
-            yield held[0][0], min(held[i][1], held[j][1]), max(held[i][1], held[j][1])
+            yield held[0][0], held[0][1], min(held[i][2], held[j][2]), max(held[i][2], held[j][2])
 
     def rows(found):
-        t, a, b = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["token", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["token", "unit", "a", "b"])
 
     found: list[tuple] = []
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("token", "id", "n_shingles", "bits", "label", "refuted")]):
-            if held and row[0] != held[0][0]:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("token", "unit", "num", "n_shingles", "bits", "label", "refuted")]):
+            if held and row[:2] != held[0][:2]:
                 found += finish()
                 held = []
                 if len(found) >= 10_000:
@@ -266,21 +287,24 @@ def _search_batches(batches, percent, forest):
 
 
 def _verify_batches(batches, shingle, percent):
-    """Rows come in order of b. The set of b is held while it stays, and some sets of a."""
-    last: tuple = (None, None)
+    """Some sets of either side are held; rows come in order of b."""
     held: dict[int, np.ndarray] = {}
+
+    def of(num, text):
+        found = held.get(num)
+        if found is None:
+            if len(held) >= SETS_KEPT:
+                held.pop(next(iter(held)))
+            found = held[num] = shingle_set(text, shingle)
+        return found
+
     for batch in batches:
         out = []
         for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]):
-            if last[0] != b:
-                last = (b, shingle_set(y, shingle))
-            s = held.get(a)
-            if s is None:
-                if len(held) >= TEXTS_KEPT:
-                    held.pop(next(iter(held)))
-                s = held[a] = shingle_set(x, shingle)
-            t = last[1]
-            both = len(np.intersect1d(s, t, assume_unique=True))
+            s, t = of(a, x), of(b, y)
+            both = np.concatenate([s, t])
+            both.sort()
+            both = int((both[1:] == both[:-1]).sum())
             out.append(100 * both >= percent * (len(s) + len(t) - both))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
@@ -289,73 +313,113 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
-def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row a document: doc_id, _key, n_shingles, id (its class), component (a class id).
+def _verified(keyed: DataFrame, sets: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """(a, b, linked) by the sets of the two texts; each text is moved once a pair."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
+    keys = sets.join(ids, "num").select("_key", "num")
+    texts = keyed.select("_key", "text").join(_small(keys, 2 * n_pairs), "_key").groupBy("num").agg(F.first("text").alias("text"))
+    texts = scratch.write(texts, "texts")
+    both = pairs.join(texts.select(F.col("num").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("num").alias("b"), F.col("text").alias("y")), "b")
+    out = scratch.write(common.arrow_map(both.select("a", "b", "x", "y"), f"{__name__}:_verify_batches", "a bigint, b bigint, linked boolean", shingle=shingle, percent=percent), "verified")
+    scratch.drop(texts)
+    return out
 
-    ``component`` is null for documents with the empty set.
-    """
-    keyed = docs.select("doc_id", "text", common.document_key().alias("_key"))
-    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, _key bigint, {_SIGNATURES}"
-    read = lambda heavy: common.materialize(common.arrow_map(keyed.select("doc_id", "_key", "text"), f"{__name__}:_signature_batches", kinds, shingle=shingle, percent=percent, heavy=heavy), "signatures")
-    signed = read(np.zeros(0, np.uint64))
-    # tokens that many documents share say little; they go last, so that groups stay small
-    spread = signed.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    total = signed.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
-    heavy = [r["token"] for r in spread.where(F.col("n") > max(HEAVY, total // MAX_HEAVY)).select("token").collect()]  # MAX_HEAVY at most
-    if heavy:
-        signed = read(np.sort(np.array(heavy, np.int64).view(np.uint64)))
-    sets = signed.where("id is not null").groupBy("id").agg(F.max("prefix").alias("prefix"))
+
+def _heavy_tokens(keyed: DataFrame, shingle: int, percent: int) -> np.ndarray:
+    """Sorted tokens in the prefixes of many documents, MAX_HEAVY at most."""
+    spread = common.arrow_map(keyed.select("text"), f"{__name__}:_token_batches", "token bigint, n bigint", shingle=shingle, percent=percent)
+    spread = spread.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY)  # few tokens pass, and none is lost by it
+    spread = common.materialize(spread, "spread")
+    total = spread.agg(F.sum("n").alias("n")).first()["n"] or 0
+    heavy = [r["token"] for r in spread.where(F.col("n") > total // MAX_HEAVY).select("token").collect()]
+    return np.sort(np.array(heavy, np.int64).view(np.uint64))
+
+
+def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratch: common.Scratch) -> DataFrame | None:
+    """(id, component) of linked classes, by their numbers, or None."""
+    met = sets.select("num", F.explode("prefix").alias("token")).repartition("token")
     # where classes meet: one token for each distinct group of two or more
-    met = sets.select("id", F.explode("prefix").alias("token")).repartition("token")
-    groups = met.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("id").alias("x"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.col("id") % 1_000_003).alias("s")).where("n > 1")
-    chosen = groups.groupBy("n", "x", "lo", "hi", "s").agg(F.min("token").alias("token")).select("token")
-    members = common.materialize(met.join(chosen, "token"), "members")
-    needed = members.select("id").distinct()
-    held = common.materialize(signed.where("id is not null").join(_small(needed, needed.count()), "id").groupBy("id").agg(F.min("_key").alias("_key"), F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits")), "bitmaps")
-    links = refuted = components = None
-    while True:
-        rows = members.join(held.drop("_key"), "id")
-        if components is not None:
-            rows = rows.join(components.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-            rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "id"), "id", "left")
+    shape = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("num", F.lit(k))).alias(f"x{k}") for k in range(2)]]
+    groups = met.groupBy("token").agg(*shape).where("n > 1")
+    chosen = groups.groupBy("n", "x0", "x1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = scratch.write(met.join(chosen, "token").select("token", "num", "blocks"), "members")
+    scratch.tidy()
+    block = F.pmod(F.xxhash64("num"), F.col("blocks"))
+    # every block for itself; every two blocks of a group; what had a refuted pair
+    inside = members.select("token", "num", (block * F.col("blocks") + block).alias("unit"))
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block))
+    across = members.where("blocks > 1").select("token", "num", "blocks", block.alias("own"), other.alias("other"))
+    across = across.select("token", "num", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("unit"))
+    payload = sets.select("num", "n_shingles", "bits")
+    turns = [(inside, True)]
+    if members.where("blocks > 1").head(1):
+        turns.append((across, True))
+    links = refuted = components = again = None
+    while turns:
+        units, forest = turns.pop(0)
+        rows = units
+        if components is not None:  # units that are connected by now have nothing to search
+            rows = rows.join(components.select(F.col("id").alias("num"), F.col("component").alias("label")), "num", "left").withColumn("label", F.coalesce("label", "num"))
+            open_ = rows.groupBy("token", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "unit")
+            rows = scratch.write(rows.join(open_, ["token", "unit"]), "units")
+            units = rows.select("token", "num", "unit")
+            rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "num"), "num", "left")
         else:
-            rows = rows.withColumn("label", F.col("id")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        rows = rows.select("token", "id", "n_shingles", "bits", "label", "refuted").repartition("token").sortWithinPartitions("token", "n_shingles", "id")
-        found = common.materialize(common.arrow_map(rows, f"{__name__}:_search_batches", "token bigint, a bigint, b bigint", percent=percent, forest=refuted is None), "candidates")
-        pairs = found.select("a", "b").distinct()
-        n_pairs = pairs.count()
-        if not n_pairs:
-            break
-        checked = common.materialize(_verify(keyed, held, pairs, n_pairs, shingle, percent), "verified")
-        fresh = checked.where("linked").select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        wrong = checked.where("not linked").select("a", "b")
-        components = common.materialize(common.connected_components(links), "components")
-        if refuted is None and not wrong.head(1):
-            break  # later rounds may have left pairs beyond a group's room, so those go on until none comes up
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        members = common.materialize(members.join(found.select("token").distinct(), "token"), "members")
-    out = signed.select("doc_id", "_key", "n_shingles", "id")
-    if components is None:
-        return out.withColumn("component", F.col("id"))
-    return out.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            rows = rows.withColumn("label", F.col("num")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
+        rows = rows.join(payload, "num").select("token", "unit", "num", "n_shingles", "bits", "label", "refuted")
+        rows = rows.repartition("token", "unit").sortWithinPartitions("token", "unit", "n_shingles", "num")
+        found = scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", "token bigint, unit bigint, a bigint, b bigint", percent=percent, forest=forest), "candidates")
+        scratch.tidy()
+        pairs = scratch.write(found.select("a", "b").distinct(), "pairs")
+        if n_pairs := pairs.count():
+            checked = _verified(keyed, sets, pairs, n_pairs, shingle, percent, scratch)
+            fresh, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
+            links = fresh if links is None else links.unionByName(fresh)
+            refuted = wrong if refuted is None else refuted.unionByName(wrong)
+            components = common.connected_components(links)
+        scratch.drop(pairs)
+        if forest:
+            hit = found.join(refuted, ["a", "b"], "left_semi").select("token", "unit").distinct() if refuted is not None else None
+            if hit is not None:
+                hit = units.join(hit, ["token", "unit"])
+                again = hit if again is None else again.unionByName(hit)
+            if not turns and again is not None:
+                turns.append((scratch.write(again, "again"), False))
+        elif n_pairs:  # later rounds may have left pairs beyond a unit's room, so they go on until none comes up
+            turns.append((units.join(found.select("token", "unit").distinct(), ["token", "unit"]), False))
+    return components
 
 
-def _verify(keyed: DataFrame, held: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int, percent: int) -> DataFrame:
-    """(a, b, linked) by the sets of the two texts; each text is moved once a pair."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    keys = held.join(ids, "id").select("_key", "id")
-    texts = keyed.select("_key", "text").join(_small(keys, 2 * n_pairs), "_key").groupBy("id").agg(F.first("text").alias("text"))
-    texts = common.materialize(texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return common.arrow_map(both.select("a", "b", "x", "y"), f"{__name__}:_verify_batches", "a bigint, b bigint, linked boolean", shingle=shingle, percent=percent)
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """A row a document: doc_id, _key, n_shingles, num (its class), component (a class).
+
+    ``num`` and ``component`` are null for documents with the empty set.
+    """
+    scratch = common.Scratch(docs.sparkSession)
+    keyed = docs.select("doc_id", "text", common.document_key().alias("_key"))
+    heavy = _heavy_tokens(keyed, shingle, percent)
+    schema = common.schema_of(keyed, ["doc_id", "_key"], _SIGNATURES)
+    signed = scratch.write(common.arrow_map(keyed.select("doc_id", "_key", "text"), f"{__name__}:_signature_batches", schema, shingle=shingle, percent=percent, heavy=heavy), "signatures")
+    scratch.tidy()
+    sets = signed.where("id is not null").groupBy("id").agg(F.min("_key").alias("_key"), *[F.first(c).alias(c) for c in ("n_shingles", "prefix", "bits")])
+    sets = scratch.write(sets.withColumn("num", F.monotonically_increasing_id()), "sets")
+    components = _links(keyed, sets, shingle, percent, scratch)
+    out = signed.select("doc_id", "_key", "n_shingles", "id").join(sets.select("id", "num"), "id", "left").drop("id")
+    if components is None:
+        out = out.withColumn("component", F.col("num"))
+    else:
+        out = out.join(components.withColumnRenamed("id", "num"), "num", "left").withColumn("component", F.coalesce("component", "num"))
+    out = common.materialize(out.select("doc_id", "_key", "n_shingles", "num", "component"), "classes")
+    scratch.release()
+    scratch.tidy()
+    return out
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id that can be reached, itself included."""
-    rows = common.materialize(classes(docs, shingle, percent), "classes")
-    least = rows.where("id is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    rows = classes(docs, shingle, percent)
+    least = rows.where("num is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("num").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -363,14 +427,15 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 
     The one with the smallest doc_id stays (null last). Documents with the empty set stay.
     """
-    names = docs.columns
-    rows = common.materialize(classes(docs, shingle, percent).where("id is not null"), "classes")
+    rows = classes(docs, shingle, percent).where("num is not null")
     keys = rows.groupBy("component", "_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     best = keys.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best"), F.sum("copies").alias("rows"))
     judged = keys.join(best.where("rows > 1"), "component").select("_key", (F.col("_key") == F.col("best._key")).alias("stays"), "copies")
     judged = common.materialize(judged.where("not stays or copies > 1"), "judged")
-    keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), common.document_key().alias("_key"))
-    single = keyed.join(judged.select("_key"), "_key", "left_anti")
-    repeated = keyed.join(judged.where("stays").select("_key"), "_key")
+    n = judged.count()
+    kept, names = common.packed(docs, docs.columns)
+    keyed = docs.select(kept, common.document_key().alias("_key"))
+    single = keyed.join(_small(judged.select("_key"), n), "_key", "left_anti")
+    repeated = keyed.join(_small(judged.where("stays").select("_key"), n), "_key")
     repeated = repeated.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").drop("_n")
-    return single.unionByName(repeated).select("_doc.*")
+    return common.unpacked(single.unionByName(repeated), names)
