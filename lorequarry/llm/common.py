@@ -154,6 +154,14 @@ def parts(batches) -> Iterator:
             yield batch.slice(start, BATCH_ROWS)
 
 
+def per_text(docs: DataFrame, target: str, added: str, keep: Sequence[str], **params) -> DataFrame:
+    """Columns ``keep`` and those that ``target`` makes of each text, which replace any of the same name."""
+    names = StructType.fromDDL(added).names
+    kept, own = packed(docs, keep, names)
+    rows = docs.select(kept, "text")
+    return unpacked(arrow_map(rows, target, schema_of(rows, [KEEP], added), **params), own, *names)
+
+
 def document_key() -> Column:
     """128 bits of a document's id, of any type, and its text; equal rows share them, nulls included."""
     part = lambda c: F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-"))

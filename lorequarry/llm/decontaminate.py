@@ -5,13 +5,14 @@ window). Its shingles are its word pairs. A window can only occur where its rare
 pair occurs, so the pairs are ordered by how often they occur in all documents and
 one prefix token, the rarest pair, is joined with the documents' pairs. Position and
 length bounds drop what would begin before the text or end after it, and the words of
-the rest are compared one by one.
+the rest are compared one by one. Word pairs that no window has go before any shuffle,
+so what is moved and kept are places that share a pair with the benchmark.
 
 Words are lower-cased (A-Z) runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Defined results:
 null and empty texts have no words and hit nothing, as documents and as items; a null
 item_id is named by the empty string; repeated rows each get the result; an empty
-benchmark hits nothing; extra columns don't matter to ``hits`` and are kept by
-``clean_documents``.
+benchmark hits nothing; doc_id and item_id may have any type; ``hits`` replaces columns
+of ``keep`` that are named as its own, and ``clean_documents`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Tables of at most so many rows made from the benchmark are broadcast; larger ones are shuffled.
-MAX_BROADCAST_ROWS = 200_000
+#: Tables made from the benchmark, or of candidates, are broadcast up to so many bytes, which
+#: are counted; larger ones are shuffled.
+MAX_BROADCAST_BYTES = 8 << 20
+#: Bytes of a row of numbers in memory, and of a row's place in a broadcast table.
+ROW_BYTES = 64
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -40,67 +44,82 @@ def _pairs(w: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows: win (words), len, items (sorted names)."""
+    """(item, win): the windows (words) of every item, each once for an item."""
     w = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - window + 1, F.lit(1)))).alias("s")
-    cut = w.select("item", "w", starts).select("item", F.expr(f"slice(w, s, {window})").alias("win"))
-    return cut.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("win"))
+    return w.select("item", "w", starts).select("item", F.expr(f"slice(w, s, {window})").alias("win")).distinct()
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+def _small(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= MAX_BROADCAST_BYTES else df
 
 
-def _document_pairs(docs: DataFrame) -> DataFrame:
-    w = docs.select("_key", words(F.col("text")).alias("w"))
-    return w.select("_key", F.size("w").alias("n"), _pairs(F.col("w")).alias("p")).select("_key", "n", F.posexplode("p").alias("pos", "token"))
+def _document_pairs(w: DataFrame, singles: bool) -> DataFrame:
+    """(_key, n, pos, token) of all word pairs, and of all single words where items have one word only."""
+    pairs = w.select("_key", F.size("w").alias("n"), F.posexplode(_pairs(F.col("w"))).alias("pos", "token"))
+    if singles:
+        one = w.select("_key", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("pos", "token"))
+        pairs = pairs.unionByName(one.where(F.col("pos") < F.col("n") - 1))  # the last word is among the pairs
+    return pairs
 
 
-def _single_words(docs: DataFrame) -> DataFrame:
-    w = docs.select("_key", words(F.col("text")).alias("w"))
-    return w.select("_key", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("p")).select("_key", "n", F.posexplode("p").alias("pos", "token"))
+def occurrences(docs: DataFrame, windows: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """(_key, start, wid, len): every place where a window's words stand.
 
-
-def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(_key, start, win, len, items) of places where a window's prefix token lies and the window fits.
-
-    ``docs`` has ``_key`` and ``text``; ``windows`` comes from ``item_windows``.
+    ``docs`` has ``_key`` and ``text``, ``windows`` has wid and win.
     """
-    windows = common.materialize(windows.withColumn("wid", F.monotonically_increasing_id()), "windows")
-    counts = windows.agg(F.count("*").alias("n"), F.coalesce(F.min("len"), F.lit(0)).alias("shortest")).first()
-    tokens = windows.select("wid", "len", F.posexplode(F.when(F.col("len") == 1, _pairs(F.col("win"))).otherwise(F.slice(_pairs(F.col("win")), 1, F.col("len") - 1))).alias("offset", "token"))
-    rows = counts["n"] * (WINDOW - 1)
-    pairs = _document_pairs(docs)
-    if counts["shortest"] == 1:  # items of one word: their token is the word
-        one = _single_words(docs)
-        pairs = pairs.unionByName(one.where(F.col("pos") < F.col("n") - 1))
+    sized = windows.withColumn("len", F.size("win"))
+    letters = F.aggregate("win", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
+    counts = sized.agg(F.count("*").alias("n"), F.coalesce(F.min("len"), F.lit(0)).alias("shortest"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(letters), F.lit(0)).alias("bytes")).first()
+    token = F.when(F.col("len") == 1, _pairs(F.col("win"))).otherwise(F.slice(_pairs(F.col("win")), 1, F.col("len") - 1))
+    tokens = sized.select("wid", "len", F.posexplode(token).alias("offset", "token"))
     vocabulary = tokens.select("token").distinct()
-    rarity = pairs.join(_small(vocabulary, rows), "token").groupBy("token").agg(F.count("*").alias("df"))
-    # a token without a row in rarity occurs in no document, so neither does its window
+    # all pairs are looked at once; what the benchmark doesn't know goes before any shuffle
+    met = _document_pairs(docs.select("_key", words(F.col("text")).alias("w")), counts["shortest"] == 1)
+    met = scratch.write(met.join(_small(vocabulary, counts["tokens"] * ROW_BYTES), "token"), "met")
+    rarity = met.groupBy("token").agg(F.count("*").alias("df"))
+    # a window with a token that isn't in rarity occurs nowhere
     ranked = tokens.join(rarity, "token", "left").groupBy("wid", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("first"))
-    prefix = ranked.where("first.df > 0").select("wid", "len", "first.token", "first.offset").join(windows.select("wid", "win", "items"), "wid")
-    prefix = common.materialize(prefix.drop("wid"), "prefix")
-    found = pairs.join(_small(prefix, counts["n"]), "token").where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("len") <= F.col("n")))
-    return found.select("_key", (F.col("pos") - F.col("offset")).alias("start"), "win", "len", "items")
+    prefix = ranked.where("first.df > 0").select("wid", "len", "first.token", "first.offset")
+    found = met.join(_small(prefix, counts["n"] * ROW_BYTES), "token").where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("len") <= F.col("n")))
+    found = scratch.write(found.select("_key", (F.col("pos") - F.col("offset")).alias("start"), "len").distinct(), "candidates")
+    scratch.drop(met)
+    places = found.groupBy("_key").agg(F.collect_list(F.struct("start", "len")).alias("places"))  # each place of a text once a length
+    there = docs.join(_small(places, found.count() * ROW_BYTES), "_key").dropDuplicates(["_key"])
+    cut = there.select("_key", words(F.col("text")).alias("w"), F.explode("places").alias("p")).select("_key", "p.start", "p.len", F.slice("w", F.col("p.start") + 1, F.col("p.len")).alias("win"))
+    return cut.join(_small(windows, counts["bytes"] + counts["n"] * ROW_BYTES), "win").select("_key", "start", "wid", "len")
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, keep, replaced) -> tuple[DataFrame, list[str]]:
+    scratch = common.Scratch(docs.sparkSession)
+    kept, names = common.packed(docs, keep, replaced)
+    keyed = docs.select(kept, "text", common.document_key().alias("_key"))
+    items = scratch.write(item_windows(benchmark), "items")
+    windows = scratch.write(items.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
+    found = scratch.write(occurrences(keyed.select("_key", "text"), windows, scratch), "occurrences")
+    places = found.select("_key", "start", "len").distinct().groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))).alias("hit"))
+    named = found.select("_key", "wid").distinct().join(windows, "wid").join(items, "win").select("_key", "item").distinct()
+    named = named.groupBy("_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    hit = common.materialize(places.join(named, "_key"), "hits")
+    size = hit.agg(F.coalesce(F.sum(4 * F.size("hit") + F.aggregate("items", F.lit(0), lambda n, x: n + F.octet_length(x) + 16) + ROW_BYTES), F.lit(0))).first()[0]
+    scratch.release()
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    # words are counted before the join, which then need not move the texts
+    counted = keyed.select(common.KEEP, "_key", F.size(words(F.col("text"))).cast("bigint").alias("n_words"))
+    return counted.join(_small(hit, size), "_key", "left").select(common.KEEP, "n_words", none("hit", "int"), none("items", "string")), names
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *keep: str) -> DataFrame:
     """Columns ``keep`` with n_words, hit (array of word positions) and items (names found, sorted)."""
-    keyed = docs.withColumn("_key", common.document_key())
-    found = candidates(keyed.select("_key", "text"), item_windows(benchmark))
-    per_doc = found.groupBy("_key").agg(F.collect_set(F.struct("start", "len", "win", "items")).alias("found"))
-    checked = keyed.select(*keep, "_key", "text").join(per_doc, "_key", "left").select(*keep, words(F.col("text")).alias("_w"), "found")
-    real = F.filter(F.coalesce("found", F.array().cast("array<struct<start:int,len:int,win:array<string>,items:array<string>>>")), lambda c: F.slice(F.col("_w"), c["start"] + 1, c["len"]) == c["win"])
-    places = F.array_distinct(F.flatten(F.transform("_real", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    names = F.array_sort(F.array_distinct(F.flatten(F.transform("_real", lambda c: c["items"]))))
-    return checked.withColumn("_real", real).select(*keep, F.size("_w").cast("bigint").alias("n_words"), places.alias("hit"), names.alias("items"))
+    added = ("n_words", "hit", "items")
+    judged, names = _judged(docs, benchmark, keep, added)
+    return common.unpacked(judged, names, *added)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no window occurs in, with their own columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_doc"), "doc_id", "text")
-    return hits(packed, benchmark, "_doc").where(F.size("hit") == 0).select("_doc.*")
+    judged, names = _judged(docs, benchmark, docs.columns, ())
+    return common.unpacked(judged.where(F.size("hit") == 0), names)
 
 
 ORACLE_SQL = rf"""

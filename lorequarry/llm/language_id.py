@@ -167,6 +167,4 @@ def _predict_batches(batches, profiles):
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], *keep: str) -> DataFrame:
     """Columns ``keep`` with ``lang_pred`` and ``score`` of each text; only the text is looked at."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["lang_pred string", "score double"])
-    return common.arrow_map(docs.select(*keep, "text"), f"{__name__}:_predict_batches", schema, profiles=profiles)
+    return common.per_text(docs, f"{__name__}:_predict_batches", "lang_pred string, score double", keep, profiles=profiles)

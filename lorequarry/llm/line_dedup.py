@@ -9,15 +9,18 @@ so the length decides which edits are seen: at Jaccard 0.8, shingles of 4 link i
 edits of one character in lines from 39 characters on.
 
 Equal lines are one, told apart by 128 bits. A line's band hashes are dealt out by
-bucket as packed numbers, a few bands at a time. With each goes a sketch: one bit of
+bucket as packed numbers, some bands at a time. With each goes a sketch: one bit of
 each of SKETCH_BITS minima, of which two lines of similarity s share a part (1 + s) / 2,
 and the size of the shingle set. Two members of a bucket are close if neither rules a
-link out; a linked pair fails that with a probability of about 1e-5. A bucket gives a
-spanning forest of its close pairs, so at most one pair a member. Pairs are verified by
-the exact Jaccard similarity of their shingle sets, and verified ones joined into
-components by distributed union-find. Buckets in which a pair was refuted are searched
-again for close pairs that are neither connected nor refuted, a bounded number a round,
-until none is left. So every close pair of a bucket ends up connected or refuted.
+link out; a linked pair fails that with a probability of about 1e-5. Members that are
+close to none are dropped. Two members alone are a pair; buckets with the same members
+are searched once. The texts of what is left are fetched once, and close pairs are
+verified by the exact Jaccard similarity of their shingle sets: in a bucket a tree is
+grown from a member over everything linked to it, then from the next one left over, so
+that every close pair ends up connected or refuted. A bucket's members are dealt to
+blocks of about BLOCK; blocks are searched alone first, and, where a bucket isn't
+connected by then, two by two, so that no task holds more than two blocks. The links
+found are joined into components by distributed union-find.
 
 The first line of each component, by doc_id (null last) and place, stays; the others go.
 
@@ -44,15 +47,17 @@ MIN_CHARS = 30
 BANDS, BAND_ROWS = 26, 7
 #: Bands dealt out at once; at least SKETCH_BITS minima.
 BANDS_AT_ONCE = 13
-SKETCH_BITS, LEAST_AGREEMENT = 56, 42
-#: Pairs that a bucket emits for each member and round, once something in it was refuted.
-PAIRS_PER_MEMBER = 8
-CHUNK = 1 << 15
+SKETCH_BITS, LEAST_AGREEMENT = 88, 68
+BLOCK = 4096
+#: Characters whose shingles are hashed at once: few enough for a core's cache.
+CHUNK = 1 << 16
 ENTRIES_PER_TASK = 1_000_000
-LINES_KEPT = 2_000
+SETS_KEPT = 2_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _FACTORS = np.random.Generator(np.random.Philox(20_231_117)).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SKETCH_MASK = np.uint64((1 << SKETCH_BITS) - 1)
+#: An entry: bucket, line, and the sketch, whose last byte is the size.
+_ENTRY = np.dtype([("bucket", "<u4"), ("line", "<u8"), ("s0", "<u8"), ("s1", "<u4")])
+_S1 = np.uint32((1 << 24) - 1)
 
 
 def normal(line: str) -> str:
@@ -83,29 +88,45 @@ def shingles(line: str, shingle: int = SHINGLE) -> np.ndarray:
 
 def signatures(lines: list[str], shingle: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (lines, last - first) of some bands, the number of each line's different
-    shingles, and the sketches; every line has at least ``shingle`` characters."""
+    shingles, and the sketches (lines, 12 bytes); every line has at least ``shingle`` characters."""
     parts = [x.encode("utf-16-le", "replace") for x in lines]
     sizes = np.array([len(p) // 2 for p in parts])
     starts = np.cumsum(sizes) - sizes
     h = _hashes(b"".join(parts), int(sizes.sum()) - shingle + 1, shingle).astype(np.uint32)
     # shingles that run over the end of a line take the value of its first one
+    over = (starts + sizes)[:, None] - np.arange(shingle - 1, 0, -1)
+    inside = over < len(h)
+    h[over[inside]] = np.broadcast_to(h[starts][:, None], over.shape)[inside]
     ends = np.minimum(starts + sizes, len(h))
-    over = np.concatenate([np.arange(s + n - shingle + 1, e) for s, n, e in zip(starts, sizes, ends)])
-    h[over] = np.repeat(h[starts], ends - (starts + sizes - shingle + 1))
     own = np.repeat(np.arange(len(parts), dtype=np.uint64), ends - starts) << np.uint64(32) | h
     own.sort()
     fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     different = np.bincount((own[fresh] >> np.uint64(32)).astype(np.int64), minlength=len(parts))
-    out = np.zeros((len(parts), last - first), np.uint64)
-    sketch = np.zeros(len(parts), np.uint64)
-    for k, factor in enumerate(_FACTORS[first * BAND_ROWS : last * BAND_ROWS]):
-        low = np.minimum.reduceat(h * factor, starts)
-        band = k // BAND_ROWS
-        out[:, band] = (out[:, band] + low) * _K1
-        out[:, band] ^= out[:, band] >> np.uint64(31)
-        if k < SKETCH_BITS:
-            sketch |= (low.astype(np.uint64) >> np.uint64(3) & np.uint64(1)) << np.uint64(k)
-    return out * _K2 + np.arange(first, last, dtype=np.uint64), different, sketch
+    chosen = _FACTORS[first * BAND_ROWS : last * BAND_ROWS]
+    low, product = np.empty((len(chosen), len(parts)), np.uint32), np.empty_like(h)
+    for k, factor in enumerate(chosen):
+        np.multiply(h, factor, out=product)
+        np.minimum.reduceat(product, starts, out=low[k])
+    out = np.zeros((last - first, len(parts)), np.uint64)
+    for k in range(BAND_ROWS):
+        out = (out + low[k::BAND_ROWS]) * _K1
+        out ^= out >> np.uint64(31)
+    bits = np.packbits((low[:SKETCH_BITS] >> np.uint32(3)).astype(np.uint8) & np.uint8(1), axis=0)
+    sketch = np.concatenate([bits, _size_code(different)[None, :]]).T
+    return out.T * _K2 + np.arange(first, last, dtype=np.uint64), different, np.ascontiguousarray(sketch)
+
+
+def _size_code(sizes: np.ndarray) -> np.ndarray:
+    """Sizes on a logarithmic scale of 24 steps a doubling, in one byte."""
+    return np.minimum(24 * np.log2(np.maximum(sizes, 1)), 255).astype(np.uint8)
+
+
+def entries(bands: np.ndarray, lines: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """An entry for each line and band; its bucket has the upper half of the band's hash."""
+    out = np.empty(bands.shape, _ENTRY)
+    out["bucket"], out["line"] = bands >> np.uint64(32), lines[:, None]
+    out["s0"], out["s1"] = sketch[:, :8].copy().view("<u8"), sketch[:, 8:].copy().view("<u4")
+    return out
 
 
 def band_hashes(lines: list[str], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -131,36 +152,28 @@ def _line_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_key").take(at), batch.column("doc_id").take(at), pa.array(places, pa.int32()), pa.array(ids, pa.binary())], names=["_key", "doc_id", "line_no", "line"])
 
 
-def _size_code(sizes: np.ndarray) -> np.ndarray:
-    """Sizes on a logarithmic scale of 24 steps a doubling, in one byte."""
-    return np.minimum(24 * np.log2(np.maximum(sizes, 1)), 255).astype(np.uint64)
-
-
 def _entry_batches(batches, shingle, first, last, tasks):
-    """Bands as packed entries: bucket (u32), line (u64), sketch and size (u64), by the task that gets them."""
+    """Packed entries by the task that gets them."""
     held: dict[int, str] = {}
     seen: set[int] = set()
     signed: list[tuple] = []
     size = count = 0
 
     def sign():
-        bands, sizes, sketch = signatures(list(held.values()), shingle, first, last)
-        ids = np.array(list(held), np.uint64)
-        signed.append((bands, ids, sketch & _SKETCH_MASK | _size_code(sizes) << np.uint64(SKETCH_BITS)))
+        bands, _, sketch = signatures(list(held.values()), shingle, first, last)
+        signed.append((bands, np.array(list(held), np.uint64), sketch))
         held.clear()
 
     def dealt():
-        width = last - first
-        bucket = np.concatenate([s[0] for s in signed]).reshape(-1)
-        ids, tail = (np.repeat(np.concatenate([s[k] for s in signed]), width) for k in (1, 2))
+        bands, lines, sketch = (np.concatenate(x) for x in zip(*signed))
         signed.clear()
-        to = (bucket % np.uint64(tasks)).astype(np.int64)
+        to = (bands % np.uint64(tasks)).astype(np.int64).reshape(-1)
         order = np.argsort(to, kind="stable")
         ends = np.cumsum(np.bincount(to, minlength=tasks))
-        bucket, ids, tail = (bucket[order] >> np.uint64(32)).astype("<u4"), ids[order], tail[order]
+        packed = entries(bands, lines, sketch).reshape(-1)[order]
         begins = np.append(0, ends[:-1])
         full = np.flatnonzero(ends > begins)
-        data = [bucket[a:b].tobytes() + ids[a:b].tobytes() + tail[a:b].tobytes() for a, b in zip(begins[full], ends[full])]
+        data = [packed[a:b].tobytes() for a, b in zip(begins[full], ends[full])]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["task", "entries"])
 
     for batch in batches:
@@ -186,112 +199,114 @@ def _entry_batches(batches, shingle, first, last, tasks):
         yield dealt()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(blob) // 20
-    return np.frombuffer(blob, "<u4", n), np.frombuffer(blob, "<u8", n, 4 * n), np.frombuffer(blob, "<u8", n, 12 * n)
+# --- buckets -------------------------------------------------------------------------
 
 
-def close(tail: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def close(own: np.ndarray, others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sketches and sizes let a link be possible. Sizes may be one step off."""
-    agree = SKETCH_BITS - np.bitwise_count((tail ^ other) & _SKETCH_MASK).astype(np.int64)
-    apart = np.abs((tail >> np.uint64(SKETCH_BITS)).astype(np.int64) - (other >> np.uint64(SKETCH_BITS)).astype(np.int64))
-    return (agree >= LEAST_AGREEMENT) & (apart <= 24 * np.log2(100 / percent) + 2)
+    differ = np.bitwise_count(own["s0"] ^ others["s0"]).astype(np.int64) + np.bitwise_count((own["s1"] ^ others["s1"]) & _S1)
+    apart = np.abs((own["s1"] >> np.uint32(24)).astype(np.int64) - (others["s1"] >> np.uint32(24)).astype(np.int64))
+    return (SKETCH_BITS - differ >= LEAST_AGREEMENT) & (apart <= 24 * np.log2(100 / percent) + 2)
 
 
-def bucket_pairs(ids, labels, refuted: set[tuple[int, int]], forest: bool, tails: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of a bucket to verify: close ones that aren't connected by ``labels`` or refuted.
+def grow(n: int, labels: np.ndarray, linked) -> list[tuple[int, int]]:
+    """A spanning forest of a bucket: ``linked(k, others)`` tells which others k is linked to.
 
-    With ``forest`` a spanning forest of them, else as many as a round may emit. Members
-    with the most frequent label are only met from the side of the others.
+    ``labels`` says what is connected already. Everybody in a tree is asked about
+    everybody who isn't yet.
     """
-    ids, n = np.asarray(ids, np.int64), len(ids)
-    labels = np.unique(np.asarray(labels, np.int64), return_inverse=True)[1]
-    place = {int(x): k for k, x in enumerate(ids)}
-    never: dict[int, list[int]] = {}
-    for a, b in refuted:
-        if a in place and b in place:
-            never.setdefault(place[a], []).append(place[b])
-            never.setdefault(place[b], []).append(place[a])
-
-    def open_(k, others):
-        out = np.ones(len(others), bool) if tails is None else close(tails[others], tails[k], percent)
-        if k in never:
-            out &= ~np.isin(others, never[k])
-        return out
-
-    out: list[tuple[int, int]] = []
-    if forest:
-        waiting = np.arange(n)
-        while len(waiting):  # grow a tree from a member and all that are connected to it
-            tree = waiting[labels[waiting] == labels[waiting[0]]].tolist()
-            waiting = waiting[labels[waiting] != labels[waiting[0]]]
-            for k in tree:  # the list grows
-                if not len(waiting):
-                    break
-                near = waiting[open_(k, waiting)]
-                groups, one = np.unique(labels[near], return_index=True)
-                if len(groups):
-                    out += [(k, int(near[j])) for j in one]
-                    joined = np.isin(labels[waiting], groups)
-                    tree += waiting[joined].tolist()
-                    waiting = waiting[~joined]
-    else:
-        most = np.bincount(labels).argmax()
-        for k in np.flatnonzero(labels != most):
-            others = np.flatnonzero((labels != labels[k]) & ((labels == most) | (np.arange(n) < k)))
-            out += [(int(k), int(j)) for j in others[open_(k, others)]]
-            if len(out) >= PAIRS_PER_MEMBER * n:
+    out, waiting = [], np.arange(n)
+    while len(waiting):
+        tree = waiting[labels[waiting] == labels[waiting[0]]].tolist()
+        waiting = waiting[labels[waiting] != labels[waiting[0]]]
+        for k in tree:  # the list grows
+            if not len(waiting):
                 break
-    return [(int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))) for a, b in out]
+            near = waiting[linked(k, waiting)]
+            groups, one = np.unique(labels[near], return_index=True)
+            if len(groups):
+                out += [(k, int(near[j])) for j in one]
+                joined = np.isin(labels[waiting], groups)
+                tree += waiting[joined].tolist()
+                waiting = waiting[~joined]
+    return out
 
 
-_SEARCHED = "bucket bigint, a bigint, b bigint, tail bigint"
+_MET = "bucket bigint, a bigint, b bigint, sketch binary"
 
 
 def _bucket_batches(batches, percent):
-    """All entries of a task's buckets. Rows (bucket, a, b) are pairs; rows without b are
-    the members of buckets of three or more that gave a pair, with their sketches."""
+    """All entries of a task's buckets. Rows (a, b) are pairs that meet alone; rows without
+    ``b`` are members of larger buckets, with their sketches."""
     blobs, task = [], 0
     for batch in batches:
         blobs += batch.column("entries").to_pylist()
         task = batch.column("task")[0].as_py() if batch.num_rows else task
     if not blobs:
         return
-    bucket, ids, tail = (np.concatenate(x) for x in zip(*map(_unpack, blobs)))
+    held = np.frombuffer(b"".join(blobs), _ENTRY)
     blobs.clear()
-    order = np.lexsort((ids, bucket))
-    bucket, ids, tail = bucket[order], ids[order], tail[order]
-    fresh = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (ids[1:] != ids[:-1])]))
-    bucket, ids, tail = bucket[fresh], ids[fresh].view(np.int64), tail[fresh]
-    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    held = held[np.lexsort((held["line"], held["bucket"]))]
+    held = held[np.concatenate([[True], (held["bucket"][1:] != held["bucket"][:-1]) | (held["line"][1:] != held["line"][:-1])])]
+    edge = np.flatnonzero(np.concatenate([[True], held["bucket"][1:] != held["bucket"][:-1], [True]]))
     begin, n = edge[:-1], np.diff(edge)
-    name = bucket.astype(np.int64) | np.int64(task) << np.int64(32)
     two = begin[n == 2]
-    two = two[close(tail[two], tail[two + 1], percent)]
-    out = [(name[two], np.minimum(ids[two], ids[two + 1]), np.maximum(ids[two], ids[two + 1]), None)]
+    two = two[close(held[two], held[two + 1], percent)]
+    pairs, members = [np.stack([held["line"][two], held["line"][two + 1]]).view(np.int64)], []
     for b, k in zip(begin[n > 2], n[n > 2]):
-        own = ids[b : b + k]
-        if found := bucket_pairs(own, own, set(), True, tail[b : b + k], percent):
-            x, y = np.array(found).T
-            out.append((np.full(len(x), name[b]), x, y, None))
-            out.append((np.full(k, name[b]), own, None, tail[b : b + k].view(np.int64)))
-    full = lambda k: pa.concat_arrays([pa.array(o[k], pa.int64()) if o[k] is not None else pa.nulls(len(o[0]), pa.int64()) for o in out])
-    yield pa.RecordBatch.from_arrays([full(k) for k in range(4)], names=["bucket", "a", "b", "tail"])
-
-
-def _again_batches(batches, percent):
-    """Rows (bucket, line, tail, label, refuted) in order of bucket; see ``bucket_pairs``."""
+        own = held[b : b + k]
+        found = grow(k, np.arange(k), lambda j, others: close(own[j], own[others], percent))
+        if len(found) == 1:
+            pairs.append(own["line"][list(found[0])].view(np.int64)[:, None])
+        elif found:  # a tree has every member that is close to any
+            members.append(own[np.unique(np.array(found))])
+    a, b = np.concatenate(pairs, axis=1)
+    own = np.concatenate(members) if members else held[:0]
+    name = own["bucket"].astype(np.int64) | np.int64(task) << np.int64(32)
+    sketches = np.ascontiguousarray(own[["s0", "s1"]].astype([("s0", "<u8"), ("s1", "<u4")])).view("S12").tolist()
+    none = lambda k: pa.nulls(k, pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([none(len(a)), pa.array(name)]),
+            pa.concat_arrays([pa.array(np.minimum(a, b)), pa.array(own["line"].view(np.int64))]),
+            pa.concat_arrays([pa.array(np.maximum(a, b)), none(len(own))]),
+            pa.array([None] * len(a) + [x.ljust(12, b"\0") for x in sketches], pa.binary()),
+        ],
+        names=["bucket", "a", "b", "sketch"],
+    )
+
+
+def _search_batches(batches, percent, shingle):
+    """Rows (bucket, unit, line, sketch, text, label) sorted by unit; links (a, b) of lines."""
     held: list[tuple] = []
 
     def search():
-        refuted = {(min(r[1], o), max(r[1], o)) for r in held for o in r[4] or ()}
-        found = bucket_pairs([r[1] for r in held], [r[3] for r in held], refuted, False, np.array([r[2] for r in held], np.int64).view(np.uint64), percent)
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array([held[0][0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["bucket", "a", "b"])
+        ids = [r[2] for r in held]
+        number: dict = {}
+        labels = np.array([number.setdefault(r[5], len(number)) for r in held])
+        sketch = np.frombuffer(b"".join(r[3] for r in held), [("s0", "<u8"), ("s1", "<u4")])
+        sets = [shingles(r[4], shingle) for r in held]
+        sizes = np.array([len(x) for x in sets])
+
+        def linked(k, others):
+            out = close(sketch[k], sketch[others], percent)
+            asked = others[out]
+            if len(asked):
+                own, theirs = sets[k], np.concatenate([sets[j] for j in asked])
+                at = np.searchsorted(own, theirs)
+                at[at == len(own)] = 0
+                ends = np.cumsum(sizes[asked])
+                same = np.concatenate([[0], np.cumsum(own[at] == theirs)])
+                both = same[ends] - same[ends - sizes[asked]]
+                out[out] = 100 * both >= percent * (sizes[k] + sizes[asked] - both)
+            return out
+
+        found = grow(len(held), labels, linked)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.binary()), pa.array([ids[j] for _, j in found], pa.binary())], names=["line_a", "line_b"])
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "line", "tail", "label", "refuted")]):
-            if held and row[0] != held[0][0]:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "unit", "line", "sketch", "text", "label")]):
+            if held and row[:2] != held[0][:2]:
                 yield search()
                 held = []
             held.append(row)
@@ -299,9 +314,6 @@ def _again_batches(batches, percent):
         yield search()
 
 
-# --- verification --------------------------------------------------------------------
-
-
 def _text_batches(batches):
     for batch in batches:
         ids, texts = [], []
@@ -320,23 +332,26 @@ def _verify_batches(batches, percent, shingle):
     def of(line, text):
         found = held.get(line)
         if found is None:
-            if len(held) >= LINES_KEPT:
+            if len(held) >= SETS_KEPT:
                 held.pop(next(iter(held)))
             found = held[line] = shingles(text, shingle)
         return found
 
     for batch in batches:
-        out = []
+        links = []
         for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("line_a", "line_b", "x", "y")]):
             s, t = of(a, x), of(b, y)
             if percent * max(len(s), len(t)) > 100 * min(len(s), len(t)):
-                out.append(False)  # the sizes alone rule it out
-                continue
+                continue  # the sizes alone rule it out
             both = np.concatenate([s, t])
             both.sort()
             both = int((both[1:] == both[:-1]).sum())
-            out.append(100 * both >= percent * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "line_a", "line_b")], pa.array(out, pa.bool_())], names=["a", "b", "line_a", "line_b", "linked"])
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                links.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in range(2)], names=["line_a", "line_b"])
+
+
+_LINKS = "line_a binary, line_b binary"
 
 
 def _low(line):
@@ -344,55 +359,56 @@ def _low(line):
     return F.conv(F.hex(F.substring(line, 1, 8)), 16, -10).cast("bigint")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, keyed: DataFrame, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame:
-    """(a, b, line_a, line_b, linked). Lines that share 64 bits are verified each for itself."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("low")).distinct()
-    where = distinct.withColumn("low", _low(F.col("line"))).join(wanted, "low").select("line", "first._key", "first.line_no")
-    lists = where.groupBy("_key").agg(F.collect_list(F.struct("line", "line_no")).alias("wanted"))  # no more than a document's lines
-    texts = keyed.select("_key", "text").join(lists, "_key").select("text", "wanted")
-    texts = scratch.write(common.arrow_map(texts, f"{__name__}:_text_batches", "line binary, text string").dropDuplicates(["line"]), "lines")
-    scratch.tidy()
-    side = lambda low, line, text: texts.select(_low(F.col("line")).alias(low), F.col("line").alias(line), F.col("text").alias(text))
-    both = pairs.join(side("a", "line_a", "x"), "a").join(side("b", "line_b", "y"), "b").select("a", "b", "line_a", "line_b", "x", "y")
-    out = scratch.write(common.arrow_map(both, f"{__name__}:_verify_batches", "a bigint, b bigint, line_a binary, line_b binary, linked boolean", percent=percent, shingle=shingle), "verified")
-    scratch.drop(texts)
-    return out
-
-
 def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame | None:
     """(id, component) of linked lines that differ, or None."""
     spark = keyed.sparkSession
-    searched = None
+    met = None
     for first in range(0, BANDS, BANDS_AT_ONCE):
         last = min(first + BANDS_AT_ONCE, BANDS)
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines * (last - first) // ENTRIES_PER_TASK))
-        entries = common.arrow_map(keyed.select("text"), f"{__name__}:_entry_batches", "task int, entries binary", shingle=shingle, first=first, last=last, tasks=tasks)
-        dealt = entries.repartitionById(tasks, F.col("task"))
-        part = scratch.write(common.arrow_map(dealt, f"{__name__}:_bucket_batches", _SEARCHED, percent=percent), "buckets")
+        dealt = common.arrow_map(keyed.select("text"), f"{__name__}:_entry_batches", "task int, entries binary", shingle=shingle, first=first, last=last, tasks=tasks)
+        part = scratch.write(common.arrow_map(dealt.repartitionById(tasks, F.col("task")), f"{__name__}:_bucket_batches", _MET, percent=percent), "met")
         scratch.tidy()
-        searched = part if searched is None else searched.unionByName(part)
-    found, members = searched.where("b is not null").select("bucket", "a", "b"), searched.where("b is null").select("bucket", F.col("a").alias("line"), "tail")
-    links = refuted = components = None
-    while True:
-        pairs = scratch.write(found.select("a", "b").distinct(), "pairs")
-        if not pairs.head(1):
-            return components
-        checked = _verified(pairs, distinct, keyed, percent, shingle, scratch)
-        scratch.drop(pairs)
-        fresh, wrong = checked.where("linked").select("line_a", "line_b"), checked.where("not linked").select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
-        components = common.connected_components(links, "line_a", "line_b")
-        refuted = wrong if refuted is None else refuted.unionByName(wrong)
-        # buckets of two, and those whose forest stands, have nothing left to search
-        again = members.join(found.join(wrong, ["a", "b"], "left_semi").select("bucket").distinct(), "bucket")
-        label = components.select(_low(F.col("id")).alias("line"), _low(F.col("component")).alias("label")).groupBy("line").agg(F.min("label").alias("label"))
-        rows = again.join(label, "line", "left").withColumn("label", F.coalesce("label", "line"))
-        open_ = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        members = scratch.write(again.join(open_, "bucket"), "members")
-        rows = members.join(label, "line", "left").withColumn("label", F.coalesce("label", "line"))
-        rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "line"), "line", "left")
-        rows = rows.select("bucket", "line", "tail", "label", "refuted").repartition("bucket").sortWithinPartitions("bucket", "line")
-        found = scratch.write(common.arrow_map(rows, f"{__name__}:_again_batches", "bucket bigint, a bigint, b bigint", percent=percent), "found")
+        met = part if met is None else met.unionByName(part)
+    pairs = met.where("b is not null").select("a", "b").distinct()
+    members = met.where("b is null").select("bucket", F.col("a").alias("low"), "sketch")
+    # one bucket of all that have the same members
+    shape = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("low", F.lit(k))).alias(f"x{k}") for k in range(2)]]
+    chosen = members.groupBy("bucket").agg(*shape).groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    members = scratch.write(members.join(chosen.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"), "members")
+    pairs = scratch.write(pairs, "pairs")
+    # the texts, once; lines that share 64 bits are searched and verified each for itself
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("low")).unionByName(members.select("low")).distinct()
+    where = distinct.withColumn("low", _low(F.col("line"))).join(wanted, "low").select("line", "first._key", "first.line_no")
+    lists = where.groupBy("_key").agg(F.collect_list(F.struct("line", "line_no")).alias("wanted"))  # no more than a document's lines
+    texts = keyed.select("_key", "text").join(lists, "_key").select("text", "wanted")
+    texts = scratch.write(common.arrow_map(texts, f"{__name__}:_text_batches", "line binary, text string").withColumn("low", _low(F.col("line"))), "texts")
+    scratch.tidy()
+    side = lambda low, line, text: texts.select(F.col("low").alias(low), F.col("line").alias(line), F.col("text").alias(text))
+    both = pairs.join(side("a", "line_a", "x"), "a").join(side("b", "line_b", "y"), "b").select("line_a", "line_b", "x", "y")
+    links = scratch.write(common.arrow_map(both, f"{__name__}:_verify_batches", _LINKS, percent=percent, shingle=shingle), "links")
+
+    def searched(units: DataFrame, label) -> DataFrame:
+        rows = units.join(texts, "low").withColumn("label", label)
+        rows = rows.select("bucket", "unit", "line", "sketch", "text", "label").repartition("bucket", "unit").sortWithinPartitions("bucket", "unit", "line")
+        return scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", _LINKS, percent=percent, shingle=shingle), "links")
+
+    block = F.pmod(F.xxhash64("low"), F.col("blocks"))
+    links = links.unionByName(searched(members.withColumn("unit", block * F.col("blocks") + block), F.col("line")))
+    if not links.head(1):
+        return None
+    components = common.connected_components(links, "line_a", "line_b")
+    wide = members.where("blocks > 1")
+    if wide.head(1):
+        label = components.select(_low(F.col("id")).alias("low"), F.col("component").alias("label")).groupBy("low").agg(F.min("label").alias("label"))
+        wide = wide.join(label, "low", "left").withColumn("label", F.coalesce("label", F.unhex(F.hex("low"))))
+        open_ = wide.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block)).alias("other")
+        across = wide.join(open_, "bucket").select("bucket", "low", "sketch", "label", "blocks", block.alias("own"), other)
+        across = across.withColumn("unit", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+        more = searched(across.select("bucket", "unit", "low", "sketch", "label"), F.col("label"))
+        components = common.connected_components(links.unionByName(more), "line_a", "line_b")
+    return components
 
 
 def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:

@@ -7,8 +7,9 @@ ordered Spark ``CASE`` expression, so that applying it needs no Python.
 
 Defined results: a null or empty text has zero for every statistic, so it has fewer
 than the required words and fails the base rules; equal texts get equal results; an
-empty table gives an empty table; columns beside ``doc_id`` and ``text`` are kept by
-``with_statistics`` unless a statistic has the same name, which then replaces them.
+empty table gives an empty table; columns of ``keep`` that bear the name of a statistic
+or verdict are replaced by it, while ``filter_documents`` keeps all of the caller's own;
+doc_id may have any type.
 """
 
 from __future__ import annotations
@@ -99,11 +100,12 @@ def _statistics_batches(batches):
         )
 
 
+_STATISTICS = ", ".join(f"{s} bigint" for s in STATISTICS)
+
+
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """Columns ``keep`` and the statistics of each text; one narrow pass."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + [f"{s} bigint" for s in STATISTICS])
-    return common.arrow_map(docs.select(*keep, "text"), f"{__name__}:_statistics_batches", schema)
+    return common.per_text(docs, f"{__name__}:_statistics_batches", _STATISTICS, keep)
 
 
 def ratio(name: str) -> Column:
@@ -178,7 +180,7 @@ def _precision(covered_bad: int, covered: int) -> float:
     return (covered_bad + 1) / (covered + 2)
 
 
-def _grow(table, bad, weight_rows, limit: int = 4, cuts: int = 48) -> tuple[Condition, ...]:
+def _grow(table, bad, weight_rows, limit: int = 4) -> tuple[Condition, ...]:
     conditions: list[Condition] = []
     inside = weight_rows.copy()
     while len(conditions) < limit:
@@ -192,8 +194,6 @@ def _grow(table, bad, weight_rows, limit: int = 4, cuts: int = 48) -> tuple[Cond
             order = np.argsort(values, kind="stable")
             v, run = values[order], np.cumsum(flags[order])
             ends = np.flatnonzero(np.append(v[1:] != v[:-1], False))
-            if len(ends) > cuts * 8:
-                ends = np.unique(np.concatenate([ends[np.linspace(0, len(ends) - 1, cuts * 4).astype(int)], ends[: cuts * 2], ends[-cuts * 2 :]]))
             if not len(ends):
                 continue
             low_n, low_p = ends + 1, run[ends]
@@ -261,24 +261,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if total > max_labelled:
         share = int(max_labelled / total * 1_000_000)
         marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share)
-    if total <= 4 * max_labelled:
-        marked = F.broadcast(marked)  # at most 4 * max_labelled pairs of numbers
-    rows = statistics(docs.join(marked, "doc_id"), "doc_id", "quality").where(~base_failed())
-    rows = rows.select("doc_id", "quality", *[ratio(r).alias(r) for r in RATIOS]).orderBy("doc_id", *RATIOS).toPandas()
+    marked = F.broadcast(marked)  # about max_labelled pairs, which reach the driver below in any case
+    joined = docs.select("doc_id", "text").join(marked, "doc_id")
+    rows = statistics(joined, "doc_id", "quality").where(~base_failed())
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(3)).alias("fold")
+    rows = rows.select("quality", fold, *[ratio(r).alias(r) for r in RATIOS]).orderBy("fold", "quality", *RATIOS).toPandas()
     if not len(rows):
         return DecisionList(())
     table = {r: rows[r].to_numpy(float) for r in RATIOS}
-    fold = (rows["doc_id"].to_numpy(np.int64) * 2654435761 % 4294967296) % 3 == 0
+    fold = rows["fold"].to_numpy() == 0
     return learn(table, rows["quality"].to_numpy() == 0, fold)
 
 
 def apply(docs: DataFrame, rules: DecisionList, *keep: str) -> DataFrame:
-    """Statistics with ``base_failed`` and ``kept``."""
-    return statistics(docs, *(keep or ("doc_id",))).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.column())
+    """Columns ``keep`` with the statistics, ``base_failed`` and ``kept``."""
+    keep = [k for k in keep or ("doc_id",) if k.lower() not in ("base_failed", "kept")]
+    return statistics(docs, *keep).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.column())
 
 
 def filter_documents(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """The documents that the list keeps, with their own columns."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_doc"), "text")
-    return apply(packed, rules, "_doc").where("kept").select("_doc.*")
+    kept, names = common.packed(docs, docs.columns)
+    judged = apply(docs.select(kept, "text"), rules, common.KEEP).where("kept")
+    return common.unpacked(judged, names)

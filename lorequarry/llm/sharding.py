@@ -6,25 +6,31 @@ Fisher-Yates with a generator seeded by (seed, bucket). The buckets one after an
 are a random permutation of the table; shards are equal slices of it, so their row
 counts differ by at most one (law ``rows``).
 
+A bucket's place in the permutation is the number of rows in the buckets before it.
+Buckets are counted by aggregation and summed up in two levels, GROUP buckets at a time,
+and each place travels to its bucket as the first row of it.
+
 Defined results: the permutation depends only on the seed and the rows, not on how
-the input was partitioned; null doc_ids and null texts are hashed like values; equal
-rows stay separate and take neighbouring turns; an empty table gives no shard. Extra
-columns travel along; the names bucket, shard and slot are replaced.
+the input was partitioned; null doc_ids and null texts are hashed like values; doc_id
+may have any type; equal rows stay separate and take neighbouring turns; an empty table
+gives no shard. Extra columns of any names travel along; the names bucket, shard and
+slot are replaced. One bucket is held at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SEED = 20_240_229
-BUCKET_BYTES = 16 << 20
-#: Small tables get smaller buckets, so that many tasks share the work.
-LEAST_BUCKETS, LEAST_BUCKET_BYTES = 512, 256 << 10
+BUCKET_BYTES = 4 << 20
+#: Buckets that one task takes, at most about.
+BUCKETS_PER_TASK = 32
+GROUP = 4096
 
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
@@ -37,23 +43,23 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def _shuffle_batches(batches, seed, offsets, total, shards):
-    """Batches come sorted by (_bucket, _turn, ...). One bucket is held at a time."""
+def _shuffle_batches(batches, seed, total, shards):
+    """Rows come bucket by bucket in canonical order; the first of each has its place in _offset."""
     held: list[pa.RecordBatch] = []
     current = None
 
     def finish():
         table = pa.Table.from_batches(held)
+        first, table = table.column("_offset")[0].as_py(), table.slice(1)
         n = table.num_rows
-        order = fisher_yates(n, seed, current)
-        place = offsets[current] + np.arange(n, dtype=np.int64)
+        place = first + np.arange(n, dtype=np.int64)
         # slices whose sizes differ by at most one: the first ``more`` have one row more
         size, more = divmod(total, shards)
         cut = more * (size + 1)
         shard = np.where(place < cut, place // (size + 1), more + (place - cut) // max(size, 1))
         begin = np.where(shard < more, shard * (size + 1), cut + (shard - more) * size)
-        out = table.take(pa.array(order)).drop_columns(["_bucket", "_turn"])
-        out = out.append_column("bucket", pa.array(np.full(n, current), pa.int32())).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(place - begin, pa.int64()))
+        out = table.select([common.KEEP]).take(pa.array(fisher_yates(n, seed, current)))
+        out = out.append_column("bucket", pa.array(np.full(n, current), pa.int64())).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(place - begin, pa.int64()))
         yield from out.to_batches(max_chunksize=common.BATCH_ROWS)
 
     for batch in batches:
@@ -70,27 +76,32 @@ def _shuffle_batches(batches, seed, offsets, total, shards):
         yield from finish()
 
 
-def shuffle(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Every row with its ``bucket``, ``shard`` and ``slot``, a row's place in its shard from 0.
+def _offsets(counts: DataFrame) -> DataFrame:
+    """(_bucket, _offset) from (_bucket, n): rows in all buckets before."""
+    counts = counts.withColumn("_group", F.floor(F.col("_bucket") / GROUP))
+    groups = counts.groupBy("_group").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))  # a row for GROUP buckets
+    groups = groups.select("_group", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("n").over(Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(groups, "_group").select("_bucket", (F.col("_before") + F.col("_inside")).alias("_offset"))
 
-    The driver holds one count a bucket (a 100 TB table has some millions).
-    """
-    names = [c for c in docs.columns if c not in ("bucket", "shard", "slot")]
-    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in names]
-    turn = F.xxhash64(F.lit(seed), *columns)
-    sizes = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("bytes")).first()
-    size = int(sizes["bytes"] or 0)
-    buckets = max(1, -(-size // bucket_bytes), min(LEAST_BUCKETS, -(-size // LEAST_BUCKET_BYTES)))
-    bucket = F.pmod(F.xxhash64(turn, F.lit(seed + 1)), F.lit(buckets)).cast("int")
-    dealt = docs.select(*[F.col(f"`{c}`") for c in names], bucket.alias("_bucket"), turn.alias("_turn"))
-    counts = dict(dealt.groupBy("_bucket").count().collect())
-    offsets, total = {}, 0
-    for k in sorted(counts):
-        offsets[k], total = total, total + counts[k]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["bucket int", "shard int", "slot bigint"])
-    ordered = dealt.repartition(min(buckets, 20_000), "_bucket").sortWithinPartitions("_bucket", "_turn", *[f"`{c}`" for c in names if c != "text"])
-    return common.arrow_map(ordered, f"{__name__}:_shuffle_batches", schema, seed=seed, offsets=offsets, total=total, shards=shards)
+
+def shuffle(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Every row with its ``bucket``, ``shard`` and ``slot``, a row's place in its shard from 0."""
+    spark = docs.sparkSession
+    kept, names = common.packed(docs, docs.columns, ("bucket", "shard", "slot"))
+    columns = [F.coalesce(docs[common.quoted(c)].cast("string"), F.lit("\x00")) for c in names]
+    turns = [F.xxhash64(F.lit(seed + k), *columns).alias(f"_turn{k}") for k in (0, 2)]
+    totals = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64).alias("bytes"), F.count("*").alias("rows")).first()
+    buckets = max(1, -(-int(totals["bytes"] or 0) // bucket_bytes))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_PER_TASK))
+    bucket = F.pmod(F.xxhash64("_turn0", F.lit(seed + 1)), F.lit(buckets).cast("bigint"))
+    dealt = docs.select(kept, *turns).withColumn("_bucket", bucket).withColumn("_offset", F.lit(None).cast("bigint"))
+    heads = _offsets(dealt.groupBy("_bucket").agg(F.count("*").alias("n")))
+    rows = dealt.unionByName(heads, allowMissingColumns=True).repartition(tasks, "_bucket").sortWithinPartitions("_bucket", F.col("_offset").asc_nulls_last(), "_turn0", "_turn2")
+    rows = rows.select(common.KEEP, "_bucket", "_offset")
+    out = common.arrow_map(rows, f"{__name__}:_shuffle_batches", common.schema_of(rows, [common.KEEP], "bucket bigint, shard int, slot bigint"), seed=seed, total=totals["rows"], shards=shards)
+    return common.unpacked(out, names, "bucket", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, shards: int, folder: str, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -15,7 +15,8 @@ start (next larger ones the longest later factor).
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` are
 kept whole; equal rows are copies of one another; documents come in order of doc_id
-(null first) where the first copy is kept; an empty table gives an empty table.
+(null first), which may have any type, where the first copy is kept; columns named spans
+or kept are replaced; an empty table gives an empty table. A text is held whole.
 """
 
 from __future__ import annotations
@@ -143,84 +144,87 @@ def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return previous(values), len(values) - 1 - previous(values[::-1])[::-1]
 
 
-def longest_previous_factors(data: bytes, depth: int = 256) -> np.ndarray:
-    """For each position, the longest match that starts earlier, up to twice ``depth`` bytes."""
-    n = len(data)
-    if not n:
+def factors(order: SuffixOrder, starts: np.ndarray, span: int, later: bool = False) -> np.ndarray:
+    """For each of ``starts`` (rising), the longest match, up to 2 * ``span`` bytes or so, that
+    begins at an earlier one of them, or with ``later`` at a later one.
+
+    In suffix order the nearest entries on either side with a smaller position (a larger
+    one for later matches) have the longest common prefixes of all such.
+    """
+    if not len(starts):
         return np.zeros(0, np.int64)
-    order = SuffixOrder(data, depth)
-    span, rank = order.levels[-1]
-    suffixes = np.lexsort((np.arange(n), rank))
-    before, after = nearest_smaller(suffixes)
-    factor = np.zeros(n, np.int64)
+    suffixes = np.argsort(order.keys(starts, span), kind="stable")  # equal beginnings in order of position
+    before, after = nearest_smaller(-suffixes if later else suffixes)
+    factor = np.zeros(len(starts), np.int64)
     for near in (before, after):
-        real = np.flatnonzero((near >= 0) & (near < n))
-        factor[suffixes[real]] = np.maximum(factor[suffixes[real]], order.common(suffixes[real], suffixes[near[real]]))
+        real = np.flatnonzero((near >= 0) & (near < len(suffixes)))
+        own = suffixes[real]
+        factor[own] = np.maximum(factor[own], order.common(starts[own], starts[suffixes[near[real]]]))
     return factor
 
 
+def longest_previous_factors(data: bytes, depth: int = 256) -> np.ndarray:
+    """For each position, the longest match that starts earlier, up to twice ``depth`` bytes."""
+    return factors(SuffixOrder(data, depth), np.arange(len(data)), depth)
+
+
 def repeated_starts(segments: list[bytes], length: int, keep: str) -> list[np.ndarray]:
-    """Starts in each segment of strings that occur again: earlier ("first") or anywhere ("none")."""
+    """Starts in each segment of strings that occur again: earlier ("first") or anywhere ("none").
+
+    Those are the places with a previous (or a later) factor of at least ``length``;
+    places whose string would run over the end of their segment don't take part.
+    """
     data = b"".join(segments)
     order = SuffixOrder(data, length)
     sizes = np.array([len(s) for s in segments])
     begin = np.cumsum(sizes) - sizes
     valid = np.maximum(sizes - length + 1, 0)
     starts = np.repeat(begin - (np.cumsum(valid) - valid), valid) + np.arange(valid.sum())
-    keys = order.keys(starts, length)
-    suffixes = np.argsort(keys, kind="stable")  # equal strings in order of position
-    ranked = keys[suffixes]
-    hit = np.zeros(len(starts), bool)
-    for values in (suffixes,) if keep == "first" else (suffixes, -suffixes):  # factors that start earlier; then later
-        before, after = nearest_smaller(values)
-        for near in (before, after):
-            real = np.flatnonzero((near >= 0) & (near < len(suffixes)))
-            hit[suffixes[real]] |= ranked[real] == ranked[near[real]]
+    hit = factors(order, starts, length) >= length
+    if keep == "none":
+        hit |= factors(order, starts, length, later=True) >= length
     ends = np.cumsum(valid)
     return [starts[e - v : e][hit[e - v : e]] - b for e, v, b in zip(ends, valid, begin)]
 
 
 def _run_batches(batches, length):
     for batch in batches:
-        keys, hashes, kinds, firsts, lasts, docs = [], [], [], [], [], []
+        found: list[tuple] = []
         held = 0
-        for key, doc, text in zip(batch.column("_key").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+
+        def runs():
+            at = pa.array(np.concatenate([np.full(len(f[1]), f[0], np.int32) for f in found]))
+            numbers = [pa.array(np.concatenate([f[k] for f in found]).astype(t)) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32), (4, np.int32))]
+            return pa.RecordBatch.from_arrays([batch.column("_key").take(at), batch.column("doc_id").take(at), *numbers], names=["_key", "doc_id", "gram", "kind", "p0", "p1"])
+
+        for row, text in enumerate(batch.column("text").to_pylist()):
             data = (text or "").encode("utf-8", "replace")
             h, p0, p1 = window_runs(data, length)
             if not len(h):
                 continue
             view = memoryview(data)
-            kinds.append(np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(p0.tolist(), p1.tolist())), np.uint64, len(h)).view(np.int64))
-            keys.append(np.full(len(h), key, np.int64))
-            docs += [doc] * len(h)
-            hashes.append(h)
-            firsts.append(p0)
-            lasts.append(p1)
+            kinds = np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(p0.tolist(), p1.tolist())), np.uint64, len(h)).view(np.int64)
+            found.append((row, h, kinds, p0, p1))
             held += len(h)
             if held > 100_000:
-                yield _runs(keys, docs, hashes, kinds, firsts, lasts)
-                keys, hashes, kinds, firsts, lasts, docs, held = [], [], [], [], [], [], 0
+                yield runs()
+                found, held = [], 0
         if held:
-            yield _runs(keys, docs, hashes, kinds, firsts, lasts)
-
-
-def _runs(keys, docs, hashes, kinds, firsts, lasts):
-    cat = lambda x, t: pa.array(np.concatenate(x).astype(t))
-    return pa.RecordBatch.from_arrays(
-        [cat(keys, np.int64), pa.array(docs, pa.int64()), cat(hashes, np.int64), cat(kinds, np.int64), cat(firsts, np.int32), cat(lasts, np.int32)],
-        names=["_key", "doc_id", "gram", "kind", "p0", "p1"],
-    )
+            yield runs()
 
 
 def _segment_batches(batches, length):
     for batch in batches:
-        out = {k: [] for k in ("gram", "doc_id", "_key", "p0", "copies", "segment")}
-        for key, doc, text, runs in zip(*[batch.column(c).to_pylist() for c in ("_key", "doc_id", "text", "runs")]):
+        rows, out = [], {k: [] for k in ("gram", "p0", "copies", "segment")}
+        for row, (text, runs) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist())):
             data = (text or "").encode("utf-8", "replace")
             for run in runs:
-                for name, value in (("gram", run["gram"]), ("doc_id", doc), ("_key", key), ("p0", run["p0"]), ("copies", run["copies"]), ("segment", data[run["p0"] : run["p1"] + length])):
+                rows.append(row)
+                for name, value in (("gram", run["gram"]), ("p0", run["p0"]), ("copies", run["copies"]), ("segment", data[run["p0"] : run["p1"] + length])):
                     out[name].append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out["gram"], pa.int64()), pa.array(out["doc_id"], pa.int64()), pa.array(out["_key"], pa.int64()), pa.array(out["p0"], pa.int32()), pa.array(out["copies"], pa.int64()), pa.array(out["segment"], pa.binary())], names=list(out))
+        at = pa.array(rows, pa.int32())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("_key").take(at), batch.column("doc_id").take(at), *[pa.array(v, t) for v, t in zip(out.values(), kinds)]], names=["_key", "doc_id", *out])
 
 
 def _search_batches(batches, length, keep):
@@ -239,7 +243,7 @@ def _search_batches(batches, length, keep):
             keys += [row[1]] * len(b)
             begins += (b + row[2]).tolist()
             ends += (e + row[2] + length).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["_key", "b", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["_key", "b", "e"])
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("gram", "_key", "p0", "copies", "segment")]):
@@ -258,13 +262,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
     """(_key, b, e): byte ranges to remove; they may overlap. ``docs`` has _key, doc_id, text."""
     if keep not in ("first", "none") or length < GRAM + 1:
         raise ValueError("keep is first or none, and length is above the gram's")
-    runs = common.materialize(common.arrow_map(docs.select("_key", "doc_id", "text"), f"{__name__}:_run_batches", "_key bigint, doc_id bigint, gram bigint, kind bigint, p0 int, p1 int", length=length), "runs")
-    dealt = runs.repartition("gram")
+    scratch = common.Scratch(docs.sparkSession)
+    schema = common.schema_of(docs, ["_key", "doc_id"], "gram bigint, kind bigint, p0 int, p1 int")
+    runs = scratch.write(common.arrow_map(docs.select("_key", "doc_id", "text"), f"{__name__}:_run_batches", schema, length=length), "runs")
+    # counted first with map-side combine, and joined in a way that splits hot grams
+    grams = runs.groupBy("gram").agg(F.count("*").alias("rows"), F.min("kind").alias("lo"), F.max("kind").alias("hi")).where("rows > 1")
+    shared = scratch.write(runs.join(grams.select("gram", (F.col("lo") != F.col("hi")).alias("mixed")), "gram"), "shared")
+    scratch.drop(runs)
     order = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "_key", "p0", "p1")
-    kinds = dealt.groupBy("gram", "kind").agg(F.count("*").alias("copies"), F.min(order).alias("first"))
-    grams = dealt.groupBy("gram").agg(F.count("*").alias("rows"), (F.min("kind") != F.max("kind")).alias("mixed")).where("rows > 1")
-    kinds = common.materialize(kinds.join(grams, "gram").where("copies > 1 or mixed").select("gram", "kind", "copies", "first", "mixed"), "kinds")
-    copied = runs.join(kinds.where("copies > 1").select("gram", "kind", "first"), ["gram", "kind"])
+    kinds = shared.groupBy("gram", "kind").agg(F.count("*").alias("copies"), F.min(order).alias("first"), F.first("mixed").alias("mixed"))
+    kinds = scratch.write(kinds.where("copies > 1 or mixed"), "kinds")
+    copied = shared.join(kinds.where("copies > 1").select("gram", "kind", "first"), ["gram", "kind"])
     if keep == "first":
         copied = copied.where("not (_key = first._key and p0 = first.p0)")
     whole = copied.select("_key", F.col("p0").alias("b"), (F.col("p1") + length).alias("e"))
@@ -272,10 +280,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "first") -
         whole = whole.distinct()
     # one segment of each kind, where a gram has several
     wanted = kinds.where("mixed").groupBy("first._key").agg(F.collect_list(F.struct("gram", "first.p0", "first.p1", "copies")).alias("runs"))
-    segments = common.arrow_map(docs.select("_key", "doc_id", "text").join(wanted, "_key"), f"{__name__}:_segment_batches", "gram bigint, doc_id bigint, _key bigint, p0 int, copies bigint, segment binary", length=length)
+    schema = common.schema_of(docs, ["_key", "doc_id"], "gram bigint, p0 int, copies bigint, segment binary")
+    segments = common.arrow_map(docs.select("_key", "doc_id", "text").join(wanted, "_key"), f"{__name__}:_segment_batches", schema, length=length)
     sorted_ = segments.repartition("gram").sortWithinPartitions("gram", F.col("doc_id").asc_nulls_first(), "_key", "p0")
-    partial = common.arrow_map(sorted_, f"{__name__}:_search_batches", "_key bigint, b int, e int", length=length, keep=keep)
-    return common.materialize(whole.unionByName(partial), "spans")
+    partial = common.arrow_map(sorted_, f"{__name__}:_search_batches", "_key binary, b int, e int", length=length, keep=keep)
+    spans = common.materialize(whole.unionByName(partial).distinct(), "spans")
+    scratch.release()
+    scratch.tidy()
+    return spans
 
 
 def merge_spans(spans) -> list[tuple[int, int]]:
@@ -314,9 +326,9 @@ def remove_repeats(docs: DataFrame, *names: str, length: int = LENGTH, keep: str
     With ``keep="first"``, rows equal in doc_id and text can't be told apart: the first
     of them is treated as the others, by what occurs in other rows.
     """
-    keyed = docs.withColumn("_key", common.document_key())
+    kept, names = common.packed(docs, names, ("spans", "kept"))
+    keyed = docs.select(kept, "doc_id", "text", common.document_key().alias("_key"))
     spans = repeated_spans(keyed, length, keep).groupBy("_key").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{n}` {kinds[n]}" for n in names] + ["spans array<struct<b:int,e:int>>", "kept binary"])
-    joined = keyed.select("_key", *names, "text").join(spans, "_key", "left").select(*names, "text", "spans")
-    return common.arrow_map(joined, f"{__name__}:_cut_batches", schema)
+    joined = keyed.select("_key", common.KEEP, "text").join(spans, "_key", "left").select(common.KEEP, "text", "spans")
+    schema = common.schema_of(joined, [common.KEEP], "spans array<struct<b:int,e:int>>, kept binary")
+    return common.unpacked(common.arrow_map(joined, f"{__name__}:_cut_batches", schema), names, "spans", "kept")

@@ -139,6 +139,4 @@ def _count_batches(batches, path):
 
 def count_tokens(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """Columns ``keep`` with ``n_words`` and ``n_tokens``; one narrow pass."""
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keep] + ["n_words bigint", "n_tokens bigint"])
-    return common.arrow_map(docs.select(*keep, "text"), f"{__name__}:_count_batches", schema, path=path)
+    return common.per_text(docs, f"{__name__}:_count_batches", "n_words bigint, n_tokens bigint", keep, path=path)

@@ -136,9 +136,8 @@ def test_close_lines_pass_the_sketch():
         line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(39))
         other = line[:20] + "7" + line[21:]
         stranger = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(39))
-        _, sizes, sketch = line_dedup.signatures([line, other, stranger], 4, 0, line_dedup.BANDS_AT_ONCE)
-        tail = sketch | line_dedup._size_code(sizes) << np.uint64(line_dedup.SKETCH_BITS)
-        near = line_dedup.close(tail[1:], tail[0])
+        own = line_dedup.entries(*[line_dedup.signatures([line, other, stranger], 4, 0, line_dedup.BANDS_AT_ONCE)[k] if k != 1 else np.arange(3, dtype=np.uint64) for k in range(3)])[:, 0]
+        near = line_dedup.close(own[0], own[1:])
         passed, tried, far = passed + bool(near[0]), tried + 1, far + bool(near[1])
     assert passed >= 0.99 * tried and far <= 0.02 * tried
 
@@ -276,18 +275,24 @@ def test_line_stage_keeps_columns(spark):
     assert all(r["text"] is None or r["n_chars"] in (None, len(r["text"])) for r in kept.collect())
 
 
-def test_bucket_pairs_reach_everything():
+def test_a_forest_reaches_everything_that_is_linked():
     rng = random.Random(4)
-    ids = list(range(60))
-    parity = {k: rng.randrange(5) for k in ids}
-    labels, refuted = list(ids), set()
-    for _ in range(200):
-        pairs = line_dedup.bucket_pairs(ids, labels, refuted, True)
-        if not pairs:
-            break
-        for a, b in pairs:
-            if parity[a] == parity[b]:
-                labels = [labels[a] if x == labels[b] else x for x in labels]
-            else:
-                refuted.add((a, b))
-    assert len(set(labels)) == len(set(parity.values()))
+    kind = np.array([rng.randrange(5) for _ in range(60)])
+    labels = np.arange(60)
+    labels[kind == 2] = 100  # connected already
+    pairs = line_dedup.grow(60, labels, lambda k, others: kind[others] == kind[k])
+    assert len(pairs) == len(set(labels.tolist())) - 5
+    root = {k: k for k in range(60)}
+    for a, b in [*pairs, *[(int(x), int(np.flatnonzero(kind == 2)[0])) for x in np.flatnonzero(kind == 2)]]:
+        old, new = root[a], root[b]
+        root = {k: new if r == old else r for k, r in root.items()}
+    assert all((root[i] == root[j]) == (kind[i] == kind[j]) for i in range(60) for j in range(60))
+
+
+def test_blocks_of_large_groups_are_searched_two_by_two(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 2)
+    got = line_dedup.remove_duplicate_lines(fixtures.table(spark, line_families(3)), "doc_id").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == brute_lines(line_families(3))
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    got = jaccard_join.components(fixtures.table(spark, families(4))).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(families(4), 4, 85)
