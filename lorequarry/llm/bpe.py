@@ -3,16 +3,23 @@
 Encoding reads bytes from left to right. For every prefix of a piece the last token of
 that prefix's encoding is unique: it is the token t ending there for which the last
 token s of what precedes it forms a stable pair with t (encoding s + t gives s, t).
-So one token number per position is enough. A token is emitted once it lies on the
-path of every prefix that a later token could start from, and those are the last
-``max_token`` positions, the reach of a token of the merge list. Nothing that comes
-later can change it, and only the window after the last emission is kept.
+So one token number per position is enough.
+
+Text to come can change the encoding of what was read only by a chain of merges, each
+taking the token left of the last change: a merge (y, t) after a merge (z, ..) where t
+begins with z and comes later in the merge list. The longest such chain, in bytes of
+the tokens taken, is the merge list's sufficient lookahead; it is computed from the list
+alone. Tokens that end so far before the last byte read are stable and are emitted, so
+the window never holds more than the lookahead, a token and what was just read.
 
 Decoding turns identifiers into bytes and feeds them to an incremental UTF-8 state
 machine, which holds back at most three bytes.
 
-Defined results: a null or empty text has no tokens and decodes to the empty text;
-texts of any length are streamed; equal texts get equal results.
+Defined results: a null or empty text has no tokens and decodes to the empty text; equal
+texts get equal results; columns of ``keep`` named as a result are replaced. A text
+arrives whole; what is made of it is handed on in chunks of CHUNK characters, cut where
+no piece crosses, and of long pieces in chunks as well. Pieces met before are looked up.
+Files with settings that this encoder does not follow are refused.
 """
 
 from __future__ import annotations
@@ -37,6 +44,9 @@ _PIECES = regex.compile(PATTERN)
 #: A single space between two characters that are not white space: no piece crosses its left side.
 _BREAK = regex.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 _ODD = regex.compile(rf"[{_WS}][ ]|[ ][{_WS}]|^ | $")
+CHUNK = 1 << 16
+#: Longer pieces and their results aren't kept.
+LONG_PIECE = 1 << 12
 CACHE_ENTRIES = 350_000
 PAIR_ENTRIES = 1_000_000
 
@@ -54,6 +64,7 @@ class MergeList:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_others(spec)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -61,19 +72,37 @@ class MergeList:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {v: k for k, v in self.ids.items()} | {v: k.encode() for k, v in self.special.items()}
         self.ranks = {}
+        #: The two tokens that a token is merged from, and its rank; bytes have none.
+        self.parts: dict[int, tuple[int, int]] = {}
+        self.rank_of = dict.fromkeys(self.ids.values(), -1)
+        self.pair_ranks: dict[int, int] = {}
         for rank, merge in enumerate(spec["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks[as_bytes(a), as_bytes(b)] = rank
+            a, b = map(as_bytes, merge.split(" ") if isinstance(merge, str) else merge)
+            self.ranks[a, b] = rank
+            left, right, made = self.ids[a], self.ids[b], self.ids[a + b]
+            self.pair_ranks[left << 20 | right] = rank
+            if made not in self.parts:
+                self.parts[made], self.rank_of[made] = (left, right), rank
         #: Every token and every beginning of one: its number, or -1.
         self.trie = {k[:n]: -1 for k in self.ids for n in range(1, len(k))} | self.ids
         #: No token is longer, so a later token starts within so many bytes of the end read.
         self.max_token = max(map(len, self.ids))
+        self.lookahead = self.lookahead_bound()
         self.stable_pairs: dict[int, bool] = {}
         self.self_stable: dict[int, bool] = {}
 
     def lookahead_bound(self) -> int:
-        """A lookahead that always suffices: merges times the length of the longest token."""
-        return len(self.ranks) * self.max_token
+        """The merge list's sufficient lookahead in bytes: the heaviest chain of merges, see above."""
+        first: dict[bytes, bytes] = {}  # left part of a token
+        reach: dict[bytes, int] = {}  # heaviest chain of earlier merges that ends by taking this token
+        for a, b in self.ranks:  # in order of rank
+            before, z = 0, b
+            while z is not None:
+                before = max(before, reach.get(z, 0))
+                z = first.get(z)
+            reach[a] = max(reach.get(a, 0), len(a) + before)
+            first.setdefault(a + b, a)
+        return max(reach.values(), default=0)
 
     def merge(self, data: bytes) -> list[int]:
         """The definition: lowest rank first, leftmost among equals. Used for pairs and in tests."""
@@ -105,6 +134,24 @@ class MergeList:
             known = self.self_stable[token] = self.merge(self.bytes_of[token]) == [token]
         return known
 
+    def _holds(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border between a and b while they are formed.
+
+        Time runs backwards: the part next to the border that was formed last is taken
+        apart, and a merge across the border must not come before what had formed it.
+        Of equal ranks the one further left comes first.
+        """
+        ranks, parts, formed, limit = self.pair_ranks, self.parts, self.rank_of, len(self.ranks)
+        while True:
+            if ranks.get(a << 20 | b, limit) < limit:
+                return False
+            if formed[a] > formed[b]:
+                limit, a = formed[a], parts[a][1]
+            elif b in parts:
+                limit, b = formed[b] + 1, parts[b][0]
+            else:
+                return True
+
     def stable(self, a: int, b: int) -> bool:
         """Whether the bytes of tokens a and b together encode to a, b."""
         key = a << 20 | b
@@ -112,39 +159,17 @@ class MergeList:
         if known is None:
             if len(self.stable_pairs) >= PAIR_ENTRIES:
                 self.stable_pairs.clear()
-            known = self.stable_pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.stable_pairs[key] = self._holds(a, b)
         return known
 
 
-    def short(self, data: bytes) -> list[int]:
-        """The transducer on a piece that fits its window, where nothing has to be emitted early."""
-        size, trie, pairs = len(data), self.trie.get, self.stable_pairs
-        whole = trie(data, -1)
-        if whole >= 0 and self.alone(whole):
-            return [whole]
-        last, known = [-1] * (size + 1), pairs.get
-        for begin in range(size):
-            left = last[begin]
-            for end in range(begin + 1, size + 1):
-                token = trie(data[begin:end])
-                if token is None:
-                    break
-                if token < 0 or last[end] >= 0:
-                    continue
-                if not begin:
-                    if self.alone(token):
-                        last[end] = token
-                    continue
-                good = known(left << 20 | token)
-                if good or good is None and self.stable(left, token):
-                    last[end] = token
-        out, end = [], size
-        while end:
-            token = last[end]
-            out.append(token)
-            end -= len(self.bytes_of[token])
-        out.reverse()
-        return out
+def _refuse_others(spec: dict) -> None:
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    added = all(not t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip"))
+    if not (plain and level and added and spec.get("normalizer") is None):
+        raise ValueError("only plain byte-level BPE files are supported")
 
 
 class Transducer:
@@ -152,36 +177,43 @@ class Transducer:
 
     def __init__(self, merges: MergeList):
         self.m = merges
-        self.data = bytearray()  # bytes after the last emission
+        self.data = b""  # bytes after the last emission
         self.last = [-1]  # last[i]: last token of the encoding of the first i bytes of the window
+        self.done = 0  # tokens that start at these positions have been looked for
         self.before = -1  # token emitted last
         self.peak = 0
 
     def feed(self, chunk: bytes) -> Iterator[int]:
-        m, ids = self.m, self.m.ids
+        m = self.m
         for start in range(0, len(chunk), m.max_token):
-            part = chunk[start : start + m.max_token]
-            self.data += part
-            data, last = bytes(self.data), self.last
-            for end in range(len(last), len(data) + 1):
-                last.append(self._last(data, end, ids))
-            self.peak = max(self.peak, len(data))
-            if len(data) > 2 * m.max_token:
+            self._read(chunk[start : start + m.max_token])
+            if len(self.data) > m.lookahead + m.max_token:
                 yield from self._settled()
 
-    def _last(self, data: bytes, end: int, ids: dict[bytes, int]) -> int:
-        last, before, stable, alone = self.last, self.before, self.m.stable, self.m.alone
-        for begin in range(max(0, end - self.m.max_token), end):
-            token = ids.get(data[begin:end])
-            if token is None:
-                continue
-            left = last[begin] if begin else before
-            if left < 0:
-                if begin == 0 and alone(token):
-                    return token
-            elif stable(left, token):
-                return token
-        raise ValueError("a byte is missing from the vocabulary")
+    def _read(self, part: bytes) -> None:
+        """Find the last token of every new prefix, from the tokens that start before it."""
+        m, last = self.m, self.last
+        old = len(self.data)
+        self.data += part
+        data, size = self.data, old + len(part)
+        last += [-1] * len(part)
+        self.peak = max(self.peak, size)
+        trie, known = m.trie.get, m.stable_pairs.get
+        for begin in range(max(0, old - m.max_token + 1), size):
+            left = last[begin] if begin else self.before
+            for end in range(begin + 1, min(size, begin + m.max_token) + 1):
+                token = trie(data[begin:end])
+                if token is None:
+                    break
+                if token < 0 or end <= old or last[end] >= 0:
+                    continue
+                if left < 0:
+                    if m.alone(token):
+                        last[end] = token
+                    continue
+                good = known(left << 20 | token)
+                if good or good is None and m.stable(left, token):
+                    last[end] = token
 
     def _path(self, end: int) -> list[int]:
         ends = []
@@ -191,25 +223,19 @@ class Transducer:
         return ends[::-1]
 
     def _settled(self) -> Iterator[int]:
-        """Emit what all prefixes a later token could follow have in common."""
-        size, reach = len(self.data), self.m.max_token
-        common_ends = set(self._path(size))
-        for end in range(max(1, size - reach + 1), size):
-            common_ends &= set(self._path(end))
-            if not common_ends:
-                return
-        cut = max(common_ends)
-        path = [e for e in self._path(size) if e <= cut]
-        tokens = [self.last[e] for e in path]
-        yield from tokens
-        self.before = tokens[-1]
-        del self.data[:cut]
-        self.last = [-1, *self.last[cut + 1 :]]
+        """Emit the tokens that lie further back than the lookahead."""
+        settled = [e for e in self._path(len(self.data)) if e <= len(self.data) - self.m.lookahead]
+        if settled:
+            tokens, cut = [self.last[e] for e in settled], settled[-1]
+            yield from tokens
+            self.before = tokens[-1]
+            self.data = self.data[cut:]
+            self.last = [-1, *self.last[cut + 1 :]]
 
     def finish(self) -> Iterator[int]:
         for end in self._path(len(self.data)):
             yield self.last[end]
-        self.data, self.last, self.before = bytearray(), [-1], -1
+        self.data, self.last, self.before = b"", [-1], -1
 
 
 def pack(ids: list[int]) -> bytes:
@@ -232,13 +258,9 @@ class Encoder:
             return found
         found = self.old_pieces.get(piece)
         if found is None:
+            t = Transducer(self.m)
             data = piece.encode("utf-8")
-            if len(data) <= self.m.max_token:
-                ids = self.m.short(data)
-            else:
-                t = Transducer(self.m)
-                ids = [*t.feed(data), *t.finish()]
-            found = pack(ids)
+            found = pack([*t.feed(data), *t.finish()])
         if len(piece) <= 64:
             if len(self.pieces) >= CACHE_ENTRIES:
                 self.old_pieces, self.pieces = self.pieces, {}
@@ -253,32 +275,57 @@ class Encoder:
             self.units[unit] = found
         return found
 
-    def _plain(self, text: str) -> bytes:
-        if _ODD.search(text):
-            parts = _BREAK.split(text)
-        else:
-            parts = text.split(" ")
-        known, unit = self.units.get, self.unit
-        first = parts[0]
-        out = [known(first) or unit(first)] if first else []
-        for p in parts[1:]:
-            p = " " + p
-            out.append(known(p) or unit(p))
-        return b"".join(out)
+    def _long(self, unit: str) -> Iterator[bytes]:
+        """A unit without a place to cut, piece by piece; long pieces in chunks."""
+        for match in _PIECES.finditer(unit):
+            begin, end = match.span()
+            if end - begin <= LONG_PIECE:
+                yield self.piece(match[0])
+                continue
+            t = Transducer(self.m)
+            for at in range(begin, end, LONG_PIECE):
+                yield pack(list(t.feed(unit[at : min(end, at + LONG_PIECE)].encode("utf-8"))))
+            yield pack(list(t.finish()))
 
-    def encode(self, text: str | None) -> bytes:
-        """Identifiers as little-endian unsigned 32-bit integers."""
+    def _chunk(self, text: str) -> Iterator[bytes]:
+        parts = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+        known, unit = self.units.get, self.unit
+        out = []
+        for k, p in enumerate(parts):
+            p = " " + p if k else p
+            if len(p) > LONG_PIECE:
+                yield b"".join(out)
+                out = []
+                yield from self._long(p)
+            elif p:
+                out.append(known(p) or unit(p))
+        yield b"".join(out)
+
+    def _plain(self, text: str) -> Iterator[bytes]:
+        start = 0
+        while len(text) - start > CHUNK and (cut := _BREAK.search(text, start + CHUNK)):
+            yield from self._chunk(text[start : cut.start()])
+            start = cut.start()
+        yield from self._chunk(text[start:] if start else text)
+
+    def stream(self, text: str | None) -> Iterator[bytes]:
+        """Identifiers as little-endian unsigned 32-bit integers, chunk by chunk."""
         if not text:
-            return b""
+            return
         if self.split_special is None or not any(s in text for s in self.m.special):
-            return self._plain(text)
-        out = []
-        for k, part in enumerate(self.split_special.split(text)):
-            if k % 2:
-                out.append(self.m.special[part].to_bytes(4, "little"))
-            elif part:
-                out.append(self._plain(part))
-        return b"".join(out)
+            yield from self._plain(text)
+            return
+        at = 0
+        for found in self.split_special.finditer(text):
+            if found.start() > at:
+                yield from self._plain(text[at : found.start()])
+            yield self.m.special[found[0]].to_bytes(4, "little")
+            at = found.end()
+        if at < len(text):
+            yield from self._plain(text[at:])
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(self.stream(text))
 
 
 class TextDecoder:
@@ -338,13 +385,15 @@ def _round_trip_batches(batches, path):
         names = [n for n in batch.schema.names if n != "text"]
         n, ids_sha, text_sha = [], [], []
         for text in batch.column("text").to_pylist():
-            ids = e.encode(text)
-            sha, machine, held = hashlib.sha256(), TextDecoder(), memoryview(ids).cast("I")
-            for start in range(0, len(held), 1 << 16):
-                sha.update(machine.feed(b"".join(map(table.__getitem__, held[start : start + (1 << 16)].tolist()))).encode("utf-8"))
+            count, own, sha, machine = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder()
+            for ids in e.stream(text):
+                own.update(ids)
+                held = memoryview(ids).cast("I").tolist()
+                count += len(held)
+                sha.update(machine.feed(b"".join(map(table.__getitem__, held))).encode("utf-8"))
             sha.update(machine.feed(b"", final=True).encode("utf-8"))
-            n.append(len(held))
-            ids_sha.append(hashlib.sha256(ids).hexdigest())
+            n.append(count)
+            ids_sha.append(own.hexdigest())
             text_sha.append(sha.hexdigest())
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in names], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
@@ -360,22 +409,19 @@ def _decode_batches(batches, path):
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
 
-def _fields(df: DataFrame, names) -> list[str]:
-    kinds = dict(df.dtypes)
-    return [f"`{n}` {kinds[n]}" for n in names]
-
-
 def encode_documents(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """Columns ``keep`` and ``ids``: little-endian unsigned 32-bit identifiers."""
-    return common.arrow_map(docs.select(*keep, "text"), f"{__name__}:_encode_batches", ", ".join([*_fields(docs, keep), "ids binary"]), path=path)
+    return common.per_text(docs, f"{__name__}:_encode_batches", "ids binary", keep, path=path)
 
 
 def decode_documents(encoded: DataFrame, path: str, *keep: str) -> DataFrame:
     """Columns ``keep`` and the ``text`` of ``ids``."""
-    return common.arrow_map(encoded.select(*keep, "ids"), f"{__name__}:_decode_batches", ", ".join([*_fields(encoded, keep), "text string"]), path=path)
+    kept, names = common.packed(encoded, keep, ("text",))
+    rows = encoded.select(kept, "ids")
+    schema = common.schema_of(rows, [common.KEEP], "text string")
+    return common.unpacked(common.arrow_map(rows, f"{__name__}:_decode_batches", schema, path=path), names, "text")
 
 
 def round_trip(docs: DataFrame, path: str, *keep: str) -> DataFrame:
     """Encode and decode every text; token counts and digests of both sides."""
-    schema = ", ".join([*_fields(docs, keep), "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"])
-    return common.arrow_map(docs.select(*keep, "text"), f"{__name__}:_round_trip_batches", schema, path=path)
+    return common.per_text(docs, f"{__name__}:_round_trip_batches", "n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep, path=path)

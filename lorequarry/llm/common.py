@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
@@ -17,6 +19,8 @@ from pyspark.sql.types import StructType
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows handled at once in Python: small, since one text may be very long.
 BATCH_ROWS = 512
+#: Bytes of an Arrow batch while scratch tables are written.
+_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: The caller's columns travel in one struct of this name, so that no name of theirs
 #: clashes with ours or has to be quoted.
 KEEP = "_keep"
@@ -70,7 +74,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_dir(self.spark, name)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
@@ -79,12 +84,14 @@ class Scratch:
         for table in tables:
             if table is not None and id(table) in self.paths:
                 drop_path(self.spark, self.paths.pop(id(table))[0])
-        self.tidy()
 
     def tidy(self) -> None:
-        """Shuffle files go with the driver's last reference to them, so let it look for such."""
+        """Delete the shuffle files of what was written: they go with the driver's last
+        reference to their plan, the second time that it looks for such."""
         gc.collect()
-        self.spark._jvm.System.gc()
+        for pause in (0.2, 0):
+            self.spark._jvm.System.gc()
+            time.sleep(pause)
 
     def release(self) -> None:
         for path, _ in self.paths.values():
@@ -92,6 +99,18 @@ class Scratch:
         self.paths.clear()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches while a scratch table is written, since texts may be long; the
+    caller's setting is put back."""
+    held = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, held)
+
+
 def release_all() -> None:
     """Delete the scratch of all operators that ran so far: for a caller who has written their results."""
     for scratch in Scratch._open:

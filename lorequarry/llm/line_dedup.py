@@ -61,7 +61,10 @@ _S1 = np.uint32((1 << 24) - 1)
 
 
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    line = line.strip().lower()
+    if "  " in line or not line.isprintable():  # the space is the only printable white space
+        line = " ".join(line.split())
+    return line
 
 
 def line_id(line: str) -> bytes:
@@ -246,7 +249,7 @@ def _bucket_batches(batches, percent):
         return
     held = np.frombuffer(b"".join(blobs), _ENTRY)
     blobs.clear()
-    held = held[np.lexsort((held["line"], held["bucket"]))]
+    held = held[np.argsort(held["bucket"].astype(np.uint64) << np.uint64(32) | held["line"] >> np.uint64(32))]
     held = held[np.concatenate([[True], (held["bucket"][1:] != held["bucket"][:-1]) | (held["line"][1:] != held["line"][:-1])])]
     edge = np.flatnonzero(np.concatenate([[True], held["bucket"][1:] != held["bucket"][:-1], [True]]))
     begin, n = edge[:-1], np.diff(edge)
@@ -277,15 +280,31 @@ def _bucket_batches(batches, percent):
 
 
 def _search_batches(batches, percent, shingle):
-    """Rows (bucket, unit, line, sketch, text, label) sorted by unit; links (a, b) of lines."""
+    """Rows (lead, bucket, unit, line, sketch, text, label) sorted by unit; links of lines.
+
+    What units of the same lead have found connected, and their sets, are held for the next.
+    """
     held: list[tuple] = []
+    root: dict[bytes, bytes] = {}
+    known: dict[bytes, np.ndarray] = {}
+
+    def find(k):
+        while (up := root.get(k, k)) != k:
+            k = up
+        return k
 
     def search():
-        ids = [r[2] for r in held]
+        ids = [r[3] for r in held]
+        tops = [find(r[6]) for r in held]
+        if len(set(tops)) == 1:
+            return []
         number: dict = {}
-        labels = np.array([number.setdefault(r[5], len(number)) for r in held])
-        sketch = np.frombuffer(b"".join(r[3] for r in held), [("s0", "<u8"), ("s1", "<u4")])
-        sets = [shingles(r[4], shingle) for r in held]
+        labels = np.array([number.setdefault(t, len(number)) for t in tops])
+        sketch = np.frombuffer(b"".join(r[4] for r in held), [("s0", "<u8"), ("s1", "<u4")])
+        for r in held:
+            if r[3] not in known:
+                known[r[3]] = shingles(r[5], shingle)
+        sets = [known[k] for k in ids]
         sizes = np.array([len(x) for x in sets])
 
         def linked(k, others):
@@ -302,16 +321,32 @@ def _search_batches(batches, percent, shingle):
             return out
 
         found = grow(len(held), labels, linked)
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.binary()), pa.array([ids[j] for _, j in found], pa.binary())], names=["line_a", "line_b"])
+        for i, j in found:
+            a, b = sorted((find(tops[i]), find(tops[j])))
+            root[b] = a
+        return [(ids[i], ids[j]) for i, j in found]
+
+    links: list[tuple] = []
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in range(2)], names=["line_a", "line_b"])
 
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("bucket", "unit", "line", "sketch", "text", "label")]):
-            if held and row[:2] != held[0][:2]:
-                yield search()
+        for row in zip(*[batch.column(c).to_pylist() for c in ("lead", "bucket", "unit", "line", "sketch", "text", "label")]):
+            if held and row[:3] != held[0][:3]:
+                links += search()
+                if row[0] != held[0][0]:
+                    root.clear()
+                    known.clear()
                 held = []
+                if len(links) >= 10_000:
+                    yield rows()
+                    links.clear()
             held.append(row)
     if held:
-        yield search()
+        links += search()
+    if links:
+        yield rows()
 
 
 def _text_batches(batches):
@@ -374,8 +409,9 @@ def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: in
     members = met.where("b is null").select("bucket", F.col("a").alias("low"), "sketch")
     # one bucket of all that have the same members
     shape = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("low", F.lit(k))).alias(f"x{k}") for k in range(2)]]
-    chosen = members.groupBy("bucket").agg(*shape).groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket"))
-    members = scratch.write(members.join(chosen.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"), "members")
+    chosen = members.groupBy("bucket").agg(*shape, F.min("low").alias("lead")).groupBy("n", "x0", "x1", "lead").agg(F.min("bucket").alias("bucket"))
+    # buckets with the same least member mostly hold the same lines, so they go to one task: a line has BANDS at most
+    members = scratch.write(members.join(chosen.select("bucket", "lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket"), "members")
     pairs = scratch.write(pairs, "pairs")
     # the texts, once; lines that share 64 bits are searched and verified each for itself
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("low")).unionByName(members.select("low")).distinct()
@@ -390,7 +426,8 @@ def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: in
 
     def searched(units: DataFrame, label) -> DataFrame:
         rows = units.join(texts, "low").withColumn("label", label)
-        rows = rows.select("bucket", "unit", "line", "sketch", "text", "label").repartition("bucket", "unit").sortWithinPartitions("bucket", "unit", "line")
+        rows = rows.withColumn("lead", F.when(F.col("blocks") == 1, F.col("lead")).otherwise(F.xxhash64("bucket", "unit")))
+        rows = rows.select("lead", "bucket", "unit", "line", "sketch", "text", "label").repartition("lead").sortWithinPartitions("lead", "bucket", "unit", "line")
         return scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", _LINKS, percent=percent, shingle=shingle), "links")
 
     block = F.pmod(F.xxhash64("low"), F.col("blocks"))
@@ -404,9 +441,9 @@ def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: in
         wide = wide.join(label, "low", "left").withColumn("label", F.coalesce("label", F.unhex(F.hex("low"))))
         open_ = wide.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block)).alias("other")
-        across = wide.join(open_, "bucket").select("bucket", "low", "sketch", "label", "blocks", block.alias("own"), other)
+        across = wide.join(open_, "bucket").select("lead", "bucket", "low", "sketch", "label", "blocks", block.alias("own"), other)
         across = across.withColumn("unit", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-        more = searched(across.select("bucket", "unit", "low", "sketch", "label"), F.col("label"))
+        more = searched(across.drop("own", "other"), F.col("label"))
         components = common.connected_components(links.unionByName(more), "line_a", "line_b")
     return components
 
