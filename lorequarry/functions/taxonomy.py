@@ -1,19 +1,23 @@
 """Subject and category classification by weighted patterns.
 
-The rules are a small table. Each becomes one ``rlike`` in a projection, so classifying
-is a narrow, JVM-side step whatever the number of rows.
+The rules are a small table. Each becomes one test in a projection, so classifying is a
+narrow, JVM-side step whatever the number of rows.
 """
 
 from __future__ import annotations
 
+import re
+import string
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed as X
 from . import text as T
-from .similarity import let
 
 _LB, _RB, _S = X.LB, X.RB, X.WS
+_HAN, _SPECIAL = re.compile(X.HAN), re.compile(r"[\\\[\](){}.*+?^$|]")
 VERSION = 1
 # --- fixed values: subjects, categories and rules (pattern, weight, reason) -----------
 SUBJECTS = ("大学英语", "计算机基础", "大学语文", "高等数学", "其他")
@@ -108,88 +112,134 @@ def canonical_text(df: DataFrame, nfkc: bool = True) -> Column:
     return F.lower(T.nfkc(joined) if nfkc else joined)
 
 
-def subject_score(text: Column, subject: str) -> Column:
-    return sum((F.when(text.rlike(p), F.lit(float(w))).otherwise(F.lit(0.0)) for p, w, _ in SUBJECT_RULES[subject]), F.lit(0.0))
-
-
-def subject_reasons(text: Column, subject: str) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(r)) for p, _, r in SUBJECT_RULES[subject]]))
-
-
-def category(text: Column, subject: str) -> Column:
+# --- patterns as cheap tests -------------------------------------------------------------
+
+
+def _alternatives(pattern: str) -> tuple[bool, list[str]]:
+    """Whether a pattern ignores case, and its top-level alternatives."""
+    folds = pattern.startswith("(?iu)")
+    pattern = pattern.removeprefix("(?iu)")
+    out, depth, begin, k = [], 0, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and not depth:
+            out.append(pattern[begin:k])
+            begin = k + 1
+        k += 1
+    return folds, [*out, pattern[begin:]]
+
+
+def _needs_han(alternative: str) -> bool:
+    """Whether every match of an alternative holds a Han letter, as far as can be told."""
+    required = re.sub(r"\(\?:[^()]*\)\?|\[[^\]]*\][*?]?", "", alternative)
+    choices = re.findall(r"\(\?:([^()]*)\)", required)
+    return bool(_HAN.search(re.sub(r"\(\?:[^()]*\)", "", required))) or any(all(_HAN.search(x) for x in c.split("|")) for c in choices)
+
+
+def matches(pattern: str, text: Column, lowered: Column, han: Column) -> Column:
+    """``text.rlike(pattern)``: plain alternatives by a search for bytes, the rest by one
+    pattern; alternatives with Han letters only where ``han`` says that the text has any."""
+    folds, parts = _alternatives(pattern)
+    source = lowered if folds else text  # fixed values are in lower case
+    tests = []
+    for needs in (False, True):
+        own = [p for p in parts if _needs_han(p) == needs]
+        found = [source.contains(p) for p in own if not _SPECIAL.search(p)]
+        rest = [p for p in own if _SPECIAL.search(p)]
+        if rest:
+            found.append(source.rlike("|".join(rest)))
+        if found:
+            any_ = reduce(lambda x, y: x | y, found)
+            tests.append(han & any_ if needs else any_)
+    return reduce(lambda x, y: x | y, tests)
+
+
+def _category_of(subject: Column, test) -> Column:
     """struct(category, reason): highest weight first, then rule order; the subject's last category if nothing matches."""
-    rules = CATEGORY_RULES[subject]
     out = None
-    for _, (name, pattern, _, reason) in sorted(enumerate(rules), key=lambda x: (-x[1][2], x[0])):
-        found = F.struct(F.lit(name).alias("category"), F.lit(reason).alias("reason"))
-        out = F.when(text.rlike(pattern), found) if out is None else out.when(text.rlike(pattern), found)
-    return out.otherwise(F.struct(F.lit(CATEGORIES[subject][-1]).alias("category"), F.lit(DEFAULT_REASON).alias("reason")))
-
-
-def _category_of(text: Column, subject: Column) -> Column:
-    out = F.when(subject == SUBJECTS[0], category(text, SUBJECTS[0]))
-    for name in SUBJECTS[1:4]:
-        out = out.when(subject == name, category(text, name))
+    for name in SUBJECTS[:4]:
+        found = None
+        for _, (category, pattern, _, reason) in sorted(enumerate(CATEGORY_RULES[name]), key=lambda x: (-x[1][2], x[0])):
+            value = F.struct(F.lit(category).alias("category"), F.lit(reason).alias("reason"))
+            found = F.when(test(pattern), value) if found is None else found.when(test(pattern), value)
+        found = found.otherwise(F.struct(F.lit(CATEGORIES[name][-1]).alias("category"), F.lit(DEFAULT_REASON).alias("reason")))
+        out = F.when(subject == name, found) if out is None else out.when(subject == name, found)
     return out
 
 
 def classify(df: DataFrame, out: str = "classification", nfkc: bool = True) -> DataFrame:
     """Adds struct(subject, category, confidence, reasons) as column ``out``.
 
-    Reads whichever of the input fields the table has.
+    Reads whichever of the input fields the table has. Each step is a projection of its
+    own, so that every pattern stands once in the plan and is tried once a row at most.
     """
     have = set(df.columns)
     none = F.array().cast("array<string>")
-    choices = F.coalesce(F.col("choices"), none) if "choices" in have else none
+    c = lambda name: F.col(f"_{name}")
     typed = lambda name, kind: F.col(name) if name in have else F.lit(None).cast(kind)
-    df = df.withColumn("_text", canonical_text(df, nfkc)).withColumn("_options", T.nfkc(F.array_join(choices, " ")) if nfkc and "choices" in have else F.array_join(choices, " "))
-    text, options = F.col("_text"), F.col("_options")
-    df = df.select("*", *[subject_score(text, s).alias(f"_s{k}") for k, s in enumerate(SUBJECTS[:4])])
-    strong = F.greatest(*[F.col(f"_s{k}") for k in (1, 2, 3)], F.lit(0.0))
-    letters, han = F.regexp_count(text, F.lit("(?i)[a-z]")), F.regexp_count(text, F.lit(X.HAN))
-    words = F.regexp_count(text, F.lit("(?i)[a-z]+(?:'[a-z]+)?"))
-    common = F.regexp_count(text, F.lit(COMMON_WORDS))
-    option_words = F.regexp_extract_all(options, F.lit("(?i)[a-z]+(?:['’][a-z]+)?"), F.lit(0))
-    weak = strong < 4.5
-    sentence = weak & (words >= 4) & (letters / F.greatest(letters + han, F.lit(1)) >= 0.42)
-    function = weak & (common >= 2)
-    optional = weak & (F.size(choices) >= 3) & (F.size(option_words) >= 4) & (F.length(F.array_join(option_words, "")) > F.greatest(F.lit(1.0), F.regexp_count(options, F.lit(X.HAN)) * 1.5))
-    df = df.withColumn("_sentence", sentence).withColumn("_function", function).withColumn("_optional", optional)
-    bonus = F.when(F.col("_sentence"), 2.8).otherwise(0.0) + F.when(F.col("_function"), F.least(F.lit(2.4), common * 0.4)).otherwise(0.0) + F.when(F.col("_optional"), 3.2).otherwise(0.0)
-    df = df.withColumn("_s0", F.col("_s0") + bonus)
-    scored = F.array(*[F.struct((-F.col(f"_s{k}")).alias("least"), F.lit(k).alias("k"), F.lit(s).alias("subject")) for k, s in enumerate(SUBJECTS[:4])])
-    df = df.withColumn("_ranked", F.array_sort(scored))
-    best, second = -F.col("_ranked")[0]["least"], -F.col("_ranked")[1]["least"]
-    subject = F.col("_ranked")[0]["subject"]
-    short = (F.size(choices) >= 3) & F.forall(choices, lambda c: F.regexp_count(c, F.lit("(?i)[a-z]+(?:['’][a-z]+)?")).between(1, 4) & ~c.rlike(X.HAN))
-    detail = F.array_join(F.filter(F.array(text, options, F.when((subject == ENGLISH) & short, "vocabulary").otherwise("")), lambda x: x != ""), "\n")
-    chosen = _category_of(detail, subject)
-    reasons = F.when(subject == ENGLISH, F.concat(subject_reasons(text, ENGLISH), F.array_compact(F.array(F.when(F.col("_sentence"), F.lit(SENTENCE_REASON)), F.when(F.col("_function"), F.lit(FUNCTION_REASON)), F.when(F.col("_optional"), F.lit(OPTION_REASON))))))
-    for s in SUBJECTS[1:4]:
-        reasons = reasons.when(subject == s, subject_reasons(text, s))
+    choices = F.coalesce(F.col("choices"), none) if "choices" in have else none
+    options = F.array_join(choices, " ")
+    wide = df.columns
+    df = df.select("*", canonical_text(df, nfkc).alias("_text"), (T.nfkc(options) if nfkc and "choices" in have else options).alias("_options"), choices.alias("_choices"))
+    df = df.select("*", c("text").rlike(X.HAN).alias("_has_han"))
+    # one test for each subject rule: scores and reasons both follow from these
+    rules = [(subject, *rule) for subject in SUBJECTS[:4] for rule in SUBJECT_RULES[subject]]
+    df = df.select("*", F.array(*[matches(p, c("text"), c("text"), c("has_han")) for _, p, _, _ in rules]).alias("_hits"))
+    weights = lambda subject: sum((F.when(c("hits")[k], F.lit(float(w))).otherwise(F.lit(0.0)) for k, (s, _, w, _) in enumerate(rules) if s == subject), F.lit(0.0))
+    df = df.select("*", *[weights(s).alias(f"_s{k}") for k, s in enumerate(SUBJECTS[:4])])
+    weak = F.greatest(c("s1"), c("s2"), c("s3"), F.lit(0.0)) < 4.5
+    letters = F.length(c("text")) - F.length(F.translate(c("text"), string.ascii_lowercase + string.ascii_uppercase, ""))
+    han = F.when(c("has_han"), F.regexp_count(c("text"), F.lit(X.HAN))).otherwise(0)
+    option_words = F.regexp_extract_all(c("options"), F.lit("(?i)[a-z]+(?:['’][a-z]+)?"), F.lit(0))
+    df = df.select(
+        "*",
+        F.when(weak, F.regexp_count(c("text"), F.lit("(?i)[a-z]+(?:'[a-z]+)?"))).alias("_words"),
+        F.when(weak, F.regexp_count(c("text"), F.lit(COMMON_WORDS))).alias("_common"),
+        F.when(weak, letters / F.greatest(letters + han, F.lit(1))).alias("_share"),
+        F.when(weak & (F.size(c("choices")) >= 3), option_words).alias("_option_words"),
+    )
+    written = F.length(F.array_join(c("option_words"), "")) > F.greatest(F.lit(1.0), F.regexp_count(c("options"), F.lit(X.HAN)) * 1.5)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    signs = {"sentence": (c("words") >= 4) & (c("share") >= 0.42), "function": c("common") >= 2, "optional": (F.size(c("option_words")) >= 4) & written}
+    df = df.select("*", *[yes(v).alias(f"_{k}") for k, v in signs.items()])
+    bonus = F.when(c("sentence"), 2.8).otherwise(0.0) + F.when(c("function"), F.least(F.lit(2.4), c("common") * 0.4)).otherwise(0.0) + F.when(c("optional"), 3.2).otherwise(0.0)
+    scores = [c("s0") + bonus, c("s1"), c("s2"), c("s3")]
+    df = df.select("*", F.array_sort(F.array(*[F.struct((-v).alias("least"), F.lit(k).alias("k"), F.lit(s).alias("subject")) for k, (v, s) in enumerate(zip(scores, SUBJECTS))])).alias("_ranked"))
+    prior, source = typed("subject", "string"), typed("classificationSource", "string")
+    sticky = yes(prior.isin(*SUBJECTS) & (yes(source == "user") | ((prior != OTHER) & yes(typed("classificationVersion", "int") == VERSION))))
+    short = (F.size(c("choices")) >= 3) & F.forall(c("choices"), lambda x: F.regexp_count(x, F.lit("(?i)[a-z]+(?:['’][a-z]+)?")).between(1, 4) & ~x.rlike(X.HAN))
+    df = df.select("*", sticky.alias("_sticky"), F.when(sticky, prior).otherwise(c("ranked")[0]["subject"]).alias("_subject"))
+    # a label that sticks has its category from the text alone
+    detail = F.array_join(F.filter(F.array(c("text"), c("options"), F.when((c("subject") == ENGLISH) & short, "vocabulary").otherwise("")), lambda x: x != ""), "\n")
+    df = df.select("*", F.when(c("sticky"), c("text")).otherwise(detail).alias("_detail"))
+    df = df.select("*", F.lower("_detail").alias("_low"), (c("has_han") | c("options").rlike(X.HAN)).alias("_any_han"))
+    df = df.select("*", _category_of(c("subject"), lambda p: matches(p, c("detail"), c("low"), c("any_han"))).alias("_category"))
+
+    best, second = -c("ranked")[0]["least"], -c("ranked")[1]["least"]
     confidence = F.least(F.lit(0.98), F.greatest(F.lit(0.5), 0.55 + (best - second) / F.greatest(F.lit(4.0), best + 2) * 0.4))
     rounded = F.floor(confidence.cast("decimal(38,30)") * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("double") / 100
+    said = [F.when(c("hits")[k] & (c("subject") == s), F.lit(r)) for k, (s, _, _, r) in enumerate(rules)]
+    english = [F.when(c(k) & (c("subject") == ENGLISH), F.lit(r)) for k, r in (("sentence", SENTENCE_REASON), ("function", FUNCTION_REASON), ("optional", OPTION_REASON))]
+    first = len(SUBJECT_RULES[ENGLISH])  # English comes first, and its signs after its rules
+    reasons = F.array_compact(F.array(*said[:first], *english, *said[first:], F.concat(F.lit(CATEGORY_REASON), c("category.reason"))))
 
     def made(subject, category, confidence, reasons):
         return F.struct(subject.alias("subject"), category.alias("category"), confidence.alias("confidence"), reasons.alias("reasons"))
 
     lits = lambda s, c, n, r: made(F.lit(s), F.lit(c), F.lit(n), F.array(F.lit(r)))
-    prior, source = typed("subject", "string"), typed("classificationSource", "string")
-    sticky = F.coalesce(prior.isin(*SUBJECTS) & (F.coalesce(source == "user", F.lit(False)) | ((prior != OTHER) & F.coalesce(typed("classificationVersion", "int") == VERSION, F.lit(False)))), F.lit(False))
     prior_category = typed("knowledgeCategory", "string")
-    allowed = F.lit(False)
-    for s, names in CATEGORIES.items():
-        allowed = allowed | ((prior == s) & F.coalesce(prior_category.isin(*names), F.lit(False)))
-    held = made(
-        prior,
-        F.when(allowed, prior_category).when(prior == OTHER, FALLBACK_CATEGORY).otherwise(_category_of(text, prior)["category"]),
-        F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.5), typed("classificationConfidence", "double"))), F.lit(0.9)) if "classificationConfidence" in have else F.lit(0.9),
-        F.array(F.lit(STICKY_REASON)),
-    )
-    fresh = let(chosen, lambda c: made(subject, c["category"], rounded, F.slice(F.array_distinct(F.concat(reasons, F.array(F.concat(F.lit(CATEGORY_REASON), c["reason"])))), 1, 4)))
-    result = F.when(sticky, held).when(T.trim(text) == "", lits(OTHER, FALLBACK_CATEGORY, 0.2, EMPTY_REASON)).when(best < 2.5, lits(OTHER, FALLBACK_CATEGORY, 0.35, UNMATCHED_REASON)).otherwise(fresh)
-    helper = ["_text", "_options", "_s0", "_s1", "_s2", "_s3", "_sentence", "_function", "_optional", "_ranked"]
-    return df.withColumn(out, result).drop(*helper)
+    allowed = reduce(lambda x, y: x | y, [(prior == s) & yes(prior_category.isin(*names)) for s, names in CATEGORIES.items()])
+    kept = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.5), typed("classificationConfidence", "double"))), F.lit(0.9)) if "classificationConfidence" in have else F.lit(0.9)
+    held = made(prior, F.when(allowed, prior_category).when(prior == OTHER, FALLBACK_CATEGORY).otherwise(c("category.category")), kept, F.array(F.lit(STICKY_REASON)))
+    fresh = made(c("subject"), c("category.category"), rounded, F.slice(F.array_distinct(reasons), 1, 4))
+    result = F.when(c("sticky"), held).when(T.trim(c("text")) == "", lits(OTHER, FALLBACK_CATEGORY, 0.2, EMPTY_REASON)).when(best < 2.5, lits(OTHER, FALLBACK_CATEGORY, 0.35, UNMATCHED_REASON)).otherwise(fresh)
+    return df.select(*[F.col(f"`{n}`") for n in wide], result.alias(out))
 
 
 def canonical_order(subjects: DataFrame, column: str = "subject") -> DataFrame:

@@ -373,7 +373,8 @@ def grade_answer(spark, d):
 
 # --- classifier -------------------------------------------------------------------------------
 
-_DOC = "SELECT doc_id, lower(text) AS t FROM documents WHERE text <> ''"
+_DOC = "SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents"
+_BLANK = f"{S.trim('t')} = ''"
 _SCORES = ", ".join(f"{S.subject_score('t', s)} AS s{k}" for k, s in enumerate(C.SUBJECTS[:4]))
 _CLASSIFIED = f"""
 sc AS (SELECT doc_id, t, {_SCORES}, len(regexp_extract_all(t, '[a-z]+(?:''[a-z]+)?')) AS words, len(regexp_extract_all(t, '[a-z]')) AS letters, len(regexp_extract_all(t, {S.re2(C.COMMON_WORDS)})) AS common,
@@ -383,15 +384,15 @@ bo AS (SELECT doc_id, t, s1, s2, s3, s0 + CASE WHEN greatest(s1, s2, s3) < 4.5 A
 ra AS (SELECT *, list_sort([s0, s1, s2, s3], 'DESC') AS ranked, CASE greatest(s0, s1, s2, s3) WHEN s0 THEN 0 WHEN s1 THEN 1 WHEN s2 THEN 2 ELSE 3 END AS k FROM bo)"""
 
 
-@query(f"WITH {_CLASSIFIED} SELECT doc_id, CASE WHEN ranked[1] < 2.5 THEN '其他' ELSE ([{', '.join(map(S.lit, C.SUBJECTS))}])[k + 1] END AS subject, CASE WHEN ranked[1] < 2.5 THEN 0.35::DOUBLE ELSE floor(least(0.98::DOUBLE, greatest(0.5::DOUBLE, 0.55::DOUBLE + (ranked[1] - ranked[2]) / greatest(4.0::DOUBLE, ranked[1] + 2) * 0.4::DOUBLE)) * 100 + 0.5) / 100 END AS confidence FROM ra")
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, CASE WHEN {_BLANK} OR ranked[1] < 2.5 THEN {S.lit(C.OTHER)} ELSE ([{', '.join(map(S.lit, C.SUBJECTS))}])[k + 1] END AS subject, CASE WHEN {_BLANK} THEN 0.2::DOUBLE WHEN ranked[1] < 2.5 THEN 0.35::DOUBLE ELSE floor(least(0.98::DOUBLE, greatest(0.5::DOUBLE, 0.55::DOUBLE + (ranked[1] - ranked[2]) / greatest(4.0::DOUBLE, ranked[1] + 2) * 0.4::DOUBLE)) * 100 + 0.5) / 100 END AS confidence FROM ra")
 def classify_subject(spark, d):
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return C.classify(docs).select("doc_id", "classification.subject", "classification.confidence")
 
 
-@query(f"WITH {_CLASSIFIED} SELECT doc_id, CASE WHEN ranked[1] < 2.5 THEN '综合知识' ELSE CASE k {' '.join(f'WHEN {k} THEN {S.category(chr(116), s)}' for k, s in enumerate(C.SUBJECTS[:4]))} END END AS category FROM ra")
+@query(f"WITH {_CLASSIFIED} SELECT doc_id, CASE WHEN {_BLANK} OR ranked[1] < 2.5 THEN {S.lit(C.FALLBACK_CATEGORY)} ELSE CASE k {' '.join(f'WHEN {k} THEN {S.category(chr(116), s)}' for k, s in enumerate(C.SUBJECTS[:4]))} END END AS category FROM ra")
 def classify_category(spark, d):
-    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return C.classify(docs).select("doc_id", "classification.category")
 
 
