@@ -5,8 +5,7 @@ window). Its shingles are its word pairs. A window can only occur where its rare
 pair occurs, so the pairs are ordered by how often they occur in all documents and
 one prefix token, the rarest pair, is joined with the documents' pairs. Position and
 length bounds drop what would begin before the text or end after it, and the words of
-the rest are compared one by one. Word pairs that no window has go before any shuffle,
-so what is moved and kept are places that share a pair with the benchmark.
+the rest are compared one by one.
 
 Words are lower-cased (A-Z) runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Defined results:
 null and empty texts have no words and hit nothing, as documents and as items; a null
@@ -55,39 +54,45 @@ def _small(df: DataFrame, n_bytes: int) -> DataFrame:
 
 
 def _document_pairs(w: DataFrame, singles: bool) -> DataFrame:
-    """(_key, n, pos, token) of all word pairs, and of all single words where items have one word only."""
-    pairs = w.select("_key", F.size("w").alias("n"), F.posexplode(_pairs(F.col("w"))).alias("pos", "token"))
+    """(_key, w, pos, token) of all word pairs, and of all single words where items have one word only."""
+    pairs = w.select("_key", "w", F.posexplode(_pairs(F.col("w"))).alias("pos", "token"))
     if singles:
-        one = w.select("_key", F.size("w").alias("n"), F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("pos", "token"))
-        pairs = pairs.unionByName(one.where(F.col("pos") < F.col("n") - 1))  # the last word is among the pairs
+        one = w.select("_key", "w", F.posexplode(F.transform("w", lambda x: F.xxhash64(x))).alias("pos", "token"))
+        pairs = pairs.unionByName(one.where(F.col("pos") < F.size("w") - 1))  # the last word is among the pairs
     return pairs
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(_key, start, wid, len): every place where a window's words stand.
 
-    ``docs`` has ``_key`` and ``text``, ``windows`` has wid and win.
+    ``docs`` has ``_key`` and ``text``, ``windows`` has wid and win. While the prefixes
+    are small enough to be broadcast, they meet the texts where these are read, and only
+    hits are moved; otherwise pairs are shuffled, and texts once to the places found.
     """
     sized = windows.withColumn("len", F.size("win"))
     letters = F.aggregate("win", F.lit(0), lambda n, x: n + F.octet_length(x) + 16)
     counts = sized.agg(F.count("*").alias("n"), F.coalesce(F.min("len"), F.lit(0)).alias("shortest"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(letters), F.lit(0)).alias("bytes")).first()
     token = F.when(F.col("len") == 1, _pairs(F.col("win"))).otherwise(F.slice(_pairs(F.col("win")), 1, F.col("len") - 1))
     tokens = sized.select("wid", "len", F.posexplode(token).alias("offset", "token"))
-    vocabulary = tokens.select("token").distinct()
-    # all pairs are looked at once; what the benchmark doesn't know goes before any shuffle
-    met = _document_pairs(docs.select("_key", words(F.col("text")).alias("w")), counts["shortest"] == 1)
-    met = scratch.write(met.join(_small(vocabulary, counts["tokens"] * ROW_BYTES), "token"), "met")
-    rarity = met.groupBy("token").agg(F.count("*").alias("df"))
+    pairs = _document_pairs(docs.select("_key", words(F.col("text")).alias("w")), counts["shortest"] == 1)
+    vocabulary = _small(tokens.select("token").distinct(), counts["tokens"] * ROW_BYTES)
+    rarity = pairs.select("token").join(vocabulary, "token").groupBy("token").agg(F.count("*").alias("df"))
     # a window with a token that isn't in rarity occurs nowhere
     ranked = tokens.join(rarity, "token", "left").groupBy("wid", "len").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token", "offset")).alias("first"))
     prefix = ranked.where("first.df > 0").select("wid", "len", "first.token", "first.offset")
-    found = met.join(_small(prefix, counts["n"] * ROW_BYTES), "token").where((F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("len") <= F.col("n")))
-    found = scratch.write(found.select("_key", (F.col("pos") - F.col("offset")).alias("start"), "len").distinct(), "candidates")
-    scratch.drop(met)
+    prefix = scratch.write(prefix.join(windows, "wid"), "prefix")
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
+    stands = F.slice("w", start + 1, F.col("len")) == F.col("win")
+    if counts["bytes"] + counts["n"] * ROW_BYTES <= MAX_BROADCAST_BYTES:
+        found = pairs.join(F.broadcast(prefix), "token").where(fits & stands)
+        return found.select("_key", start.alias("start"), "wid", "len")
+    found = pairs.select("_key", "pos", "token", F.size("w").alias("n")).join(prefix.drop("win"), "token")
+    found = found.where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("_key", start.alias("start"), "len").distinct()
     places = found.groupBy("_key").agg(F.collect_list(F.struct("start", "len")).alias("places"))  # each place of a text once a length
-    there = docs.join(_small(places, found.count() * ROW_BYTES), "_key").dropDuplicates(["_key"])
-    cut = there.select("_key", words(F.col("text")).alias("w"), F.explode("places").alias("p")).select("_key", "p.start", "p.len", F.slice("w", F.col("p.start") + 1, F.col("p.len")).alias("win"))
-    return cut.join(_small(windows, counts["bytes"] + counts["n"] * ROW_BYTES), "win").select("_key", "start", "wid", "len")
+    there = scratch.write(docs.join(places, "_key").select("_key", words(F.col("text")).alias("w"), "places"), "there")
+    cut = there.select("_key", "w", F.explode("places").alias("p")).select("_key", "p.start", "p.len", F.slice("w", F.col("p.start") + 1, F.col("p.len")).alias("win"))
+    return cut.join(windows, "win").select("_key", "start", "wid", "len").distinct()
 
 
 def _judged(docs: DataFrame, benchmark: DataFrame, keep, replaced) -> tuple[DataFrame, list[str]]:

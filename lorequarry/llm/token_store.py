@@ -22,8 +22,8 @@ temporary name and renamed, so a task that runs twice leaves one file.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import unicodedata
 import uuid
@@ -45,7 +45,9 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-WORD_ENTRIES = 350_000
+#: Bytes of text that go to one shard, about.
+SHARD_BYTES = 64 << 20
+WORD_ENTRIES = 500_000
 PIECE_ENTRIES = 700_000
 
 
@@ -217,38 +219,68 @@ class TableReader:
             k += 1
 
 
-_TAIL = re.compile("[.,]+$")
+#: The settings under which words can be encoded one by one (fixed values of the file format):
+#: white space parts pieces, and every piece ends with a mark.
+WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+END_OF_WORD = "</w>"
 
 
 class WordCache:
     """The library's identifiers of every word, kept in a bounded cache.
 
-    White space separates words in this tokenizer, so a text's identifiers are its words'
-    identifiers in order. A word of letters only is one piece of the pre-tokenizer, as is
-    a run of full stops and commas after one, so such words are looked up as letters and
-    tail, letters of ASCII in lower case. New ones are encoded by the library in one call,
-    and the identifiers are told apart by the mark that ends every piece.
+    White space separates words in tokenizers of the kind above, so a text's identifiers
+    are its words' identifiers in order. A word of letters only is one piece of the
+    pre-tokenizer, as is a run of full stops and commas after one, so such words are
+    looked up as letters and tail, letters of ASCII in lower case. New ones are encoded
+    by the library in one call, and the identifiers are told apart by the mark that ends
+    every piece, those of other words by the place in the text that they stand for. With
+    any other tokenizer, and for texts that hold one of its added tokens, the library
+    gets whole texts.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.wordwise = all(spec.get(k) == v for k, v in WORDWISE.items()) and spec["model"].get("end_of_word_suffix") == END_OF_WORD
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.ends = {i for t, i in self.tokenizer.get_vocab().items() if t.endswith(END_OF_WORD)}
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Identifiers of words, by one call: every token goes to the word that it begins in."""
+        if not words:
+            return []
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begins = np.array([o[0] for o in found.offsets], np.int64)
+        ends = np.searchsorted(begins, np.cumsum(sizes))
+        return [ids[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Identifiers of words that aren't known yet."""
-        pieces, cut, new = self.pieces, [], {}
+        pieces, cut, new, odd = self.pieces, [], {}, []
         for w in words:
-            core = _TAIL.sub("", w)
+            core = w.rstrip(".,")
             if len(core) <= 64 and core.isalpha() and (core.isascii() or core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
                 tail = w[len(core) :]
                 core = core.lower() if core.isascii() else core
@@ -257,7 +289,7 @@ class WordCache:
                         new[p] = None
                 cut.append((w, core, tail))
             else:
-                cut.append((w, None, None))
+                odd.append(w)
         if len(pieces) + len(new) > PIECE_ENTRIES:
             held = {p: pieces[p] for _, *both in cut for p in both if p in pieces}
             pieces.clear()
@@ -274,29 +306,36 @@ class WordCache:
                 for p in order:
                     ids = self._library(p)
                     pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
-        out = {}
+        out = dict(zip(odd, self._each(odd)))
         for w, core, tail in cut:
-            if core is None:
-                ids = self._library(w)
-                out[w] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
-                out[w] = pieces[core] + (pieces[tail] if tail else b"")
+            out[w] = pieces[core] + (pieces[tail] if tail else b"")
         return out
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        whole = [k for k, t in enumerate(texts) if t and (not self.wordwise or any(x in t for x in self.added))]
+        if whole:
+            texts = list(texts)
+            apart = {k: np.array(self._library(texts[k]), "<u4").tobytes() for k in whole}
+            for k in whole:
+                texts[k] = None
+            out = self.encode_batch(texts)
+            for k, ids in apart.items():
+                out[k] = ids
+            return out
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
-        missing = {w for words in split for w in words if w not in known}
-        fresh = self._learn(sorted(missing)) if missing else {}
+        words = set().union(*split)
+        missing = words - known.keys()
+        fresh = self._learn(list(missing)) if missing else {}
         if len(known) + len(fresh) > WORD_ENTRIES:
-            fresh |= {w: known[w] for words in split for w in words if w in known}
+            held = {w: known[w] for w in words - missing}
             known.clear()
-        known.update((w, v) for w, v in fresh.items() if len(w) <= 64)
-        long = {w: v for w, v in fresh.items() if len(w) > 64}
-        get = known.get
-        if long:
-            return [b"".join([long[w] if w in long else get(w) for w in words]) for words in split]
-        return [b"".join(map(get, words)) for words in split]
+            known.update(held)
+        known.update(fresh)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in [w for w in fresh if len(w) > 64]:  # such words hardly come again
+            del known[w]
+        return out
 
 
 _CACHES: dict[str, WordCache] = {}
@@ -349,21 +388,26 @@ def write_store(docs: DataFrame, path: str, folder: str, end_id: int = 2) -> Dat
     """Encode documents and write them in ascending doc_id order; returns the manifest with ``base``.
 
     Rows are dealt by range of (doc_id, hash of the text), so rows that share a doc_id
-    need not share a shard. The manifest has a row a shard; its prefix sum is taken on
-    the driver.
+    need not share a shard; doc_id is a whole number. There are as many shards as SHARD_BYTES
+    asks for, and one a task at least. The manifest has a row a shard; its prefix sum is
+    taken on the driver.
     """
     spark = docs.sparkSession
+    if dict(docs.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("doc_id must be a whole number")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     words = _cache(path)
     width = 2 if max(words.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first(), "_h")
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
+        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "_h")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h")
         .select("doc_id", "text")
     )
-    shards = common.arrow_map(ordered, f"{__name__}:_write_batches", MANIFEST, path=path, folder=folder, end_id=end_id, width=width)
+    written = common.arrow_map(ordered, f"{__name__}:_write_batches", MANIFEST, path=path, folder=folder, end_id=end_id, width=width)
     base, rows = 0, []
-    for row in sorted(shards.collect(), key=lambda r: r["shard"]):
+    for row in sorted(written.collect(), key=lambda r: r["shard"]):
         rows.append((*row, base))
         base += row["n_ids"]
     return spark.createDataFrame(rows, MANIFEST + ", base bigint")

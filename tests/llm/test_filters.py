@@ -1,4 +1,6 @@
 import random
+
+import pytest
 import re
 
 import numpy as np
@@ -141,7 +143,9 @@ def brute_hits(text, items):
     return len(words), sorted(hit), sorted(names)
 
 
-def test_hits_equal_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [decontaminate.MAX_BROADCAST_BYTES, -1])
+def test_hits_equal_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", broadcast)
     rng = random.Random(4)
     items = [(k, " ".join(fixtures.words(rng, n))) for k, n in enumerate((25, 10, 12, 4, 2, 1, 30))] + [(7, None), (8, "..."), (None, " ".join(fixtures.words(rng, 11))), (1, "Straße über alles"), (9, "la la la la la la la la la la la la")]
     rows = []
