@@ -76,7 +76,7 @@ def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
         known.clear()
     split = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
     words = [w for ws in split for w in ws]
-    for w in set(words) - known.keys():
+    for w in [w for w in set(words) if w not in known]:
         known[w] = xxhash.xxh3_64_intdigest(w)
     ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     whole = _folded(ids, shingle) if len(ids) >= shingle else ids[:0]

@@ -325,7 +325,7 @@ class WordCache:
         split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         known = self.known
         words = set().union(*split)
-        missing = words - known.keys()
+        missing = {w for w in words if w not in known}
         fresh = self._learn(list(missing)) if missing else {}
         if len(known) + len(fresh) > WORD_ENTRIES:
             held = {w: known[w] for w in words - missing}
