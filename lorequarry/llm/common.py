@@ -63,14 +63,16 @@ class Scratch:
 
     ``write`` cuts the lineage: the table lies in the shared folder, where it outlives
     the executors that wrote it. ``drop`` deletes tables that nothing will read again.
-    What a returned DataFrame still reads stays until ``release`` or the end of the session.
+    What a returned DataFrame still reads stays until ``release``, or until the shared
+    folder is cleared with the cluster's own checkpoints.
     """
 
-    _open: list[Scratch] = []
+    _watched: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
-        Scratch._open.append(self)
+        for watched in Scratch._watched:
+            watched.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_dir(self.spark, name)
@@ -111,11 +113,15 @@ def small_batches(spark: SparkSession):
         spark.conf.set(_BATCH_BYTES, held)
 
 
-def release_all() -> None:
-    """Delete the scratch of all operators that ran so far: for a caller who has written their results."""
-    for scratch in Scratch._open:
-        scratch.release()
-    Scratch._open.clear()
+@contextlib.contextmanager
+def opened():
+    """The list of scratches that are opened in the block, for a caller who will release them."""
+    out: list[Scratch] = []
+    Scratch._watched.append(out)
+    try:
+        yield out
+    finally:
+        Scratch._watched[:] = [w for w in Scratch._watched if w is not out]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
