@@ -1,9 +1,8 @@
 """Distractors, question banks and exams.
 
 Candidates are ranked for each distinct answer of a subject and category, not for each
-question, and the pool is reduced to distinct answers first. That keeps the one join
-that multiplies rows at (distinct answers)^2 of a subject, however many questions ask
-for them.
+question. They are found by way of cells, answers of one subject, shape and length, so
+that rows grow with the answers and not with pairs of them.
 """
 
 from __future__ import annotations
@@ -53,29 +52,46 @@ def answer_pool(answers: DataFrame) -> DataFrame:
     return first_wins(answers.where("answer <> ''").select("subject", "category", "answer", "ord"), ["subject", "category", "answer"], "ord")
 
 
-def ranked_distractors(pool: DataFrame, targets: DataFrame, k: int = CHOICES - 1, keep: int | None = None) -> DataFrame:
+def ranked_distractors(pool: DataFrame, targets: DataFrame, keep: int | Column = CHOICES - 1) -> DataFrame:
     """For each target (subject, category, answer) up to ``keep`` candidates in order of preference.
 
     Candidates come from the subject; equal shape goes first, then near length, then the
     own category before others, then pool order.
+
+    Answers of one subject, shape and length are a cell. All answers in a cell are equally
+    near, so a cell's first ones, of all and of each category, stand for it. Cells are
+    ranked from cell to cell, which are no more than shapes times lengths, and targets
+    meet the candidates of their own cell: no join multiplies answers.
     """
-    keep = keep or k
-    c = pool.select("subject", F.col("category").alias("c_category"), F.col("answer").alias("candidate"), F.col("ord").alias("c_ord"))
-    t = targets.select("subject", "category", "answer").distinct()
-    shape = lambda x: T.answer_shape(F.col(x))
-    c, t = c.withColumn("c_shape", shape("candidate")).withColumn("c_len", F.length("candidate")), t.withColumn("shape", shape("answer")).withColumn("len", F.length("answer"))
-    rank = F.struct(
-        (F.col("c_shape") != F.col("shape")).cast("int").alias("s"),
-        F.abs(F.col("c_len") - F.col("len")).alias("d"),
-        (F.col("c_category") != F.col("category")).cast("int").alias("p"),
-        F.col("c_ord").alias("o"),
-    )
-    joined = t.join(c, "subject").where("candidate <> answer").select("subject", "category", "answer", "candidate", rank.alias("rank"))
-    once = joined.groupBy("subject", "category", "answer", "candidate").agg(F.min("rank").alias("rank"))
-    w = Window.partitionBy("subject", "category", "answer").orderBy("rank")
-    top = once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate"))), lambda x: x["candidate"])
-    return top.groupBy("subject", "category", "answer").agg(ordered.alias("distractors"))
+    keep = F.lit(keep) if isinstance(keep, int) else keep
+    shaped = lambda rows: rows.withColumn("shape", T.answer_shape(F.col("answer"))).withColumn("len", F.length("answer"))
+    cell, own = ["subject", "shape", "len"], ["subject", "category", "shape", "len"]
+    t = shaped(targets.select("subject", "category", "answer", keep.alias("keep")).groupBy("subject", "category", "answer").agg(F.max("keep").alias("keep")))
+    # one more than any target of the subject wants, as the answer itself may be among them
+    wanted = t.groupBy("subject").agg((F.max("keep") + 1).alias("most"))
+    c = shaped(pool.select("subject", "category", "answer", "ord")).join(wanted, "subject")
+
+    def firsts(rows, keys, name):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))
+        few = rows.withColumn("_n", place).where(F.col("_n") <= F.col("most"))
+        return few.groupBy(*keys).agg(F.collect_list(F.struct("ord", "answer")).alias(name), F.max("most").alias("most"))
+
+    anywhere = firsts(c.groupBy(*cell, "answer").agg(F.min("ord").alias("ord"), F.max("most").alias("most")), cell, "all")
+    inside = firsts(c, own, "own").select(*own, "own")
+    theirs = anywhere.select("subject", F.col("shape").alias("c_shape"), F.col("len").alias("c_len"), "all", "most")
+    near = anywhere.select(*cell).join(theirs, "subject")
+    s, d = (F.col("c_shape") != F.col("shape")).cast("int").alias("s"), F.abs(F.col("c_len") - F.col("len")).alias("d")
+    near = near.select("*", s, d)
+    # every distance has a cell and every cell an answer, so this many distances suffice
+    near = near.withColumn("_level", F.dense_rank().over(Window.partitionBy(*cell).orderBy("s", "d"))).where(F.col("_level") <= F.col("most"))
+    met = t.select(*own).distinct().join(near, cell)
+    met = met.join(inside.select("subject", "category", F.col("shape").alias("c_shape"), F.col("len").alias("c_len"), "own"), ["subject", "category", "c_shape", "c_len"], "left")
+    rank = lambda name, p: F.transform(name, lambda x: F.struct(F.col("s"), F.col("d"), F.lit(p).alias("p"), x["ord"].alias("ord"), x["answer"].alias("answer")))
+    both = F.when(F.col("own").isNull(), rank("all", 1)).otherwise(F.concat(rank("own", 0), rank("all", 1)))
+    cells = met.groupBy(*own).agg(F.array_sort(F.flatten(F.collect_list(both))).alias("candidates"))
+    named = F.array_distinct(F.transform("candidates", lambda x: x["answer"]))  # the first place of each
+    found = t.join(cells, own)
+    return found.select("subject", "category", "answer", F.slice(F.array_remove(named, F.col("answer")), F.lit(1), F.col("keep")).alias("distractors")).where("size(distractors) > 0")
 
 
 def four_choices(answer: Column, preferred: Column, distractors: Column) -> Column:
@@ -117,8 +133,8 @@ def point_questions(points: DataFrame, pool: DataFrame) -> DataFrame:
     """A question for each answer part of document points (id, answerParts, text, question, context, explanation, sourceName, location, subject, category, ord)."""
     parts = points.withColumn("_parts", T.parts_or_text(F.col("answerParts"), F.col("text"))).where("size(_parts) > 0")
     asked = parts.select("*", F.posexplode("_parts").alias("part", "answer"))
-    widest = asked.agg(F.max(F.size("_parts"))).first()[0] or 1
-    found = asked.join(ranked_distractors(pool, asked, keep=CHOICES - 1 + widest), ["subject", "category", "answer"], "left")
+    # a point's own parts are no distractors, so that many more are ranked
+    found = asked.join(ranked_distractors(pool, asked, F.size("_parts") + CHOICES - 1), ["subject", "category", "answer"], "left")
     none = F.array().cast("array<string>")
     others = F.slice(F.filter(F.coalesce("distractors", none), lambda c: ~F.array_contains(F.transform("_parts", T.choice_identity), T.choice_identity(c))), 1, CHOICES - 1)
     found = found.withColumn("_others", others).where(F.size("_others") == CHOICES - 1)
