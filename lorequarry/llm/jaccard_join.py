@@ -10,11 +10,12 @@ the largest number of tokens that bitmaps can hide. A dual traversal drops pairs
 nodes whose largest possible overlap is below what a link needs.
 
 Only connectivity is asked for, so a traversal passes over pairs that are connected
-already and emits a spanning forest of what is left, at most one pair a member. The
-pairs are verified exactly on the texts. A group's members are dealt to blocks of about
+already and emits a spanning forest of what is left, at most one pair a member; groups
+with one least member are searched in one task as one forest. The pairs are verified
+exactly on the texts. A group's members are dealt to blocks of about
 BLOCK; first every block is searched for itself, then, in groups that are not connected
 by then, every two blocks together, so that no task holds more than two blocks. Where
-pairs were refuted, those units are searched again without them for all pairs that
+pairs were refuted, the units of that forest are searched again without them for all pairs that
 aren't connected, a bounded number a round, until nothing new comes up; at that point
 every pair in every group is connected, ruled out by the bound, or refuted.
 
@@ -254,27 +255,50 @@ def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.nd
 
 
 def _search_batches(batches, percent, forest):
-    """Rows (token, unit, num, n_shingles, bits, label, refuted) sorted by (token, unit, n_shingles, num)."""
+    """Rows (lead, token, unit, num, n_shingles, bits, label, refuted) sorted in this order.
+
+    Units of one lead mostly hold the same members. A forest goes over all of them, so
+    that what one has emitted counts as connected in the next; pairs are emitted once.
+    """
     held: list[tuple] = []
+    root: dict[int, int] = {}
+    seen: set[tuple[int, int]] = set()
+
+    def find(k):
+        while (up := root.get(k, k)) != k:
+            k = up
+        return k
 
     def finish():
-        sizes = np.array([r[3] for r in held], np.int64)
-        bits = [np.frombuffer(r[4], "<u8") for r in held]
+        sizes = np.array([r[4] for r in held], np.int64)
+        bits = [np.frombuffer(r[5], "<u8") for r in held]
+        tops = [find(r[6]) for r in held]
         number: dict[int, int] = {}
-        labels = np.array([number.setdefault(r[5], len(number)) for r in held], np.int64)
-        place = {r[2]: k for k, r in enumerate(held)}
-        refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[6] or () if o in place}
+        labels = np.array([number.setdefault(t, len(number)) for t in tops], np.int64)
+        if len(number) == 1:
+            return
+        place = {r[3]: k for k, r in enumerate(held)}
+        refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[7] or () if o in place}
         for i, j in group_candidates(sizes, bits, labels, refuted, percent, forest):
-            yield held[0][0], held[0][1], min(held[i][2], held[j][2]), max(held[i][2], held[j][2])
+            pair = min(held[i][3], held[j][3]), max(held[i][3], held[j][3])
+            if forest:
+                low, high = sorted((find(tops[i]), find(tops[j])))
+                root[high] = low
+            if pair not in seen:
+                seen.add(pair)
+                yield held[0][0], *pair
 
     def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["token", "unit", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["lead", "a", "b"])
 
     found: list[tuple] = []
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("token", "unit", "num", "n_shingles", "bits", "label", "refuted")]):
-            if held and row[:2] != held[0][:2]:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("lead", "token", "unit", "num", "n_shingles", "bits", "label", "refuted")]):
+            if held and row[:3] != held[0][:3]:
                 found += finish()
+                if row[0] != held[0][0]:
+                    root.clear()
+                    seen.clear()
                 held = []
                 if len(found) >= 10_000:
                     yield rows(found)
@@ -339,17 +363,18 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
     """(id, component) of linked classes, by their numbers, or None."""
     met = sets.select("num", F.explode("prefix").alias("token")).repartition("token")
     # where classes meet: one token for each distinct group of two or more
-    shape = [F.count("*").alias("n"), *[F.bit_xor(F.xxhash64("num", F.lit(k))).alias(f"x{k}") for k in range(2)]]
+    shape = [F.count("*").alias("n"), F.min("num").alias("lead"), *[F.bit_xor(F.xxhash64("num", F.lit(k))).alias(f"x{k}") for k in range(2)]]
     groups = met.groupBy("token").agg(*shape).where("n > 1")
-    chosen = groups.groupBy("n", "x0", "x1").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = scratch.write(met.join(chosen, "token").select("token", "num", "blocks"), "members")
+    chosen = groups.groupBy("n", "lead", "x0", "x1").agg(F.min("token").alias("token")).select("token", "lead", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = scratch.write(met.join(chosen, "token").select("token", "lead", "num", "blocks"), "members")
     scratch.tidy()
     block = F.pmod(F.xxhash64("num"), F.col("blocks"))
-    # every block for itself; every two blocks of a group; what had a refuted pair
-    inside = members.select("token", "num", (block * F.col("blocks") + block).alias("unit"))
+    # every block for itself; every two blocks of a group; all units of a lead that had a refuted pair
+    lead = F.when(F.col("blocks") == 1, F.col("lead")).otherwise(F.xxhash64("token", "unit")).alias("lead")  # blocks are dealt out
+    inside = members.withColumn("unit", block * F.col("blocks") + block).select("token", "num", "unit", lead)
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block))
-    across = members.where("blocks > 1").select("token", "num", "blocks", block.alias("own"), other.alias("other"))
-    across = across.select("token", "num", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("unit"))
+    across = members.where("blocks > 1").select("token", "lead", "num", "blocks", block.alias("own"), other.alias("other"))
+    across = across.withColumn("unit", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).select("token", "num", "unit", lead)
     payload = sets.select("num", "n_shingles", "bits")
     turns = [(inside, True)]
     if members.where("blocks > 1").head(1):
@@ -362,13 +387,13 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
             rows = rows.join(components.select(F.col("id").alias("num"), F.col("component").alias("label")), "num", "left").withColumn("label", F.coalesce("label", "num"))
             open_ = rows.groupBy("token", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "unit")
             rows = scratch.write(rows.join(open_, ["token", "unit"]), "units")
-            units = rows.select("token", "num", "unit")
+            units = rows.select("token", "num", "unit", "lead")
             rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "num"), "num", "left")
         else:
             rows = rows.withColumn("label", F.col("num")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        rows = rows.join(payload, "num").select("token", "unit", "num", "n_shingles", "bits", "label", "refuted")
-        rows = rows.repartition("token", "unit").sortWithinPartitions("token", "unit", "n_shingles", "num")
-        found = scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", "token bigint, unit bigint, a bigint, b bigint", percent=percent, forest=forest), "candidates")
+        rows = rows.join(payload, "num").select("lead", "token", "unit", "num", "n_shingles", "bits", "label", "refuted")
+        rows = rows.repartition("lead").sortWithinPartitions("lead", "token", "unit", "n_shingles", "num")
+        found = scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", "lead bigint, a bigint, b bigint", percent=percent, forest=forest), "candidates")
         scratch.tidy()
         pairs = scratch.write(found.select("a", "b").distinct(), "pairs")
         if n_pairs := pairs.count():
@@ -379,14 +404,13 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
             components = common.connected_components(links)
         scratch.drop(pairs)
         if forest:
-            hit = found.join(refuted, ["a", "b"], "left_semi").select("token", "unit").distinct() if refuted is not None else None
-            if hit is not None:
-                hit = units.join(hit, ["token", "unit"])
+            if refuted is not None:
+                hit = units.join(found.join(refuted, ["a", "b"], "left_semi").select("lead").distinct(), "lead").select("token", "num", "unit", "lead")
                 again = hit if again is None else again.unionByName(hit)
             if not turns and again is not None:
                 turns.append((scratch.write(again, "again"), False))
         elif n_pairs:  # later rounds may have left pairs beyond a unit's room, so they go on until none comes up
-            turns.append((units.join(found.select("token", "unit").distinct(), ["token", "unit"]), False))
+            turns.append((units.join(found.select("lead").distinct(), "lead").select("token", "num", "unit", "lead"), False))
     return components
 
 
