@@ -152,6 +152,7 @@ ARCHIVE_FIRST = r"(?i)conversations?(?:-\d+)?\.json$"
 MAX_IMPORT_BYTES, MAX_EXPANDED_BYTES = 80 * 1024 * 1024, 120 * 1024 * 1024
 MAX_CANDIDATE_ENTRIES, MAX_ARCHIVE_ENTRIES = 256, 20_000
 MAX_DOCUMENT_BYTES, MAX_PAGES = 60 * 1024 * 1024, 300
+MAX_RASTER_PIXELS, MAX_RASTER_SCALE, MIN_RASTER_SCALE = 10_000_000, 2.0, 0.1
 SOURCE_LABELS = {"chatgpt": "ChatGPT 今日记录", "codex": "Codex 今日记录", "manual": "手动导入"}
 SECONDS_BELOW = 10_000_000_000
 
@@ -165,3 +166,14 @@ KERNING_SPACE = -120
 MARK_MAX_SCORE, MARK_TEXT_PENALTY, MARK_Y_WEIGHT = 12, 8, 3
 RASTER_MIN_RED = 0.00002
 TEXT_LAYER_CHARS, OCR_PAGE_CHARS = 80, 40
+
+# --- fixed values: demo points (text, context, location) -------------------------------
+DEMO_SOURCE, DEMO_METHOD = "认知心理学示例.docx", "docx-color"
+DEMO_POINTS = (
+    ("海马体", "海马体在新记忆的形成与空间导航中发挥重要作用。", "第 3 段"),
+    ("间隔效应", "间隔效应指将学习分散到多个时间段比集中学习更有利于长期记忆。", "第 8 段"),
+    ("提取练习", "提取练习通过主动回忆来加强记忆，而不仅是重复阅读材料。", "第 12 段"),
+    ("工作记忆", "工作记忆是对当前任务所需信息进行短时保持和加工的系统。", "第 17 段"),
+    ("长时记忆", "长时记忆能够在较长时间内保存知识、经验和技能。", "第 22 段"),
+    ("遗忘曲线", "遗忘曲线表明遗忘在学习后早期较快，之后速度逐渐减慢。", "第 26 段"),
+)

@@ -316,3 +316,13 @@ def hex_to_rgb(column: Column) -> Column:
 def needs_ocr(red_lines: Column, has_raster: Column, structured: Column, chars: Column) -> Column:
     """Whether a page has to be recognised although it has a text layer."""
     return ~((red_lines > 0) & (~has_raster | (structured & (chars >= X.TEXT_LAYER_CHARS))))
+
+
+#: What the id of a learning item's point begins with (a fixed value).
+ITEM_POINT = "learning-point-"
+
+
+def make_id(*parts: Column) -> Column:
+    """An id that follows from its parts, in the form of a random one."""
+    h = F.md5(F.concat_ws("\x00", *parts))
+    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])

@@ -11,7 +11,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -265,6 +265,26 @@ def tagged_lines(items: DataFrame, ops: DataFrame, codes: dict[str, int], annota
     return page_lines(flagged)
 
 
+def within_limits(pages: DataFrame) -> DataFrame:
+    """(doc_id, pages, problem): documents of more pages than the limit are refused."""
+    sizes = pages.groupBy("doc_id").agg(F.count_distinct("page").alias("pages"))
+    return sizes.withColumn("problem", F.when(F.col("pages") > X.MAX_PAGES, F.lit("too many pages")))
+
+
+def raster_scale(width: Column, height: Column) -> Column:
+    """How far a page is enlarged for recognition: twice, or less to stay within the pixel limit."""
+    area = F.greatest(F.lit(1.0), (width * height).cast("double"))
+    return F.greatest(F.lit(X.MIN_RASTER_SCALE), F.least(F.lit(X.MAX_RASTER_SCALE), F.sqrt(F.lit(float(X.MAX_RASTER_PIXELS)) / area)))
+
+
+def pages_to_read(pages: DataFrame) -> DataFrame:
+    """Pages (.., red_ratio, text, red_text) whose red share is worth a recognition, with
+    ``whole``: whether the page is to be read whole, as its text layer is nearly empty."""
+    short = F.length(T.key(F.coalesce("text", F.lit("")))) < X.OCR_PAGE_CHARS
+    lines = F.size(T.useful_lines(F.coalesce("red_text", F.lit("")))) > 0
+    return pages.where(F.col("red_ratio") >= X.RASTER_MIN_RED).withColumn("whole", short & lines)
+
+
 @F.pandas_udf(DoubleType())
 def red_pixel_ratio(pixels: pd.Series) -> pd.Series:
     """Share of red pixels in RGBA bytes."""

@@ -18,6 +18,7 @@ from ..functions import similarity as M
 from ..functions import taxonomy as C
 from ..functions import text as T
 from ..operators import ordered, pages, questions, review, structure
+from ..sources import store
 from . import sqltext as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -550,3 +551,94 @@ def rect_overlap(spark, d):
     x, y = (F.col("o_custkey") % 40).cast("double"), (F.col("o_custkey") % 70).cast("double")
     rectangles = o.select(F.lit(0).cast("bigint").alias("doc_id"), F.col("o_orderkey").alias("page"), x.alias("x1"), y.alias("y1"), (x + 8).alias("x2"), (y + 12).alias("y2"))
     return pages.items_under(rectangles, _items(spark, d)).select("page", "idx")
+
+
+# --- the store -----------------------------------------------------------------------------------
+
+
+@query("""SELECT 'points' AS name, CAST(c_custkey AS VARCHAR) AS id, count(*) AS n FROM customer WHERE c_custkey % 7 <> 0 GROUP BY ALL
+UNION ALL SELECT 'attempts', CAST(user_id AS VARCHAR), count(*) FROM events WHERE NOT (user_id % 7 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)) GROUP BY ALL""")
+def cascading_delete(spark, d):
+    """Every seventh point goes, and its attempts with it."""
+    points = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"))
+    tries = table(spark, d, "events").select(F.col("user_id").cast("string").alias("pointId"))
+    left = store.delete_points({"points": points, "attempts": tries}, points.where("cast(id as bigint) % 7 = 0"))
+    named = [left[name].select(F.lit(name).alias("name"), F.col(key).alias("id")) for name, key in (("points", "id"), ("attempts", "pointId"))]
+    return named[0].unionByName(named[1]).groupBy("name", "id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0 OR EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)""")
+def delete_keeps_history(spark, d):
+    """Every fifth learning item goes; points that were tried stay."""
+    customer = table(spark, d, "customer")
+    point = F.concat(F.lit(T.ITEM_POINT), F.col("c_custkey").cast("string"))
+    tries = table(spark, d, "events").select(F.concat(F.lit(T.ITEM_POINT), F.col("user_id").cast("string")).alias("pointId"))
+    items = customer.select(F.col("c_custkey").cast("string").alias("id"))
+    tables = {"items": items, "points": customer.select(point.alias("id")), "records": customer.select(point.alias("pointId")), "attempts": tries}
+    left = store.remove_items(tables, items.where("cast(id as bigint) % 5 = 0"))["points"]
+    return left.select(F.substring("id", len(T.ITEM_POINT) + 1, 20).cast("bigint").alias("id"))
+
+
+def _sessions(spark, d):
+    """A session for each event: up to four questions, a place that may lie outside, results that may be too few."""
+    e = table(spark, d, "events")
+    k = F.col("event_id")
+    asked = F.transform(F.when(k % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(1).cast("bigint"), k % 5)), lambda q: F.struct(q.cast("string").alias("id"), (q % 3).cast("string").alias("pointId")))
+    results = F.when(k % 4 == 0, F.array().cast("array<boolean>")).otherwise(F.transform(F.sequence(F.lit(1).cast("bigint"), k % 4), lambda q: q % 2 == 1))
+    session = F.struct(
+        asked.alias("questions"), (k % 6 - 1).cast("int").alias("questionIndex"), F.lit("typed").alias("answer"), (k % 2 == 0).alias("checked"), (k % 3 == 0).alias("lastCorrect"),
+        F.struct(F.when(k % 8 < 4, "needs-confirmation").otherwise("correct").alias("verdict")).alias("pendingGrade"), F.when(k % 3 == 1, "today").otherwise("other").alias("quizMode"), results.alias("sessionResults"),
+    )
+    return e.select("event_id", session.alias("session"))
+
+
+_SESSION = """
+s AS (SELECT event_id, event_id % 5 AS n, CASE WHEN event_id % 6 - 1 BETWEEN 0 AND event_id % 5 - 1 THEN event_id % 6 - 1 ELSE 0 END AS place, event_id % 2 = 0 AS checked, event_id % 2 = 0 AND event_id % 8 < 4 AS waits, event_id % 4 AS results FROM events),
+t AS (SELECT *, place + (checked AND NOT waits)::INT AS done FROM s),
+u AS (SELECT *, done = 0 OR results >= done AS goes_on FROM t WHERE n > 0)"""
+
+
+@query(f"""WITH {_SESSION} SELECT event_id, CASE WHEN goes_on THEN place ELSE 0 END AS place, CASE WHEN goes_on THEN 'typed' ELSE '' END AS answer, goes_on AND checked AS checked, CASE WHEN goes_on THEN event_id % 3 = 0 END AS last_correct,
+goes_on AND waits AS waits, CASE WHEN event_id % 3 = 1 THEN 'today' ELSE 'study' END AS mode, CASE WHEN goes_on AND results >= done THEN done ELSE 0 END AS results FROM u""")
+def session_resume(spark, d):
+    found = _sessions(spark, d).select("event_id", store.resume_session(F.col("session")).alias("r")).where("r is not null")
+    return found.select(
+        "event_id", F.col("r.questionIndex").cast("bigint").alias("place"), "r.answer", "r.checked", F.col("r.lastCorrect").alias("last_correct"), F.col("r.pendingGrade").isNotNull().alias("waits"), F.col("r.quizMode").alias("mode"), F.size("r.sessionResults").cast("bigint").alias("results")
+    )
+
+
+@query("""WITH s AS (SELECT event_id, event_id % 5 AS n, event_id % 6 - 1 AS place, event_id % 4 AS results FROM events),
+g AS (SELECT *, (n >= 1)::INT + (n >= 4)::INT AS gone, (n >= 1 AND 0 < place)::INT + (n >= 4 AND 3 < place)::INT AS before FROM s)
+SELECT event_id, n - gone AS n, CASE WHEN gone = 0 THEN place WHEN before > 0 THEN greatest(0, place - before) ELSE least(place, n - gone) END AS place,
+       results - CASE WHEN gone = 0 THEN 0 ELSE (n >= 1 AND results >= 1)::INT + (n >= 4 AND results >= 4)::INT END AS results FROM g""")
+def session_after_delete(spark, d):
+    """Point 1, of the first and the fourth question, is deleted."""
+    left = _sessions(spark, d).select("event_id", store.session_without(F.col("session"), F.lit("1")).alias("s"))
+    return left.select("event_id", F.size("s.questions").cast("bigint").alias("n"), F.col("s.questionIndex").cast("bigint").alias("place"), F.size("s.sessionResults").cast("bigint").alias("results"))
+
+
+@query(f"""SELECT o_orderkey, greatest({X.MIN_RASTER_SCALE}::DOUBLE, least({X.MAX_RASTER_SCALE}::DOUBLE, sqrt({X.MAX_RASTER_PIXELS}.0::DOUBLE / greatest(1.0::DOUBLE, CAST(o_custkey * 9 AS DOUBLE) * (o_orderkey % 9000))))) AS scale FROM orders""")
+def raster_scale(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", pages.raster_scale(F.col("o_custkey") * 9, F.col("o_orderkey") % 9000).alias("scale"))
+
+
+@query(f"""SELECT p_partkey, length({S.key('p_name')}) < {X.OCR_PAGE_CHARS} AND p_size % 3 <> 0 AS whole FROM part WHERE (p_partkey % 40) / 1000000.0::DOUBLE >= {X.RASTER_MIN_RED}::DOUBLE""")
+def pages_to_read(spark, d):
+    p = table(spark, d, "part")
+    rows = p.select("p_partkey", ((F.col("p_partkey") % 40) / F.lit(1_000_000.0)).alias("red_ratio"), F.col("p_name").alias("text"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).otherwise(" - ").alias("red_text"))
+    return pages.pages_to_read(rows).select("p_partkey", "whole")
+
+
+@query(f"""SELECT l_orderkey AS doc_id, count(DISTINCT l_linenumber * 100 + l_suppkey % 100) AS pages, CASE WHEN count(DISTINCT l_linenumber * 100 + l_suppkey % 100) > {X.MAX_PAGES} THEN 'too many pages' END AS problem FROM lineitem GROUP BY ALL
+UNION ALL SELECT -1, count(DISTINCT l_orderkey), CASE WHEN count(DISTINCT l_orderkey) > {X.MAX_PAGES} THEN 'too many pages' END FROM lineitem""")
+def page_limits(spark, d):
+    """Orders are documents; all orders together are one of many pages."""
+    li = table(spark, d, "lineitem")
+    own = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") * 100 + F.col("l_suppkey") % 100).alias("page"))
+    return pages.within_limits(own.unionByName(li.select(F.lit(-1).cast("bigint").alias("doc_id"), F.col("l_orderkey").alias("page"))))
+
+
+@query()
+def demo_points(spark, d):
+    return store.demo_points(spark, NOW_MS)

@@ -27,15 +27,19 @@ _FILE = ("file_id", "now_ms", "tz_offset_min", "source_hint", "origin_label")
 ITEM = ("id", "source", "occurredAt", "title", "kind", "stem", "choices", "answer", "explanation", "knowledgePoint", "originLabel")
 
 
-def read_folder(spark: SparkSession, path: str, now_ms: int, tz_offset_min: int = 0) -> DataFrame:
-    """Text files below a folder, with the source that their names tell."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= X.MAX_IMPORT_BYTES)
-    name = F.element_at(F.split("path", "/"), -1)
-    return with_options(files.select(name.alias("file_name"), F.col("content").cast("string").alias("body")), now_ms, tz_offset_min)
+def read_folder(spark: SparkSession, path: str, now_ms: int, tz_offset_min: int = 0, pattern: str = "*") -> DataFrame:
+    """Text files below a folder, with the source that their names tell.
+
+    A file beyond the limit has no body but a ``problem``; ``pattern`` chooses by name.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    name, fits = F.element_at(F.split("path", "/"), -1), F.col("length") <= X.MAX_IMPORT_BYTES
+    rows = files.select(name.alias("file_name"), F.when(fits, F.col("content").cast("string")).alias("body"), F.when(~fits, F.lit("larger than the limit")).alias("problem"))
+    return with_options(rows, now_ms, tz_offset_min, more=("problem",))
 
 
-def with_options(files: DataFrame, now_ms: int, tz_offset_min: int = 0, source: str = "manual") -> DataFrame:
-    return files.select("file_name", "body", F.lit(now_ms).cast("bigint").alias("now_ms"), F.lit(tz_offset_min).alias("tz_offset_min"), T.infer_source(F.col("file_name"), source).alias("source_hint"), F.col("file_name").alias("origin_label"))
+def with_options(files: DataFrame, now_ms: int, tz_offset_min: int = 0, source: str = "manual", more: tuple = ()) -> DataFrame:
+    return files.select("file_name", "body", *more, F.lit(now_ms).cast("bigint").alias("now_ms"), F.lit(tz_offset_min).alias("tz_offset_min"), T.infer_source(F.col("file_name"), source).alias("source_hint"), F.col("file_name").alias("origin_label"))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -134,7 +138,23 @@ def conversation_pairs(files: DataFrame) -> DataFrame:
 
 def log_pairs(files: DataFrame) -> DataFrame:
     """Pairs of session logs; a log of a subagent is left out whole."""
-    rows = files.where("format = 'log'").select(*_FILE, F.posexplode(F.split("body", "\n")).alias("idx", "line")).select(*_FILE, "idx", "line", F.from_json("line", LOG_ROW).alias("r"))
+    rows = files.where("format = 'log'").select(*_FILE, F.posexplode(F.split("body", "\n")).alias("idx", "line"))
+    return log_line_pairs(rows.withColumn("idx", F.col("idx").cast("bigint")))
+
+
+def read_log_lines(spark: SparkSession, path: str, now_ms: int, tz_offset_min: int = 0, source: str = "codex") -> DataFrame:
+    """Lines of session logs (``*.jsonl``) below a folder, read line by line whatever the
+    size of a file. ``idx`` rises within a file: its blocks are read in order of row ids."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").text(path)
+    at = F.row_number().over(Window.partitionBy("file_id").orderBy("_block", "_row")).cast("bigint")
+    lines = lines.select(F.xxhash64("_metadata.file_path").alias("file_id"), F.col("_metadata.file_name").alias("origin_label"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), F.col("value").alias("line"))
+    options = {"now_ms": F.lit(now_ms).cast("bigint"), "tz_offset_min": F.lit(tz_offset_min), "source_hint": F.lit(source)}
+    return lines.withColumns(options).withColumn("idx", at).select(*_FILE, "idx", "line")
+
+
+def log_line_pairs(lines: DataFrame) -> DataFrame:
+    """The same of single lines (file columns, idx, line); lines that aren't JSON are passed over."""
+    rows = lines.select(*_FILE, "idx", F.from_json("line", LOG_ROW).alias("r"))
     agents = rows.where("r.type = 'session_meta'").groupBy("file_id").agg(F.min_by("r", "idx").alias("m")).where(F.coalesce(F.get_json_object("m.payload.source", "$.subagent"), F.lit("")) != "")
     said = T.clean(F.array_join(F.filter(F.transform("r.payload.content", lambda p: T.clean(p["text"])), lambda p: p != ""), "\n"))
     talk = rows.join(agents.select("file_id"), "file_id", "left_anti").where("r.type = 'response_item' and r.payload.type = 'message'")
@@ -265,6 +285,23 @@ def parse(files: DataFrame, today_only: bool = True) -> DataFrame:
     return finalize(items_from_pairs(pairs).unionByName(items_from_objects(sniffed)), today_only).select("file_id", *ITEM)
 
 
+def parse_archives(archives: DataFrame, now_ms: int, tz_offset_min: int = 0, source: str = "manual", today_only: bool = True) -> DataFrame:
+    """Learning items of archives (file_name, content): archive and the items' columns.
+
+    Every entry is parsed for itself and labelled with its archive; an item that several
+    entries hold is taken from the first.
+    """
+    entries = read_archives(archives).where("body is not null")
+    label = F.concat_ws(" / ", "file_name", "entry")
+    files = entries.select(
+        label.alias("file_name"), "body", F.lit(now_ms).cast("bigint").alias("now_ms"), F.lit(tz_offset_min).alias("tz_offset_min"), T.infer_source(F.col("entry"), source).alias("source_hint"), label.alias("origin_label"), F.col("file_name").alias("archive"), "ord"
+    )
+    places = files.select(F.xxhash64("file_name", T.clean(F.col("body"))).alias("file_id"), "archive", F.col("ord").alias("_entry")).distinct()
+    items = parse(files.drop("archive", "ord"), today_only).join(places, "file_id")
+    keyed = items.withColumn("_key", item_identity(F.col("source"), F.col("stem"), F.col("answer")))
+    return first_wins(keyed, ["archive", "_key"], ["_entry", "occurredAt", "id"]).select("archive", *ITEM)
+
+
 def counts(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """Rows read, kept and skipped of each file; skipped is never negative."""
     a = candidates.groupBy("file_id").agg(F.count("*").alias("n_read"))

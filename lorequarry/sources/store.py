@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
 from ..functions import taxonomy as C
 from ..functions import text as T
 
@@ -71,6 +72,79 @@ def edit_point(points: DataFrame, point_id: str, text: str, question: str | None
     return points.where(~hit).unionByName(changed, allowMissingColumns=True)
 
 
+def delete_points(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the points of ``gone`` (id) and what hangs on them: records,
+    attempts, and questions where there are any."""
+    ids = gone.select("id").distinct()
+    own = {"points": "id", "records": "pointId", "attempts": "pointId", "questions": "pointId"}
+    return {name: table.join(ids.withColumnRenamed("id", own[name]), own[name], "left_anti") if name in own else table for name, table in tables.items()}
+
+
+def remove_items(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the learning items of ``gone`` (id); their points and records go
+    too, unless there are attempts, whose history stays."""
+    ids = gone.select("id").distinct()
+    points = ids.select(F.concat(F.lit(T.ITEM_POINT), "id").alias("id"))
+    untried = points.join(tables["attempts"].select(F.col("pointId").alias("id")), "id", "left_anti")
+    return tables | {
+        "items": tables["items"].join(ids, "id", "left_anti"),
+        "points": tables["points"].join(untried, "id", "left_anti"),
+        "records": tables["records"].join(untried.withColumnRenamed("id", "pointId"), "pointId", "left_anti"),
+    }
+
+
+def resume_session(session: Column) -> Column:
+    """A stored session (questions, questionIndex, answer, checked, lastCorrect, pendingGrade,
+    quizMode, sessionResults) as it can be taken up again; null without questions.
+
+    It goes on where it stood if there is a result for every question done; otherwise it
+    starts anew. A grade that waits for the user only counts on a checked answer.
+    """
+    s, no = session, F.lit(False)
+    n = F.size(F.coalesce(s["questions"], F.array()))
+    asked = F.coalesce(s["questionIndex"], F.lit(0))
+    index = F.when((asked >= 0) & (asked < n), asked).otherwise(0)
+    checked = F.coalesce(s["checked"], no)
+    pending = F.when(checked & (s["pendingGrade"]["verdict"] == "needs-confirmation"), s["pendingGrade"])
+    done = index + F.when(checked & pending.isNull(), 1).otherwise(0)
+    results = F.array_compact(F.coalesce(s["sessionResults"], F.array().cast("array<boolean>")))
+    kept = F.when(F.size(results) >= done, F.slice(results, F.lit(1), done)).otherwise(F.array().cast("array<boolean>"))
+    goes_on = (done == 0) | (F.size(kept) == done)
+    fields = F.struct(
+        s["questions"].alias("questions"),
+        F.when(goes_on, index).otherwise(0).alias("questionIndex"),
+        F.when(goes_on, F.coalesce(s["answer"], F.lit(""))).otherwise("").alias("answer"),
+        (goes_on & checked).alias("checked"),
+        F.when(goes_on, s["lastCorrect"]).alias("lastCorrect"),
+        F.when(goes_on, pending).alias("pendingGrade"),
+        F.when(s["quizMode"] == "today", "today").otherwise("study").alias("quizMode"),
+        F.when(goes_on, kept).otherwise(F.array().cast("array<boolean>")).alias("sessionResults"),
+    )
+    return F.when(n > 0, fields)
+
+
+def session_without(session: Column, point_id: Column) -> Column:
+    """A session (questions, questionIndex, sessionResults) without a point's questions and
+    their results; the place moves by those that were before it."""
+    place = F.sequence(F.lit(0), F.size(session["questions"]) - 1)
+    gone = F.when(F.size(session["questions"]) > 0, F.filter(place, lambda k: F.get(session["questions"], k)["pointId"] == point_id)).otherwise(F.array().cast("array<int>"))
+    left = F.filter(session["questions"], lambda q: ~F.coalesce(q["pointId"] == point_id, F.lit(False)))
+    before = F.size(F.filter(gone, lambda k: k < session["questionIndex"]))
+    moved = F.when(before > 0, F.greatest(F.lit(0), session["questionIndex"] - before)).otherwise(F.least(session["questionIndex"], F.size(left)))
+    results = F.filter(session["sessionResults"], lambda _, k: ~F.array_contains(gone, k))
+    touched = F.size(gone) > 0
+    return F.struct(left.alias("questions"), F.when(touched, moved).otherwise(session["questionIndex"]).alias("questionIndex"), F.when(touched, results).otherwise(session["sessionResults"]).alias("sessionResults"))
+
+
+def demo_points(spark: SparkSession, created_at: int) -> DataFrame:
+    """The built-in points, classified; their ids follow from their texts."""
+    rows = [(f"demo-{k}", text, context, X.DEMO_SOURCE, place, X.DEMO_METHOD, created_at) for k, (text, context, place) in enumerate(X.DEMO_POINTS)]
+    points = C.classify(spark.createDataFrame(rows, "id string, text string, context string, sourceName string, location string, method string, createdAt bigint"))
+    points = points.withColumn("id", T.make_id(F.col("sourceName"), F.col("text")))
+    label = {"subject": "subject", "knowledgeCategory": "category", "classificationConfidence": "confidence"}
+    return points.withColumns({k: F.col(f"classification.{v}") for k, v in label.items()} | {"classificationVersion": F.lit(C.VERSION), "classificationSource": F.lit("auto")}).drop("classification")
+
+
 def filter_subjects(points: DataFrame, subject: str = "all", category: str = "all") -> DataFrame:
     """Points of a subject and category; a choice that no point has any more counts as ``all``."""
     if subject != "all" and not points.where(F.col("subject") == subject).head(1):

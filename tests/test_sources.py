@@ -135,3 +135,51 @@ def test_items_become_points(spark):
     table = history.with_options(spark.createDataFrame([("a.json", json.dumps([{"occurredAt": NOW, "stem": "CPU 是什么", "answer": "中央处理器"}]))], "file_name string, body string"), NOW)
     point = history.to_points(taxonomy.classify(history.parse(table))).first()
     assert point["subject"] == "计算机基础" and point["answerParts"] == ["中央处理器"] and point["location"] == "01/01 10:00"
+
+
+def test_archive_items_are_taken_once(spark):
+    from lorequarry.sources import history
+
+    now, minute = 1_700_000_000_000, 60_000
+    item = lambda k, at, answer="yes it is so": {"source": "chatgpt", "occurredAt": at, "question": f"question {k}", "answer": answer, "explanation": "because of that"}
+    entries = {"b.jsonl": [item(1, now), item(2, now)], "conversations.json": [item(1, now - minute)], "c.txt": [item(2, now), item(3, now)], "ignored.bin": [item(4, now)]}
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, rows in entries.items():
+            z.writestr(name, json.dumps({"items": rows}))
+    archives = spark.createDataFrame([("a.zip", raw.getvalue())], "file_name string, content binary")
+    got = history.parse_archives(archives, now).collect()
+    assert sorted((r["stem"], r["occurredAt"], r["originLabel"]) for r in got) == [("question 1", now - minute, "a.zip / conversations.json"), ("question 2", now, "a.zip / b.jsonl"), ("question 3", now, "a.zip / c.txt")]
+
+
+def test_log_files_are_read_line_by_line(spark, tmp_path):
+    from lorequarry.sources import history
+
+    def row(role, text, at):
+        return json.dumps({"timestamp": at, "type": "response_item", "payload": {"type": "message", "role": role, "content": [{"type": "input_text", "text": text}]}})
+
+    (tmp_path / "deep").mkdir()
+    lines = [row("user", "what is it", "2024-01-01T10:00:00Z"), "not json", row("assistant", "it is that", "2024-01-01T10:00:05Z")]
+    (tmp_path / "deep" / "x.JSONL").write_text("\n".join(lines))
+    (tmp_path / "y.jsonl").write_text("\n".join([json.dumps({"type": "session_meta", "payload": {"source": {"subagent": "a"}}}), *lines]))
+    (tmp_path / "z.txt").write_text("\n".join(lines))
+    got = history.log_line_pairs(history.read_log_lines(spark, str(tmp_path), 0)).collect()
+    assert [(r["prompt"], r["response"], r["origin_label"]) for r in got] == [("what is it", "it is that", "x.JSONL")]
+
+
+def test_large_files_are_reported(spark, tmp_path, monkeypatch):
+    from lorequarry.functions import fixed
+    from lorequarry.sources import history
+
+    monkeypatch.setattr(fixed, "MAX_IMPORT_BYTES", 5)
+    (tmp_path / "a.md").write_text("abc")
+    (tmp_path / "b.md").write_text("too long for this")
+    got = {r["file_name"]: (r["body"], r["problem"]) for r in history.read_folder(spark, str(tmp_path), 0).collect()}
+    assert got == {"a.md": ("abc", None), "b.md": (None, "larger than the limit")}
+
+
+def test_demo_points(spark):
+    from lorequarry.sources import store
+
+    got = store.demo_points(spark, 5).collect()
+    assert len({r["id"] for r in got}) == 6 and all(len(r["id"]) == 36 and r["subject"] and r["createdAt"] == 5 for r in got)
