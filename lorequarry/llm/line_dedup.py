@@ -49,6 +49,8 @@ BANDS, BAND_ROWS = 26, 7
 BANDS_AT_ONCE = 13
 SKETCH_BITS, LEAST_AGREEMENT = 88, 68
 BLOCK = 4096
+#: Members up to which all pairs of a bucket are compared by their sketches at once.
+SMALL = 16
 #: Characters whose shingles are hashed at once: few enough for a core's cache.
 CHUNK = 1 << 16
 ENTRIES_PER_TASK = 1_000_000
@@ -253,10 +255,20 @@ def _bucket_batches(batches, percent):
     held = held[np.concatenate([[True], (held["bucket"][1:] != held["bucket"][:-1]) | (held["line"][1:] != held["line"][:-1])])]
     edge = np.flatnonzero(np.concatenate([[True], held["bucket"][1:] != held["bucket"][:-1], [True]]))
     begin, n = edge[:-1], np.diff(edge)
-    two = begin[n == 2]
-    two = two[close(held[two], held[two + 1], percent)]
-    pairs, members = [np.stack([held["line"][two], held["line"][two + 1]]).view(np.int64)], []
-    for b, k in zip(begin[n > 2], n[n > 2]):
+    # in small buckets all pairs of places are compared, a distance at a time
+    small = np.repeat(n <= SMALL, n)
+    end, bucket = np.repeat(begin + n, n), np.repeat(np.arange(len(n)), n)
+    near: list[np.ndarray] = []
+    for apart in range(1, SMALL):
+        at = np.flatnonzero(small & (np.arange(len(held)) + apart < end))
+        if not len(at):
+            break
+        near.append(at[close(held[at], held[at + apart], percent)][:, None] + [0, apart])
+    near = np.concatenate(near) if near else np.zeros((0, 2), np.int64)
+    met = bucket[near[:, 0]]
+    alone = np.bincount(met, minlength=len(n))[met] == 1
+    pairs, members = [held["line"][near[alone]].T.view(np.int64)], [held[np.unique(near[~alone])]]
+    for b, k in zip(begin[n > SMALL], n[n > SMALL]):
         own = held[b : b + k]
         found = grow(k, np.arange(k), lambda j, others: close(own[j], own[others], percent))
         if len(found) == 1:
@@ -264,7 +276,7 @@ def _bucket_batches(batches, percent):
         elif found:  # a tree has every member that is close to any
             members.append(own[np.unique(np.array(found))])
     a, b = np.concatenate(pairs, axis=1)
-    own = np.concatenate(members) if members else held[:0]
+    own = np.concatenate(members)
     name = own["bucket"].astype(np.int64) | np.int64(task) << np.int64(32)
     sketches = np.ascontiguousarray(own[["s0", "s1"]].astype([("s0", "<u8"), ("s1", "<u4")])).view("S12").tolist()
     none = lambda k: pa.nulls(k, pa.int64())
