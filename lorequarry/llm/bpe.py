@@ -3,7 +3,7 @@
 Encoding reads bytes from left to right. For every prefix of a piece the last token of
 that prefix's encoding is unique: it is the token t ending there for which the last
 token s of what precedes it forms a stable pair with t (encoding s + t gives s, t).
-So one token number per position is enough.
+So a chain of stable pairs from the start to the end of what was read is its encoding.
 
 Text to come can change the encoding of what was read only by a chain of merges, each
 taking the token left of the last change: a merge (y, t) after a merge (z, ..) where t
@@ -45,6 +45,7 @@ _PIECES = regex.compile(PATTERN)
 _BREAK = regex.compile(rf"(?<=[^{_WS}]) (?=[^{_WS}])")
 _ODD = regex.compile(rf"[{_WS}][ ]|[ ][{_WS}]|^ | $")
 CHUNK = 1 << 16
+END = 256
 #: Longer pieces and their results aren't kept.
 LONG_PIECE = 1 << 12
 CACHE_ENTRIES = 350_000
@@ -83,8 +84,13 @@ class MergeList:
             self.pair_ranks[left << 20 | right] = rank
             if made not in self.parts:
                 self.parts[made], self.rank_of[made] = (left, right), rank
-        #: Every token and every beginning of one: its number, or -1.
-        self.trie = {k[:n]: -1 for k in self.ids for n in range(1, len(k))} | self.ids
+        #: Nodes by byte, and under END the number of the token that ends there.
+        self.trie: dict = {}
+        for token, number in self.ids.items():
+            node = self.trie
+            for byte in token:
+                node = node.setdefault(byte, {})
+            node[END] = number
         #: No token is longer, so a later token starts within so many bytes of the end read.
         self.max_token = max(map(len, self.ids))
         self.lookahead = self.lookahead_bound()
@@ -178,64 +184,88 @@ class Transducer:
     def __init__(self, merges: MergeList):
         self.m = merges
         self.data = b""  # bytes after the last emission
-        self.last = [-1]  # last[i]: last token of the encoding of the first i bytes of the window
-        self.done = 0  # tokens that start at these positions have been looked for
         self.before = -1  # token emitted last
         self.peak = 0
 
     def feed(self, chunk: bytes) -> Iterator[int]:
         m = self.m
+        window = m.lookahead + m.max_token
         for start in range(0, len(chunk), m.max_token):
-            self._read(chunk[start : start + m.max_token])
-            if len(self.data) > m.lookahead + m.max_token:
+            self.data += chunk[start : start + m.max_token]
+            self.peak = max(self.peak, len(self.data))
+            while len(self.data) > window:
                 yield from self._settled()
 
-    def _read(self, part: bytes) -> None:
-        """Find the last token of every new prefix, from the tokens that start before it."""
-        m, last = self.m, self.last
-        old = len(self.data)
-        self.data += part
-        data, size = self.data, old + len(part)
-        last += [-1] * len(part)
-        self.peak = max(self.peak, size)
-        trie, known = m.trie.get, m.stable_pairs.get
-        for begin in range(max(0, old - m.max_token + 1), size):
-            left = last[begin] if begin else self.before
-            for end in range(begin + 1, min(size, begin + m.max_token) + 1):
-                token = trie(data[begin:end])
-                if token is None:
-                    break
-                if token < 0 or end <= old or last[end] >= 0:
-                    continue
-                if left < 0:
-                    if m.alone(token):
-                        last[end] = token
-                    continue
-                good = known(left << 20 | token)
-                if good or good is None and m.stable(left, token):
-                    last[end] = token
-
-    def _path(self, end: int) -> list[int]:
-        ends = []
-        while end:
-            ends.append(end)
-            end -= len(self.m.bytes_of[self.last[end]])
-        return ends[::-1]
-
     def _settled(self) -> Iterator[int]:
         """Emit the tokens that lie further back than the lookahead."""
-        settled = [e for e in self._path(len(self.data)) if e <= len(self.data) - self.m.lookahead]
-        if settled:
-            tokens, cut = [self.last[e] for e in settled], settled[-1]
-            yield from tokens
-            self.before = tokens[-1]
-            self.data = self.data[cut:]
-            self.last = [-1, *self.last[cut + 1 :]]
+        cut = 0
+        for token in self._path(self.data):
+            end = cut + len(self.m.bytes_of[token])
+            if end > len(self.data) - self.m.lookahead:
+                break
+            yield token
+            self.before, cut = token, end
+        self.data = self.data[cut:]
 
     def finish(self) -> Iterator[int]:
-        for end in self._path(len(self.data)):
-            yield self.last[end]
-        self.data, self.last, self.before = b"", [-1], -1
+        yield from self._path(self.data)
+        self.data, self.before = b"", -1
+
+    def whole(self, data: bytes) -> list[int]:
+        """A piece that is all there; one within the window needs no emission before its end."""
+        if len(data) > self.m.lookahead + self.m.max_token:
+            return [*self.feed(data), *self.finish()]
+        return self._path(data)
+
+    def _path(self, data: bytes) -> list[int]:
+        """The encoding of bytes after the token emitted last.
+
+        From the left, the longest token that forms a stable pair with the one before it
+        is tried first. As the last token of every prefix is unique, a place from which
+        the end can't be reached is left for good.
+        """
+        m, size = self.m, len(data)
+        trie, known = m.trie, m.stable_pairs.get
+        tokens: list[int] = []
+        open_: list[list[int]] = []  # what else could start at the places passed: ends and tokens, longest last
+        ends: list[int] = []
+        dead = bytearray(size + 1)
+        at, left = 0, self.before
+        while at < size:
+            if len(open_) == len(tokens):  # a new place
+                found, node = [], trie
+                for k in range(at, size):
+                    node = node.get(data[k])
+                    if node is None:
+                        break
+                    if END in node:
+                        found += (k + 1, node[END])
+                open_.append(found)
+            found = open_[-1]
+            while found:
+                token, end = found.pop(), found.pop()
+                if dead[end]:
+                    continue
+                if left < 0:
+                    good = m.alone(token)
+                else:
+                    good = known(left << 20 | token)
+                    if good is None:
+                        good = m.stable(left, token)
+                if good:
+                    tokens.append(token)
+                    ends.append(end)
+                    at, left = end, token
+                    break
+            else:
+                if not tokens:
+                    raise ValueError("a byte is missing from the vocabulary")
+                dead[at] = 1
+                open_.pop()
+                tokens.pop()
+                ends.pop()
+                at, left = (ends[-1], tokens[-1]) if tokens else (0, self.before)
+        return tokens
 
 
 def pack(ids: list[int]) -> bytes:
@@ -247,6 +277,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.m = MergeList(path)
+        self.transducer = Transducer(self.m)
         self.units: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
@@ -258,9 +289,7 @@ class Encoder:
             return found
         found = self.old_pieces.get(piece)
         if found is None:
-            t = Transducer(self.m)
-            data = piece.encode("utf-8")
-            found = pack([*t.feed(data), *t.finish()])
+            found = pack(self.transducer.whole(piece.encode("utf-8")))
         if len(piece) <= 64:
             if len(self.pieces) >= CACHE_ENTRIES:
                 self.old_pieces, self.pieces = self.pieces, {}
