@@ -278,24 +278,19 @@ class WordCache:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Identifiers of words that aren't known yet."""
-        pieces, cut, new, odd = self.pieces, [], {}, []
-        for w in words:
-            core = w.rstrip(".,")
-            if len(core) <= 64 and core.isalpha() and (core.isascii() or core.lower().isalpha() and unicodedata.is_normalized("NFC", core)):
-                tail = w[len(core) :]
-                core = core.lower() if core.isascii() else core
-                for p in (core, tail):
-                    if p and p not in pieces:
-                        new[p] = None
-                cut.append((w, core, tail))
-            else:
-                odd.append(w)
+        pieces = self.pieces
+        cores = [w.rstrip(".,") for w in words]
+        plain = [len(c) <= 64 and c.isalpha() and (c.isascii() or c.lower().isalpha() and unicodedata.is_normalized("NFC", c)) for c in cores]
+        odd = [w for w, p in zip(words, plain) if not p]
+        cut = [(w, c.lower() if c.isascii() else c, w[len(c) :]) for w, c, p in zip(words, cores, plain) if p]
+        both = {c for _, c, _ in cut} | {t for _, _, t in cut if t}
+        new = [p for p in both if p not in pieces]
         if len(pieces) + len(new) > PIECE_ENTRIES:
-            held = {p: pieces[p] for _, *both in cut for p in both if p in pieces}
+            held = {p: pieces[p] for p in both if p in pieces}
             pieces.clear()
             pieces.update(held)
         if new:
-            order, ids = list(new), self._library(" ".join(new))
+            order, ids = new, self._library(" ".join(new))
             stops = [k + 1 for k, i in enumerate(ids) if i in self.ends]
             if len(stops) == len(order) and stops[-1] == len(ids):
                 raw, begin = struct.pack(f"<{len(ids)}I", *ids), 0
