@@ -33,6 +33,7 @@ FRAGMENT_WHOLE_LINE_SHARE = 0.55
 MINUTE_MS, HOUR_MS, DAY_MS = 60_000, 3_600_000, 86_400_000
 REVIEW_INTERVALS_MS = (10 * MINUTE_MS, DAY_MS, 2 * DAY_MS, 4 * DAY_MS, 7 * DAY_MS, 15 * DAY_MS, 30 * DAY_MS)
 RECENT_ATTEMPTS = 500
+DUE = ("现在", " 分钟后", " 小时后", " 天后")
 
 # --- fixed values: meaning of answers ------------------------------------------------
 MEANING_REWRITES = (

@@ -42,12 +42,19 @@ def clean(column: Column) -> Column:
     return trim(sub(sub(lines, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
+def _members(class_: str) -> str:
+    """The characters of a class that ends in white space, for ``translate``."""
+    listed = class_[1 : -len(X.WS[1:])].replace("\\", "")
+    return listed + "\t\n\x0b\f\r " + "".join(chr(c) for a, b in X.WS_POINTS for c in range(a, b + 1))
+
+
 def key(column: Column) -> Column:
-    return F.lower(sub(tidy(column), X.KEY_PUNCTUATION))
+    """Lower case without punctuation and white space; as that goes anyway, it need not be tidied."""
+    return F.lower(F.translate(column, _members(X.KEY_PUNCTUATION), ""))
 
 
 def structure_key(column: Column) -> Column:
-    return F.lower(sub(tidy(column), X.STRUCTURE_PUNCTUATION))
+    return F.lower(F.translate(column, _members(X.STRUCTURE_PUNCTUATION), ""))
 
 
 def answer(column: Column) -> Column:
@@ -157,8 +164,9 @@ def zone_day(ms: Column, zone: str = "Asia/Shanghai") -> Column:
 def format_due(due_ms: Column, now_ms: Column) -> Column:
     minutes = F.ceil((due_ms - now_ms) / X.MINUTE_MS)
     hours = F.ceil(minutes / 60)
-    say = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}后"))
-    return F.when(due_ms <= now_ms, F.lit("现在")).when(minutes < 60, say(minutes, "分钟")).when(hours < 24, say(hours, "小时")).otherwise(say(F.ceil(hours / 24), "天"))
+    say = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
+    now, in_minutes, in_hours, in_days = X.DUE
+    return F.when(due_ms <= now_ms, F.lit(now)).when(minutes < 60, say(minutes, in_minutes)).when(hours < 24, say(hours, in_hours)).otherwise(say(F.ceil(hours / 24), in_days))
 
 
 def infer_source(name: Column, fallback: Column | str = "manual") -> Column:

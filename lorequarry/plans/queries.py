@@ -124,7 +124,7 @@ def same_day_filter(spark, d):
 
 
 @query(f"""
-SELECT event_id, CASE WHEN d <= 0 THEN '现在' WHEN m < 60 THEN m || ' 分钟后' WHEN h < 24 THEN h || ' 小时后' ELSE CAST(ceil(h / 24.0) AS BIGINT) || ' 天后' END AS due
+SELECT event_id, CASE WHEN d <= 0 THEN {S.lit(X.DUE[0])} WHEN m < 60 THEN m || {S.lit(X.DUE[1])} WHEN h < 24 THEN h || {S.lit(X.DUE[2])} ELSE CAST(ceil(h / 24.0) AS BIGINT) || {S.lit(X.DUE[3])} END AS due
 FROM (SELECT *, CAST(ceil(m / 60.0) AS BIGINT) AS h FROM (SELECT event_id, event_id * 370111 - 50000000 AS d, CAST(ceil((event_id * 370111 - 50000000) / {X.MINUTE_MS}.0) AS BIGINT) AS m FROM events))""")
 def format_due(spark, d):
     now = F.lit(NOW_MS)
@@ -363,7 +363,7 @@ def grade_single(spark, d):
     return folded.select("k", M.grade_single(F.col("s"), F.col("e"), F.lit(False)).alias("g")).select("k", "g.verdict", "g.similarity")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'correct' WHEN p_name = p_brand THEN 'correct' ELSE 'incorrect' END AS verdict, CASE WHEN p_partkey % 2 = 0 THEN '各空均与参考答案一致' ELSE '与参考答案的关键内容不一致' END AS reason FROM part")
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'correct' WHEN p_name = p_brand THEN 'correct' ELSE 'incorrect' END AS verdict, CASE WHEN p_partkey % 2 = 0 THEN {S.lit(X.REASONS['parts'])} ELSE {S.lit(X.REASONS['wrong'])} END AS reason FROM part")
 def grade_answer(spark, d):
     p = table(spark, d, "part")
     given = F.when(F.col("p_partkey") % 2 == 0, F.concat_ws("；", "p_name", "p_brand")).otherwise(F.concat_ws(";", "p_brand", "p_name"))
