@@ -149,7 +149,7 @@ def json_props_coalesce(spark, d):
     return table(spark, d, "events").select("event_id", T.first_present(F.try_parse_json("props"), ("key", "k")).alias("k"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, {S.knowledge_statement('text')} AS statement FROM conversations WHERE role = 'assistant'")
 def knowledge_statement(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.knowledge_statement(F.col("text")).alias("statement"))
 
@@ -397,7 +397,7 @@ def classify_category(spark, d):
     return C.classify(docs).select("doc_id", "classification.category")
 
 
-@query()
+@query(S.rules())
 def rules_dimension(spark, d):
     return C.rules_table(spark)
 
@@ -460,7 +460,15 @@ def seeded_shuffle(spark, d):
     return lists.select("seed", H.seeded_shuffle(F.col("v"), F.col("seed")).alias("shuffled"))
 
 
-@query()
+_EXAM = f"""{_RANKED},
+ba AS (SELECT 'document-choice-' || p_partkey || '-0' AS id, p_partkey, list_prepend(p_name, distractors) AS v FROM part JOIN di ON subject = p_type AND category = p_brand AND answer = p_name WHERE len(distractors) = 3),
+{S.shuffled('drawn', "SELECT 'seed' AS seed, list(id ORDER BY p_partkey) AS v FROM ba")},
+ex AS (SELECT unnest(range(20)) AS place, unnest(v[1:20]) AS id FROM drawn WHERE i = 1),
+{S.shuffled('first', 'SELECT id AS seed, v FROM ba JOIN ex USING (id)')},
+{S.shuffled('second', "SELECT 'seed-' || seed AS seed, v FROM first WHERE i = 1")}"""
+
+
+@query(f"WITH RECURSIVE {_EXAM} SELECT CAST(place AS BIGINT) AS place, id, v AS choices FROM ex JOIN second ON seed = 'seed-' || id WHERE i = 1")
 def exam_select(spark, d):
     p = table(spark, d, "part")
     pool = questions.answer_pool(_answers(spark, d))
@@ -468,7 +476,7 @@ def exam_select(spark, d):
         F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text"), F.array("p_name").alias("answerParts"), F.lit(None).cast("string").alias("question"), F.lit("").alias("context"), F.lit("").alias("explanation"),
         F.col("p_brand").alias("sourceName"), F.col("p_partkey").cast("string").alias("location"), F.col("p_type").alias("subject"), F.col("p_brand").alias("category"), F.col("p_partkey").alias("ord"),
     )
-    return questions.select_exam(questions.point_questions(asked, pool), 20, "seed").select("place", "id", "choices")
+    return questions.select_exam(questions.point_questions(asked, pool), 20, "seed").select(F.col("place").cast("bigint").alias("place"), "id", "choices")
 
 
 # --- document structure ------------------------------------------------------------------------

@@ -108,3 +108,29 @@ s AS (
 f AS (SELECT point_id, stage, nextReviewAt, attempts::BIGINT AS attempts, correct::BIGINT AS correct, wrong::BIGINT AS wrong, lastReviewedAt, lastCorrect
       FROM s QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY k DESC) = 1)
 """
+
+
+def shuffled(name: str, source: str) -> str:
+    """CTEs that shuffle the lists ``v`` of ``source`` (seed, v, ..): rows of ``name`` with i <= 1 hold the result."""
+    lcg = f"(state * {X.LCG_FACTOR} + {X.LCG_STEP}) & 4294967295"
+    fnv = f"list_reduce(list_prepend({X.FNV_START}::BIGINT, list_transform(string_split(seed, ''), lambda c: ord(c)::BIGINT)), lambda x, c: (xor(x, c) * {X.FNV_PRIME}) & 4294967295)"
+    return f"""{name} AS (SELECT seed, v, {fnv} AS state, len(v) AS i FROM ({source})
+  UNION ALL SELECT seed, list_transform(v, lambda x, k: CASE WHEN k = i THEN v[j + 1] WHEN k = j + 1 THEN v[i] ELSE x END), s, i - 1
+  FROM (SELECT seed, v, i, {lcg} AS s, ({lcg}) % i AS j FROM {name} WHERE i > 1))"""
+
+
+def knowledge_statement(column: str) -> str:
+    text = clean(column)
+    labelled = clean(f"regexp_extract({text}, {re2(X.KNOWLEDGE_LABEL)}, 1)")
+    low, high = X.STATEMENT_CHARS
+    size = f"length({sub('p', X.WS)})"
+    parts = f"list_transform(regexp_split_to_array({sub(text, X.ANSWER_LINE)}, '\\n{{2,}}'), lambda p: {trim(sub('p', '^#+' + X.WS + '*'))})"
+    fit = f"list_filter({parts}, lambda p: {size} >= {low} AND {size} <= {high} AND NOT contains(p, '```'))"
+    return f"CASE WHEN {labelled} <> '' THEN {labelled} ELSE coalesce({fit}[1], '') END"
+
+
+def rules() -> str:
+    """The classifier's rules as rows."""
+    rows = [f"('subject', {lit(s)}, NULL, {k + 1}, {lit(p)}, {float(w)}::DOUBLE, {lit(r)})" for s, own in C.SUBJECT_RULES.items() for k, (p, w, r) in enumerate(own)]
+    rows += [f"('category', {lit(s)}, {lit(c)}, {k + 1}, {lit(p)}, {float(w)}::DOUBLE, {lit(r)})" for s, own in C.CATEGORY_RULES.items() for k, (c, p, w, r) in enumerate(own)]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(level, subject, category, ord, pattern, weight, reason)"
