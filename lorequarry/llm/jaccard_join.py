@@ -28,6 +28,8 @@ set are held whole, a batch at a time.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -463,3 +465,28 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     repeated = keyed.join(_small(judged.where("stays").select("_key"), n), "_key")
     repeated = repeated.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").drop("_n")
     return common.unpacked(single.unionByName(repeated), names)
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingle AS (
+  SELECT DISTINCT r, w[s:s + {SHINGLE - 1}] AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - {SHINGLE - 1}, 1))) AS s FROM doc WHERE len(w) > 0)
+), counted AS (
+  SELECT r, count(*) AS n FROM shingle GROUP BY r
+), common AS (
+  SELECT a.r AS x, b.r AS y, count(*) AS n FROM shingle a JOIN shingle b ON a.g = b.g AND a.r < b.r GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN counted a ON a.r = x JOIN counted b ON b.r = y WHERE 100 * common.n >= {PERCENT} * (a.n + b.n - common.n)
+), edge AS (
+  SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (
+  SELECT r AS x, r AS y FROM counted UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x
+), least AS (
+  SELECT x AS r, min(doc_id) AS least FROM reach JOIN doc ON doc.r = y GROUP BY x
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE least END AS component_id
+FROM doc LEFT JOIN counted USING (r) LEFT JOIN least USING (r)
+"""

@@ -90,4 +90,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe, op4_sharding, op5_jaccard_join, op6_suffix_dedup, op7_token_store, op8_line_dedup, op9_decontamination, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": jaccard_join.ORACLE_SQL, "op6_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}

@@ -332,3 +332,29 @@ def remove_repeats(docs: DataFrame, *names: str, length: int = LENGTH, keep: str
     joined = keyed.select("_key", common.KEEP, "text").join(spans, "_key", "left").select(common.KEEP, "text", "spans")
     schema = common.schema_of(joined, [common.KEEP], "spans array<struct<b:int,e:int>>, kept binary")
     return common.unpacked(common.arrow_map(joined, f"{__name__}:_cut_batches", schema), names, "spans", "kept")
+
+
+#: With keep="none". Bytes are pairs of hexadecimal digits.
+ORACLE_SQL = f"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), place AS (
+  SELECT r, s, md5(substr(h, 2 * s + 1, {2 * LENGTH})) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS s FROM doc WHERE length(h) >= {2 * LENGTH})
+), twice AS (
+  SELECT r, s FROM place WHERE g IN (SELECT g FROM place GROUP BY g HAVING count(*) > 1)
+), marked AS (
+  SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + {LENGTH}, true)::INT AS fresh FROM twice
+), span AS (
+  SELECT r, min(s) AS b, max(s) + {LENGTH} AS e FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS k FROM marked) GROUP BY r, k
+), ended AS (
+  SELECT r, b, e FROM span UNION ALL SELECT r, length(h) // 2, NULL FROM doc
+), piece AS (
+  SELECT r, b, coalesce(max(e) OVER (PARTITION BY r ORDER BY b, e NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM ended
+), kept AS (
+  SELECT r, string_agg(substr(h, 2 * a + 1, 2 * greatest(b - a, 0)), '' ORDER BY b, a) AS k FROM piece JOIN doc USING (r) GROUP BY r
+), total AS (
+  SELECT r, sum(e - b) AS n, count(*) AS spans FROM span GROUP BY r
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM doc JOIN kept USING (r) LEFT JOIN total USING (r)
+"""
