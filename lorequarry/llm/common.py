@@ -19,8 +19,9 @@ from pyspark.sql.types import StructType
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows handled at once in Python: small, since one text may be very long.
 BATCH_ROWS = 512
-#: Bytes of an Arrow batch while scratch tables are written.
-_BATCH_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Bytes of an Arrow batch. Spark's default is 64 MB, which each task holds several times
+#: over; sessions that have it get this. A value that the caller has set stays.
+BATCH_BYTES, DEFAULT_BYTES, SMALL_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
 #: The caller's columns travel in one struct of this name, so that no name of theirs
 #: clashes with ours or has to be quoted.
 KEEP = "_keep"
@@ -76,8 +77,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_dir(self.spark, name)
-        with small_batches(self.spark):
-            df.write.parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out
@@ -101,18 +101,6 @@ class Scratch:
         self.paths.clear()
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession):
-    """Small Arrow batches while a scratch table is written, since texts may be long; the
-    caller's setting is put back."""
-    held = spark.conf.get(_BATCH_BYTES)
-    spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_BYTES, held)
-
-
 @contextlib.contextmanager
 def opened():
     """The list of scratches that are opened in the block, for a caller who will release them."""
@@ -170,6 +158,9 @@ def arrow_map(df: DataFrame, target: str, schema, **params) -> DataFrame:
         parts = importlib.import_module(here).parts
         return getattr(importlib.import_module(module), function)(parts(batches), **params)
 
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == DEFAULT_BYTES:
+        conf.set(BATCH_BYTES, SMALL_BYTES)
     return df.mapInArrow(run, schema)
 
 

@@ -84,15 +84,17 @@ def test_token_store_wants_whole_numbers(spark):
         token_store.write_store(odd_table(spark), WORD, common.shared_dir(spark, "tokens"))
 
 
-def test_scratch_goes_and_settings_come_back(spark, tmp_path):
-    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+def test_scratch_goes_and_settings_of_the_caller_stay(spark, tmp_path):
+    before = spark.conf.get(common.BATCH_BYTES)
+    spark.conf.set(common.BATCH_BYTES, "8388608b")
     with common.opened() as scratches:
         line_dedup.clean_documents(fixtures.table(spark)).count()
         jaccard_join.keep_one(fixtures.table(spark)).count()
         suffix_dedup.remove_repeats(fixtures.table(spark), "doc_id").count()
     # what the returned frames read themselves
     assert sum(len(s.paths) for s in scratches) <= 12
-    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert spark.conf.get(common.BATCH_BYTES) == "8388608b"
+    spark.conf.set(common.BATCH_BYTES, before)
 
 
 # --- the queries themselves ----------------------------------------------------------------
