@@ -15,8 +15,9 @@ with one least member are searched in one task as one forest. The pairs are veri
 exactly on the texts. A group's members are dealt to blocks of about
 BLOCK; first every block is searched for itself, then, in groups that are not connected
 by then, every two blocks together, so that no task holds more than two blocks. Where
-pairs were refuted, the units of that forest are searched again without them for all pairs that
-aren't connected, a bounded number a round, until nothing new comes up; at that point
+pairs were refuted, the units of that forest are searched again without them for pairs that
+aren't connected, for each label the most similar ones, twice as many in every round,
+until nothing new comes up; at that point
 every pair in every group is connected, ruled out by the bound, or refuted.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
@@ -41,11 +42,10 @@ from . import common
 SHINGLE = 4
 PERCENT = 85
 #: Bits of a bitmap for each token, at least; the number of words is a power of two.
-#: Two are enough to tell apart sets that share no more than half of their tokens.
-BITS_PER_TOKEN = 2
+BITS_PER_TOKEN = 8
 LEAF = 32
 BLOCK = 4096
-#: Pairs that a group emits for each member and round, once something in it was refuted.
+#: Open pairs a member that a unit looks at in a round, once something in it was refuted.
 PAIRS_PER_MEMBER = 8
 #: Tokens in the prefixes of more documents than this go last in the order of prefixes;
 #: the bound rises so that there are never more than MAX_HEAVY of them.
@@ -173,23 +173,23 @@ class SignatureTree:
         most = min(int(np.bitwise_count(or_a & or_b).sum()) + min(hid_a, hid_b), max_a, max_b)
         return most * (100 + percent) >= percent * (min_a + min_b)
 
-    def pairs(self, a: tuple[int, int], b: tuple[int, int], percent: int) -> np.ndarray:
-        """The same for all pairs of two leaves."""
+    def pairs(self, a: tuple[int, int], b: tuple[int, int], percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for all pairs of two leaves, with the largest similarity that they can have."""
         x, y = self.bits[a[0] : a[1], None, :], self.bits[None, b[0] : b[1], :]
         both = np.bitwise_count(x & y).sum(axis=2).astype(np.int64)
         n, m = self.sizes[a[0] : a[1], None], self.sizes[None, b[0] : b[1]]
         most = np.minimum(both + n - self.ones[a[0] : a[1], None], both + m - self.ones[None, b[0] : b[1]])
         most = np.minimum(most, np.minimum(n, m))
-        return most * (100 + percent) >= percent * (n + m)
+        return most * (100 + percent) >= percent * (n + m), most / (n + m - most)
 
 
 def _halves(r: tuple[int, int]) -> list[tuple[int, int]]:
     return [(r[0], (r[0] + r[1]) // 2), ((r[0] + r[1]) // 2, r[1])]
 
 
-def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted: np.ndarray, percent: int, forest: bool, room: int) -> list[tuple[int, int]]:
+def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted: np.ndarray, percent: int, forest: bool, room: int) -> list[tuple[int, int, float]]:
     """Dual traversal over the tree of ``rows``; see ``group_candidates``. ``labels`` is changed in place."""
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, float]] = []
     whole = (0, len(rows))
     stack = [(whole, whole)]
     while stack and len(out) < room:
@@ -207,7 +207,7 @@ def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted
             else:
                 stack += [(x, y) for x in (_halves(a) if wide_a else [a]) for y in (_halves(b) if wide_b else [b])]
             continue
-        near = tree.pairs(a, b, percent)
+        near, similar = tree.pairs(a, b, percent)
         if a == b:
             near = np.triu(near, 1)
         near &= la[:, None] != lb[None, :]
@@ -217,31 +217,31 @@ def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted
                 near[i[here] - a[0], j[here] - b[0]] = False
         if not forest:
             i, j = np.nonzero(near)
-            out += zip(rows[i + a[0]].tolist(), rows[j + b[0]].tolist())
+            out += zip(rows[i + a[0]].tolist(), rows[j + b[0]].tolist(), similar[i, j].tolist())
             continue
         while near.any():
             i, j = divmod(int(near.argmax()), near.shape[1])
             i, j = int(rows[i + a[0]]), int(rows[j + b[0]])
-            out.append((i, j))
+            out.append((i, j, 1.0))
             labels[labels == labels[j]] = labels[i]
             near &= labels[rows[a[0] : a[1]], None] != labels[None, rows[b[0] : b[1]]]
     return out
 
 
-def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, refuted: set[tuple[int, int]], percent: int, forest: bool = True) -> list[tuple[int, int]]:
+def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, refuted: set[tuple[int, int]], percent: int, forest: bool = True, each: int = 8) -> list[tuple[int, int]]:
     """Pairs of a group's members that may be linked and that ``labels`` doesn't connect yet.
 
     Members must be sorted by size. ``refuted`` holds pairs known not to be linked. With
-    ``forest`` the pairs are a spanning forest; without it they are all such pairs, or as
-    many as a round may emit. Bitmaps double in width with the size, so members are
+    ``forest`` the pairs are a spanning forest; without it they are, for each label, the
+    ``each`` most similar by their bitmaps, since one link settles all pairs of two labels. Bitmaps double in width with the size, so members are
     searched by width, together with those of twice the width that are small enough to
     be linked, folded.
     """
     labels, n = labels.copy(), len(sizes)
     widths = np.array([len(b) for b in bitmaps])
     pairs = np.array(sorted(refuted), np.int64).reshape(-1, 2)
-    out: list[tuple[int, int]] = []
-    room = n * n if forest else PAIRS_PER_MEMBER * n
+    out: list[tuple[int, int, float]] = []
+    room, known = n * n if forest else PAIRS_PER_MEMBER * n, labels.copy()
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         more = np.flatnonzero((widths == 2 * width) & (percent * sizes <= 100 * sizes[own].max()))
@@ -253,14 +253,22 @@ def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.nd
         place[rows] = np.arange(len(rows))
         inside = place[pairs]
         out += _traverse(SignatureTree(sizes[rows], bits), rows, labels, inside[(inside >= 0).all(axis=1)], percent, forest, room - len(out))
-    return list(dict.fromkeys(out))
-
-
-def _search_batches(batches, percent, forest):
+    pairs = list(dict.fromkeys((i, j) for i, j, _ in sorted(out, key=lambda x: -x[2])))
+    if forest:
+        return pairs
+    taken, chosen = np.zeros(int(known.max(initial=0)) + 1, np.int64), []
+    for i, j in pairs:
+        if taken[known[i]] < each or taken[known[j]] < each:
+            taken[[known[i], known[j]]] += 1
+            chosen.append((i, j))
+    return chosen
+
+
+def _search_batches(batches, percent, forest, each):
     """Rows (lead, token, unit, num, n_shingles, bits, label, refuted) sorted in this order.
 
-    Units of one lead mostly hold the same members. A forest goes over all of them, so
-    that what one has emitted counts as connected in the next; pairs are emitted once.
+    Units of one lead mostly hold the same members, so what one has emitted counts as
+    connected in the next: whether it is shows before the next round.
     """
     held: list[tuple] = []
     root: dict[int, int] = {}
@@ -281,11 +289,10 @@ def _search_batches(batches, percent, forest):
             return
         place = {r[3]: k for k, r in enumerate(held)}
         refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[7] or () if o in place}
-        for i, j in group_candidates(sizes, bits, labels, refuted, percent, forest):
+        for i, j in group_candidates(sizes, bits, labels, refuted, percent, forest, each):
             pair = min(held[i][3], held[j][3]), max(held[i][3], held[j][3])
-            if forest:
-                low, high = sorted((find(tops[i]), find(tops[j])))
-                root[high] = low
+            low, high = sorted((find(tops[i]), find(tops[j])))
+            root[high] = low
             if pair not in seen:
                 seen.add(pair)
                 yield held[0][0], *pair
@@ -382,6 +389,7 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
     if members.where("blocks > 1").head(1):
         turns.append((across, True))
     links = refuted = components = again = None
+    each = 1
     while turns:
         units, forest = turns.pop(0)
         rows = units
@@ -395,7 +403,8 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
             rows = rows.withColumn("label", F.col("num")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
         rows = rows.join(payload, "num").select("lead", "token", "unit", "num", "n_shingles", "bits", "label", "refuted")
         rows = rows.repartition("lead").sortWithinPartitions("lead", "token", "unit", "n_shingles", "num")
-        found = scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", "lead bigint, a bigint, b bigint", percent=percent, forest=forest), "candidates")
+        each = each if forest else 2 * each  # so the number of rounds is logarithmic in the pairs that a label has
+        found = scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", "lead bigint, a bigint, b bigint", percent=percent, forest=forest, each=each), "candidates")
         scratch.tidy()
         pairs = scratch.write(found.select("a", "b").distinct(), "pairs")
         if n_pairs := pairs.count():
