@@ -19,6 +19,7 @@ def spark():
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxPlanStringLength", "100000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
