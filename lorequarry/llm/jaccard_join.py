@@ -14,10 +14,15 @@ already and emits a spanning forest of what is left, at most one pair a member;
 with one least member are searched in one task as one forest. The pairs are verified
 exactly on the texts. A group's members are dealt to blocks of about
 BLOCK; first every block is searched for itself, then, in groups that are not connected
-by then, every two blocks together, so that no task holds more than two blocks. Where
-pairs were refuted, the units of that forest are searched again without them for all pairs that
-aren't connected, a bounded number a round, until nothing new comes up; at that point
-every pair in every group is connected, ruled out by the bound, or refuted.
+by then, every two blocks together, so that no task holds more than two blocks.
+
+Where pairs were refuted, that forest says nothing about the others. Its units are
+traversed once more for the members that have an open pair: neither connected, ruled out
+by the bound nor refuted. Their sets meet whole, and shared tokens are counted where the
+prefixes in that company's own order of tokens (fewest members first) have one in common.
+Only a spanning forest of links comes out of it, at most one a member, so after this every
+pair in every group is connected, ruled out by a bound, or refuted. No row stands for a
+pair that isn't linked, but for those of the first forests.
 
 Defined results: null, empty and blank texts have the empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; a null doc_id takes part
@@ -28,6 +33,7 @@ set are held whole, a batch at a time.
 
 from __future__ import annotations
 
+import itertools
 import string
 
 import numpy as np
@@ -45,8 +51,8 @@ PERCENT = 85
 BITS_PER_TOKEN = 2
 LEAF = 32
 BLOCK = 4096
-#: Pairs that a group emits for each member and round, once something in it was refuted.
-PAIRS_PER_MEMBER = 8
+#: Shingles of the sets that a block holds whole, about; 8 bytes each.
+BLOCK_SHINGLES = 500_000
 #: Tokens in the prefixes of more documents than this go last in the order of prefixes;
 #: the bound rises so that there are never more than MAX_HEAVY of them.
 HEAVY, MAX_HEAVY = 64, 100_000
@@ -187,16 +193,21 @@ def _halves(r: tuple[int, int]) -> list[tuple[int, int]]:
     return [(r[0], (r[0] + r[1]) // 2), ((r[0] + r[1]) // 2, r[1])]
 
 
-def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted: np.ndarray, percent: int, forest: bool, room: int) -> list[tuple[int, int]]:
-    """Dual traversal over the tree of ``rows``; see ``group_candidates``. ``labels`` is changed in place."""
+def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted: np.ndarray, percent: int, forest: bool, met: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Dual traversal over the tree of ``rows``; see ``group_candidates``. ``labels`` is changed in place.
+
+    With ``met`` no pairs are returned; the members that have one are set in it.
+    """
     out: list[tuple[int, int]] = []
     whole = (0, len(rows))
     stack = [(whole, whole)]
-    while stack and len(out) < room:
+    while stack:
         a, b = stack.pop()
         la, lb = labels[rows[a[0] : a[1]]], labels[rows[b[0] : b[1]]]
         if (la == la[0]).all() and (a == b or (lb == la[0]).all()):
             continue
+        if met is not None and met[rows[a[0] : a[1]]].all() and met[rows[b[0] : b[1]]].all():
+            continue
         if a != b and not tree.may_link(a, b, percent):
             continue
         wide_a, wide_b = a[1] - a[0] > LEAF, b[1] - b[0] > LEAF
@@ -215,6 +226,10 @@ def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted
             for i, j in (refuted.T, refuted.T[::-1]):
                 here = (i >= a[0]) & (i < a[1]) & (j >= b[0]) & (j < b[1])
                 near[i[here] - a[0], j[here] - b[0]] = False
+        if met is not None:
+            met[rows[a[0] : a[1]]] |= near.any(axis=1)
+            met[rows[b[0] : b[1]]] |= near.any(axis=0)
+            continue
         if not forest:
             i, j = np.nonzero(near)
             out += zip(rows[i + a[0]].tolist(), rows[j + b[0]].tolist())
@@ -228,20 +243,11 @@ def _traverse(tree: SignatureTree, rows: np.ndarray, labels: np.ndarray, refuted
     return out
 
 
-def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, refuted: set[tuple[int, int]], percent: int, forest: bool = True) -> list[tuple[int, int]]:
-    """Pairs of a group's members that may be linked and that ``labels`` doesn't connect yet.
-
-    Members must be sorted by size. ``refuted`` holds pairs known not to be linked. With
-    ``forest`` the pairs are a spanning forest; without it they are all such pairs, or as
-    many as a round may emit. Bitmaps double in width with the size, so members are
-    searched by width, together with those of twice the width that are small enough to
-    be linked, folded.
-    """
-    labels, n = labels.copy(), len(sizes)
+def _trees(sizes: np.ndarray, bitmaps: list[np.ndarray], refuted: set[tuple[int, int]], percent: int):
+    """Bitmaps double in width with the size, so members are searched by width, together
+    with those of twice the width that are small enough to be linked, folded."""
     widths = np.array([len(b) for b in bitmaps])
     pairs = np.array(sorted(refuted), np.int64).reshape(-1, 2)
-    out: list[tuple[int, int]] = []
-    room = n * n if forest else PAIRS_PER_MEMBER * n
     for width in np.unique(widths):
         own = np.flatnonzero(widths == width)
         more = np.flatnonzero((widths == 2 * width) & (percent * sizes <= 100 * sizes[own].max()))
@@ -249,20 +255,111 @@ def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.nd
         if len(rows) < 2:
             continue
         bits = np.array([bitmaps[k] for k in own] + [bitmaps[k][:width] | bitmaps[k][width:] for k in more], np.uint64)
-        place = np.full(n, -1)
+        place = np.full(len(sizes), -1)
         place[rows] = np.arange(len(rows))
         inside = place[pairs]
-        out += _traverse(SignatureTree(sizes[rows], bits), rows, labels, inside[(inside >= 0).all(axis=1)], percent, forest, room - len(out))
+        yield SignatureTree(sizes[rows], bits), rows, inside[(inside >= 0).all(axis=1)]
+
+
+def group_candidates(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, refuted: set[tuple[int, int]], percent: int, forest: bool = True) -> list[tuple[int, int]]:
+    """Pairs of a group's members that may be linked and that ``labels`` doesn't connect yet.
+
+    Members must be sorted by size. ``refuted`` holds pairs known not to be linked. With
+    ``forest`` the pairs are a spanning forest; without it they are all such pairs.
+    """
+    labels = labels.copy()
+    out: list[tuple[int, int]] = []
+    for tree, rows, inside in _trees(sizes, bitmaps, refuted, percent):
+        out += _traverse(tree, rows, labels, inside, percent, forest)
     return list(dict.fromkeys(out))
 
 
-def _search_batches(batches, percent, forest):
+def open_members(sizes: np.ndarray, bitmaps: list[np.ndarray], labels: np.ndarray, refuted: set[tuple[int, int]], percent: int) -> np.ndarray:
+    """Which members are in a pair that ``group_candidates`` would return without ``forest``."""
+    met = np.zeros(len(sizes), bool)
+    for tree, rows, inside in _trees(sizes, bitmaps, refuted, percent):
+        _traverse(tree, rows, labels, inside, percent, False, met)
+    return met
+
+
+def exact_forest(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets that ``labels`` doesn't connect yet.
+
+    Tokens are ordered by the number of these sets that hold them, so what only one or a
+    few hold comes first in the prefixes. A link has a token in both prefixes.
+    """
+    labels, n = labels.copy(), len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(sizes)
+    _, ids, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ids = rank[ids]
+    own = [np.sort(ids[e - s : e]) for s, e in zip(sizes, ends)]
+    ids = np.concatenate(own)
+    prefixes = [o[: prefix_length(len(o), percent)] for o in own]
+    tokens = np.concatenate(prefixes)
+    by_token = np.argsort(tokens, kind="stable")
+    tokens, holders = tokens[by_token], np.repeat(np.arange(n), [len(p) for p in prefixes])[by_token]
+    inside = np.zeros(len(count), bool)
+    out: list[tuple[int, int]] = []
+    top = np.bincount(labels).argmax()  # an open pair has an end outside of the largest label
+    for i in np.flatnonzero(labels != top).tolist():
+        lo, hi = np.searchsorted(tokens, prefixes[i]), np.searchsorted(tokens, prefixes[i], "right")
+        others = np.unique(np.concatenate([holders[x:y] for x, y in zip(lo.tolist(), hi.tolist())]))
+        fits = (labels[others] != labels[i]) & (100 * sizes[others] >= percent * sizes[i]) & (100 * sizes[i] >= percent * sizes[others])
+        others = others[fits]
+        inside[own[i]] = True
+        for part in np.array_split(others, min(len(others), -(-int(sizes[others].sum()) // BLOCK_SHINGLES))) if len(others) else ():
+            lengths = sizes[part]
+            starts = np.cumsum(lengths) - lengths
+            at = np.arange(int(lengths.sum())) + np.repeat(ends[part] - lengths - starts, lengths)
+            both = np.add.reduceat(inside[ids[at]], starts, dtype=np.int64)
+            for j in part[100 * both >= percent * (lengths + sizes[i] - both)].tolist():
+                if labels[j] != labels[i]:
+                    labels[labels == labels[j]] = labels[i]
+                    out.append((i, j))
+        inside[own[i]] = False
+    return out
+
+
+def _runs(batches, names: tuple[str, ...], n_key: int):
+    """Lists of neighbouring rows that are equal in their first ``n_key`` columns."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in names]):
+            if held and row[:n_key] != held[0][:n_key]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _tables(found, names: list[str]):
+    """Rows of whole numbers as record batches."""
+    while rows := list(itertools.islice(found, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=names)
+
+
+_UNIT = ("lead", "token", "unit", "num", "n_shingles", "bits", "label", "refuted")
+
+
+def _arrays(held: list[tuple], tops: list) -> tuple:
+    """What ``group_candidates`` takes of a unit's rows, with ``tops`` as labels."""
+    number: dict = {}
+    labels = np.array([number.setdefault(t, len(number)) for t in tops], np.int64)
+    place = {r[3]: k for k, r in enumerate(held)}
+    refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[7] or () if o in place}
+    return np.array([r[4] for r in held], np.int64), [np.frombuffer(r[5], "<u8") for r in held], labels, refuted
+
+
+def _search_batches(batches, percent):
     """Rows (lead, token, unit, num, n_shingles, bits, label, refuted) sorted in this order.
 
     Units of one lead mostly hold the same members. A forest goes over all of them, so
     that what one has emitted counts as connected in the next; pairs are emitted once.
     """
-    held: list[tuple] = []
     root: dict[int, int] = {}
     seen: set[tuple[int, int]] = set()
 
@@ -271,45 +368,61 @@ def _search_batches(batches, percent, forest):
             k = up
         return k
 
-    def finish():
-        sizes = np.array([r[4] for r in held], np.int64)
-        bits = [np.frombuffer(r[5], "<u8") for r in held]
-        tops = [find(r[6]) for r in held]
-        number: dict[int, int] = {}
-        labels = np.array([number.setdefault(t, len(number)) for t in tops], np.int64)
-        if len(number) == 1:
-            return
-        place = {r[3]: k for k, r in enumerate(held)}
-        refuted = {(k, place[o]) for k, r in enumerate(held) for o in r[7] or () if o in place}
-        for i, j in group_candidates(sizes, bits, labels, refuted, percent, forest):
-            pair = min(held[i][3], held[j][3]), max(held[i][3], held[j][3])
-            if forest:
+    def found():
+        last = None
+        for held in _runs(batches, _UNIT, 3):
+            if held[0][0] != last:
+                root.clear()
+                seen.clear()
+                last = held[0][0]
+            tops = [find(r[6]) for r in held]
+            if len(set(tops)) == 1:
+                continue
+            for i, j in group_candidates(*_arrays(held, tops), percent):
+                pair = min(held[i][3], held[j][3]), max(held[i][3], held[j][3])
                 low, high = sorted((find(tops[i]), find(tops[j])))
                 root[high] = low
-            if pair not in seen:
-                seen.add(pair)
-                yield held[0][0], *pair
+                if pair not in seen:
+                    seen.add(pair)
+                    yield last, *pair
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["lead", "a", "b"])
+    return _tables(found(), ["lead", "a", "b"])
 
-    found: list[tuple] = []
+
+def _open_batches(batches, percent):
+    """The same rows; (lead, num, label) of the members that have an open pair, once for each lead."""
+
+    def found():
+        last, seen = None, set()
+        for held in _runs(batches, _UNIT, 3):
+            if held[0][0] != last:
+                last, seen = held[0][0], set()
+            for k in np.flatnonzero(open_members(*_arrays(held, [r[6] for r in held]), percent)).tolist():
+                if held[k][3] not in seen:
+                    seen.add(held[k][3])
+                    yield last, held[k][3], held[k][6]
+
+    return _tables(found(), ["lead", "num", "label"])
+
+
+def _set_batches(batches, shingle):
+    """Rows (num, text) as (num, tokens)."""
     for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("lead", "token", "unit", "num", "n_shingles", "bits", "label", "refuted")]):
-            if held and row[:3] != held[0][:3]:
-                found += finish()
-                if row[0] != held[0][0]:
-                    root.clear()
-                    seen.clear()
-                held = []
-                if len(found) >= 10_000:
-                    yield rows(found)
-                    found = []
-            held.append(row)
-    if held:
-        found += finish()
-    if found:
-        yield rows(found)
+        sets = shingle_sets(batch.column("text").to_pylist(), shingle)
+        yield pa.RecordBatch.from_arrays([batch.column("num"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["num", "tokens"])
+
+
+def _exact_batches(batches, percent):
+    """Rows (key, num, label, tokens) sorted by key; links."""
+
+    def found():
+        for held in _runs(batches, ("key", "num", "label", "tokens"), 1):
+            number: dict[int, int] = {}
+            labels = np.array([number.setdefault(r[2], len(number)) for r in held], np.int64)
+            for i, j in exact_forest([np.frombuffer(r[3], np.uint64) for r in held], labels, percent):
+                yield min(held[i][1], held[j][1]), max(held[i][1], held[j][1])
+
+    return _tables(found(), ["a", "b"])
 
 
 def _verify_batches(batches, shingle, percent):
@@ -339,18 +452,40 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
 
 
+def _texts(keyed: DataFrame, sets: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
+    """(num, text) of the classes ``ids``, which are distinct and at most ``n_ids``."""
+    keys = sets.join(ids, "num").select("_key", "num")
+    return keyed.select("_key", "text").join(_small(keys, n_ids), "_key").groupBy("num").agg(F.first("text").alias("text"))
+
+
 def _verified(keyed: DataFrame, sets: DataFrame, pairs: DataFrame, n_pairs: int, shingle: int, percent: int, scratch: common.Scratch) -> DataFrame:
     """(a, b, linked) by the sets of the two texts; each text is moved once a pair."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct()
-    keys = sets.join(ids, "num").select("_key", "num")
-    texts = keyed.select("_key", "text").join(_small(keys, 2 * n_pairs), "_key").groupBy("num").agg(F.first("text").alias("text"))
-    texts = scratch.write(texts, "texts")
+    texts = scratch.write(_texts(keyed, sets, ids, 2 * n_pairs), "texts")
     both = pairs.join(texts.select(F.col("num").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("num").alias("b"), F.col("text").alias("y")), "b")
     out = scratch.write(common.arrow_map(both.select("a", "b", "x", "y"), f"{__name__}:_verify_batches", "a bigint, b bigint, linked boolean", shingle=shingle, percent=percent), "verified")
     scratch.drop(texts)
     return out
 
 
+def _exact_links(keyed: DataFrame, sets: DataFrame, open_: DataFrame, shingle: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """(a, b), links among the members (lead, num, label) of each lead, counted on their whole sets."""
+    rows = open_.join(sets.select("num", "n_shingles"), "num")
+    # as many blocks as shingles or members ask for; where there are more than one, every two of them meet
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK)).cast("int")
+    rows = rows.join(rows.groupBy("lead").agg(blocks.alias("blocks")), "lead")
+    block = F.pmod(F.xxhash64("num"), F.col("blocks"))
+    units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(block, o) * F.col("blocks") + F.greatest(block, o))
+    rows = rows.withColumn("unit", F.explode(units)).select(F.when(F.col("blocks") == 1, F.col("lead")).otherwise(F.xxhash64("lead", "unit")).alias("key"), "num", "label")
+    ids = open_.select("num").distinct()
+    whole = common.arrow_map(_texts(keyed, sets, ids, ids.count()), f"{__name__}:_set_batches", "num bigint, tokens binary", shingle=shingle)
+    whole = scratch.write(whole, "whole")
+    rows = rows.join(whole, "num").select("key", "num", "label", "tokens").repartition("key").sortWithinPartitions("key", "num")
+    found = scratch.write(common.arrow_map(rows, f"{__name__}:_exact_batches", "a bigint, b bigint", percent=percent), "exact")
+    scratch.drop(whole)
+    return found
+
+
 def _heavy_tokens(keyed: DataFrame, shingle: int, percent: int) -> np.ndarray:
     """Sorted tokens in the prefixes of many documents, MAX_HEAVY at most."""
     spread = common.arrow_map(keyed.select("text"), f"{__name__}:_token_batches", "token bigint, n bigint", shingle=shingle, percent=percent)
@@ -371,32 +506,35 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
     members = scratch.write(met.join(chosen, "token").select("token", "lead", "num", "blocks"), "members")
     scratch.tidy()
     block = F.pmod(F.xxhash64("num"), F.col("blocks"))
-    # every block for itself; every two blocks of a group; all units of a lead that had a refuted pair
+    # every block for itself; every two blocks of a group
     lead = F.when(F.col("blocks") == 1, F.col("lead")).otherwise(F.xxhash64("token", "unit")).alias("lead")  # blocks are dealt out
     inside = members.withColumn("unit", block * F.col("blocks") + block).select("token", "num", "unit", lead)
     other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != block))
     across = members.where("blocks > 1").select("token", "lead", "num", "blocks", block.alias("own"), other.alias("other"))
     across = across.withColumn("unit", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).select("token", "num", "unit", lead)
     payload = sets.select("num", "n_shingles", "bits")
-    turns = [(inside, True)]
-    if members.where("blocks > 1").head(1):
-        turns.append((across, True))
     links = refuted = components = again = None
-    while turns:
-        units, forest = turns.pop(0)
+
+    def searched(units: DataFrame, target: str, schema: str, name: str) -> DataFrame:
         rows = units
         if components is not None:  # units that are connected by now have nothing to search
             rows = rows.join(components.select(F.col("id").alias("num"), F.col("component").alias("label")), "num", "left").withColumn("label", F.coalesce("label", "num"))
             open_ = rows.groupBy("token", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "unit")
-            rows = scratch.write(rows.join(open_, ["token", "unit"]), "units")
-            units = rows.select("token", "num", "unit", "lead")
+            rows = rows.join(open_, ["token", "unit"])
+        else:
+            rows = rows.withColumn("label", F.col("num"))
+        if refuted is not None:
             rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "num"), "num", "left")
         else:
-            rows = rows.withColumn("label", F.col("num")).withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        rows = rows.join(payload, "num").select("lead", "token", "unit", "num", "n_shingles", "bits", "label", "refuted")
+            rows = rows.withColumn("refuted", F.lit(None).cast("array<bigint>"))
+        rows = rows.join(payload, "num").select(*_UNIT)
         rows = rows.repartition("lead").sortWithinPartitions("lead", "token", "unit", "n_shingles", "num")
-        found = scratch.write(common.arrow_map(rows, f"{__name__}:_search_batches", "lead bigint, a bigint, b bigint", percent=percent, forest=forest), "candidates")
+        found = scratch.write(common.arrow_map(rows, f"{__name__}:{target}", schema, percent=percent), name)
         scratch.tidy()
+        return found
+
+    for units in [inside, across] if members.where("blocks > 1").head(1) else [inside]:
+        found = searched(units, "_search_batches", "lead bigint, a bigint, b bigint", "candidates")
         pairs = scratch.write(found.select("a", "b").distinct(), "pairs")
         if n_pairs := pairs.count():
             checked = _verified(keyed, sets, pairs, n_pairs, shingle, percent, scratch)
@@ -404,15 +542,17 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
             links = fresh if links is None else links.unionByName(fresh)
             refuted = wrong if refuted is None else refuted.unionByName(wrong)
             components = common.connected_components(links)
+            hit = units.join(found.join(wrong, ["a", "b"], "left_semi").select("lead").distinct(), "lead").select("token", "num", "unit", "lead")
+            again = hit if again is None else again.unionByName(hit)
         scratch.drop(pairs)
-        if forest:
-            if refuted is not None:
-                hit = units.join(found.join(refuted, ["a", "b"], "left_semi").select("lead").distinct(), "lead").select("token", "num", "unit", "lead")
-                again = hit if again is None else again.unionByName(hit)
-            if not turns and again is not None:
-                turns.append((scratch.write(again, "again"), False))
-        elif n_pairs:  # later rounds may have left pairs beyond a unit's room, so they go on until none comes up
-            turns.append((units.join(found.select("lead").distinct(), "lead").select("token", "num", "unit", "lead"), False))
+    if again is not None:
+        # units of one lead meet in one task, unless they have more than a block of members between them
+        again = scratch.write(again, "again")
+        wide = again.groupBy("lead").agg(F.countDistinct("num").alias("n")).where(F.col("n") > BLOCK).select("lead", F.lit(True).alias("wide"))
+        again = again.join(wide, "lead", "left").withColumn("lead", F.when(F.col("wide"), F.xxhash64("token", "unit")).otherwise(F.col("lead"))).drop("wide")
+        open_ = searched(again, "_open_batches", "lead bigint, num bigint, label bigint", "open")
+        if open_.head(1):
+            components = common.connected_components(links.unionByName(_exact_links(keyed, sets, open_, shingle, percent, scratch)))
     return components
 
 

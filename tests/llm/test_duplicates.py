@@ -85,6 +85,66 @@ def test_pairs_beyond_a_full_room_are_searched(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(capped_families(), 1, 90)
 
 
+def below_the_threshold():
+    """40 texts and 10 copies with one more change, in one group. Any two of the 40 share 90 of
+    110 words, and words take the bit of those they replace, so bitmaps rule out none."""
+    token = {w: int(jaccard_join.shingle_set(w, 1)[0]) for w in (f"w{k}" for k in range(20_000))}
+    by_bit = {}
+    for w in token:
+        by_bit.setdefault((token[w] >> 20) % 256, []).append(w)
+    base = random.Random(5).sample([ws.pop() for ws in by_bit.values()], 100)
+    other = lambda w: by_bit[(token[w] >> 20) % 256].pop()
+    texts = [base[:90] + [other(w) for w in base[90:]] for _ in range(40)]
+    texts += [[other(t[0]), *t[1:]] for t in texts[:10]]
+    return [(k, " ".join(t), None, None, None, None, None) for k, t in enumerate(texts)]
+
+
+def test_rows_of_a_search_do_not_grow_with_pairs(spark, monkeypatch):
+    made, write = [], common.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name in ("members", "candidates", "pairs", "open", "exact"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "write", counted)
+    got = jaccard_join.components(fixtures.table(spark, below_the_threshold()), 1, 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(below_the_threshold(), 1, 85)
+    members, *made = made
+    assert max(made) <= members and len(made) <= 4  # a row a member and unit at most, and no repeated rounds
+
+
+def test_whole_sets_are_searched_in_blocks(spark, monkeypatch):
+    want = brute_components(below_the_threshold(), 1, 85)
+    for block, shingles in ((4096, 700), (20, 500_000)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
+        got = jaccard_join.components(fixtures.table(spark, below_the_threshold()), 1, 85).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+
+
+def test_exact_forest_equals_brute_force(monkeypatch):
+    rng = random.Random(11)
+    for turn in range(40):
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", (500_000, 60)[turn % 2])
+        pool = [rng.getrandbits(64) for _ in range(rng.randint(3, 60))]
+        sets = [np.array(sorted(set(rng.sample(pool, rng.randint(1, len(pool)))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 3))}), np.uint64) for _ in range(rng.randint(1, 50))]
+        sets += [np.union1d(s[rng.randint(0, 1) :], s[:1]) for s in sets]
+        known = np.array([rng.randrange(1 + len(sets) // (1 + turn % 3)) for _ in sets])
+        percent = rng.choice((50, 80, 85, 100))
+        want = known.copy()
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                want[want == want[j]] = want[i]
+        got, pairs = known.copy(), jaccard_join.exact_forest(sets, known, percent)
+        for i, j in pairs:
+            assert got[i] != got[j] and want[i] == want[j]
+            got[got == got[j]] = got[i]
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in itertools.combinations(range(len(sets)), 2))
+
+
 def test_keep_one_leaves_one_of_each_component(spark):
     data = fixtures.rows()
     table = fixtures.table(spark, data)
