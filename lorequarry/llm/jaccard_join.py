@@ -58,8 +58,6 @@ BLOCK_SHINGLES = 500_000
 HEAVY, MAX_HEAVY = 64, 100_000
 SETS_KEPT = 64
 WORD_ENTRIES = 400_000
-#: Tables of a key and a number, some 60 bytes a row, are broadcast up to so many rows: 6 MB.
-MAX_BROADCAST_ROWS = 100_000
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _WORDS: dict[bytes, int] = {}
 
@@ -449,7 +447,7 @@ def _verify_batches(batches, shingle, percent):
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= common.MAX_BROADCAST_ROWS else common.bounded(df, rows)
 
 
 def _texts(keyed: DataFrame, sets: DataFrame, ids: DataFrame, n_ids: int) -> DataFrame:
@@ -514,17 +512,18 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
     across = across.withColumn("unit", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).select("token", "num", "unit", lead)
     payload = sets.select("num", "n_shingles", "bits")
     links = refuted = components = again = None
+    n_links = 0
 
     def searched(units: DataFrame, target: str, schema: str, name: str) -> DataFrame:
         rows = units
         if components is not None:  # units that are connected by now have nothing to search
-            rows = rows.join(components.select(F.col("id").alias("num"), F.col("component").alias("label")), "num", "left").withColumn("label", F.coalesce("label", "num"))
+            rows = rows.join(common.bounded(components.select(F.col("id").alias("num"), F.col("component").alias("label")), n_links), "num", "left").withColumn("label", F.coalesce("label", "num"))
             open_ = rows.groupBy("token", "unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token", "unit")
             rows = rows.join(open_, ["token", "unit"])
         else:
             rows = rows.withColumn("label", F.col("num"))
         if refuted is not None:
-            rows = rows.join(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "num"), "num", "left")
+            rows = rows.join(common.bounded(refuted.groupBy("a").agg(F.collect_list("b").alias("refuted")).withColumnRenamed("a", "num"), n_links), "num", "left")
         else:
             rows = rows.withColumn("refuted", F.lit(None).cast("array<bigint>"))
         rows = rows.join(payload, "num").select(*_UNIT)
@@ -541,6 +540,7 @@ def _links(keyed: DataFrame, sets: DataFrame, shingle: int, percent: int, scratc
             fresh, wrong = checked.where("linked").select("a", "b"), checked.where("not linked").select("a", "b")
             links = fresh if links is None else links.unionByName(fresh)
             refuted = wrong if refuted is None else refuted.unionByName(wrong)
+            n_links += 2 * n_pairs
             components = common.connected_components(links)
             hit = units.join(found.join(wrong, ["a", "b"], "left_semi").select("lead").distinct(), "lead").select("token", "num", "unit", "lead")
             again = hit if again is None else again.unionByName(hit)

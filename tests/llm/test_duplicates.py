@@ -115,6 +115,21 @@ def test_rows_of_a_search_do_not_grow_with_pairs(spark, monkeypatch):
     assert max(made) <= members and len(made) <= 4  # a row a member and unit at most, and no repeated rounds
 
 
+def test_large_tables_of_links_are_never_broadcast(spark, monkeypatch):
+    plans, write = {}, common.Scratch.write
+
+    def planned(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, name)
+
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 1, raising=False)
+    monkeypatch.setattr(common.Scratch, "write", planned)
+    got = jaccard_join.components(fixtures.table(spark, below_the_threshold()), 1, 85).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(below_the_threshold(), 1, 85)
+    assert plans["texts"].count("SortMergeJoin") >= 1  # keys
+    assert plans["open"].count("SortMergeJoin") >= 2  # components and refuted pairs
+
+
 def test_whole_sets_are_searched_in_blocks(spark, monkeypatch):
     want = brute_components(below_the_threshold(), 1, 85)
     for block, shingles in ((4096, 700), (20, 500_000)):
