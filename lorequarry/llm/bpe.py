@@ -399,6 +399,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    _ENCODERS.clear()
+
+
 def _encode_batches(batches, path):
     e = encoder(path)
     for batch in batches:

@@ -97,6 +97,10 @@ def shingle_sets(texts: list[str | None], shingle: int) -> list[np.ndarray]:
     return out
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return shingle_sets([text], shingle)[0]
 

@@ -129,6 +129,10 @@ def counter(path: str) -> Counter:
     return _COUNTERS[path]
 
 
+def forget() -> None:
+    _COUNTERS.clear()
+
+
 def _count_batches(batches, path):
     c = counter(path)
     for batch in batches:

@@ -342,6 +342,10 @@ def _cache(path: str) -> WordCache:
     return _CACHES[path]
 
 
+def forget() -> None:
+    _CACHES.clear()
+
+
 def _open(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
 

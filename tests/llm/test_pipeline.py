@@ -2,9 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from lorequarry.llm import quality_rules, queries
+from lorequarry.llm import bpe, common, jaccard_join, quality_rules, queries
 
 from . import fixtures
 from .test_duplicates import brute_components, brute_lines
@@ -68,3 +69,30 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, table, str(tmp_path)).dtypes == table.dtypes
+
+
+class Captured:
+    """Takes the function that a worker would run."""
+
+    def __init__(self, spark):
+        self.sparkSession = spark
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_worker_holds_the_caches_of_one_operator(spark):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    texts = pa.RecordBatch.from_pydict({"text": ["some words of a text", "and of another one"]})
+    sets = common.arrow_map(Captured(spark), "lorequarry.llm.jaccard_join:_token_batches", None, shingle=2, percent=80)
+    encoded = common.arrow_map(Captured(spark), "lorequarry.llm.bpe:_encode_batches", None, path=path)
+    contracted = common.arrow_map(Captured(spark), "lorequarry.llm.common:_contract_batches", None)
+
+    first = list(sets([texts]))
+    list(contracted([]))
+    assert jaccard_join._WORDS
+    ids = list(encoded([texts]))
+    assert bpe._ENCODERS and not jaccard_join._WORDS
+    assert list(sets([texts])) == first
+    assert jaccard_join._WORDS and not bpe._ENCODERS
+    assert list(encoded([texts])) == ids
