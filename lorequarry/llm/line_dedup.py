@@ -9,7 +9,7 @@ so the length decides which edits are seen: at Jaccard 0.8, shingles of 4 link i
 edits of one character in lines from 39 characters on.
 
 Equal lines are one, told apart by 128 bits. A line's band hashes are dealt out by
-bucket as packed numbers, some bands at a time. With each goes a sketch: one bit of
+bucket as packed numbers, all bands at once. With each goes a sketch: one bit of
 each of SKETCH_BITS minima, of which two lines of similarity s share a part (1 + s) / 2,
 and the size of the shingle set. Two members of a bucket are close if neither rules a
 link out; a linked pair fails that with a probability of about 1e-5. Members that are
@@ -45,8 +45,9 @@ PERCENT = 80
 MIN_CHARS = 30
 #: A pair at similarity 0.8 agrees in a band with probability 0.998.
 BANDS, BAND_ROWS = 26, 7
-#: Bands dealt out at once; at least SKETCH_BITS minima.
-BANDS_AT_ONCE = 13
+#: Bands dealt out at once; at least SKETCH_BITS minima. All of them: each further round normalizes,
+#: names and hashes all lines again. The entries of a round lie on disk, 24 bytes a line and band.
+BANDS_AT_ONCE = BANDS
 SKETCH_BITS, LEAST_AGREEMENT = 88, 68
 BLOCK = 4096
 #: Members up to which all pairs of a bucket are compared by their sketches at once.
@@ -54,7 +55,11 @@ SMALL = 16
 #: Characters whose shingles are hashed at once: few enough for a core's cache.
 CHUNK = 1 << 16
 ENTRIES_PER_TASK = 1_000_000
+#: Names past which a task forgets the lines that it has signed.
+NAMES_KEPT = 80_000
 SETS_KEPT = 2_000
+#: Lines up to which units of the same lead are searched as one.
+PACK = 256
 _K1, _K2, _K3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _FACTORS = np.random.Generator(np.random.Philox(20_231_117)).integers(0, 1 << 31, BANDS * BAND_ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: An entry: bucket, line, and the sketch, whose last byte is the size.
@@ -88,31 +93,47 @@ def _hashes(units: bytes, count: int, shingle: int) -> np.ndarray:
 
 def shingles(line: str, shingle: int = SHINGLE) -> np.ndarray:
     units = line.encode("utf-16-le", "replace")
-    return np.unique(_hashes(units, len(units) // 2 - shingle + 1, shingle))
+    h = _hashes(units, len(units) // 2 - shingle + 1, shingle)
+    h.sort()
+    fresh = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    return h[fresh]
+
+
+def _units(lines: list[str]) -> tuple[bytes, np.ndarray]:
+    """UTF-16 of the lines, one after another, and their sizes in units."""
+    units = "".join(lines).encode("utf-16-le", "replace")
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    if 2 * sizes.sum() != len(units):  # characters of two units
+        sizes = np.array([len(x.encode("utf-16-le", "replace")) // 2 for x in lines])
+    return units, sizes
 
 
 def signatures(lines: list[str], shingle: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes (lines, last - first) of some bands, the number of each line's different
     shingles, and the sketches (lines, 12 bytes); every line has at least ``shingle`` characters."""
-    parts = [x.encode("utf-16-le", "replace") for x in lines]
-    sizes = np.array([len(p) // 2 for p in parts])
+    units, sizes = _units(lines)
     starts = np.cumsum(sizes) - sizes
-    h = _hashes(b"".join(parts), int(sizes.sum()) - shingle + 1, shingle).astype(np.uint32)
+    h = _hashes(units, int(sizes.sum()) - shingle + 1, shingle).astype(np.uint32)
     # shingles that run over the end of a line take the value of its first one
     over = (starts + sizes)[:, None] - np.arange(shingle - 1, 0, -1)
     inside = over < len(h)
     h[over[inside]] = np.broadcast_to(h[starts][:, None], over.shape)[inside]
     ends = np.minimum(starts + sizes, len(h))
-    own = np.repeat(np.arange(len(parts), dtype=np.uint64), ends - starts) << np.uint64(32) | h
+    own = np.repeat(np.arange(len(lines), dtype=np.uint64) << np.uint64(32), ends - starts)
+    own |= h
     own.sort()
-    fresh = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    different = np.bincount((own[fresh] >> np.uint64(32)).astype(np.int64), minlength=len(parts))
+    fresh = np.ones(len(own), bool)
+    np.not_equal(own[1:], own[:-1], out=fresh[1:])
+    # each line's different shingles, which have the same minima as all of them
+    different = np.add.reduceat(fresh, starts, dtype=np.int64)
+    h, starts = own[fresh].astype(np.uint32), np.cumsum(different) - different
     chosen = _FACTORS[first * BAND_ROWS : last * BAND_ROWS]
-    low, product = np.empty((len(chosen), len(parts)), np.uint32), np.empty_like(h)
+    low, product = np.empty((len(chosen), len(lines)), np.uint32), np.empty_like(h)
     for k, factor in enumerate(chosen):
         np.multiply(h, factor, out=product)
         np.minimum.reduceat(product, starts, out=low[k])
-    out = np.zeros((last - first, len(parts)), np.uint64)
+    out = np.zeros((last - first, len(lines)), np.uint64)
     for k in range(BAND_ROWS):
         out = (out + low[k::BAND_ROWS]) * _K1
         out ^= out >> np.uint64(31)
@@ -172,8 +193,8 @@ def _entry_batches(batches, shingle, first, last, tasks):
     def dealt():
         bands, lines, sketch = (np.concatenate(x) for x in zip(*signed))
         signed.clear()
-        to = (bands % np.uint64(tasks)).astype(np.int64).reshape(-1)
-        order = np.argsort(to, kind="stable")
+        to = (bands % np.uint64(tasks)).astype(np.uint16 if tasks <= 1 << 16 else np.int64).reshape(-1)
+        order = np.argsort(to, kind="stable")  # two bytes are sorted by counting
         ends = np.cumsum(np.bincount(to, minlength=tasks))
         packed = entries(bands, lines, sketch).reshape(-1)[order]
         begins = np.append(0, ends[:-1])
@@ -196,8 +217,9 @@ def _entry_batches(batches, shingle, first, last, tasks):
                     size = 0
                     if count * (last - first) >= ENTRIES_PER_TASK:
                         yield dealt()
-                        seen.clear()
                         count = 0
+                        if len(seen) >= NAMES_KEPT:
+                            seen.clear()
     if held:
         sign()
     if signed:
@@ -251,6 +273,17 @@ def _bucket_batches(batches, percent):
         return
     held = np.frombuffer(b"".join(blobs), _ENTRY)
     blobs.clear()
+    # most are alone in their bucket: only the others are gathered
+    key = held["bucket"].astype(np.uint64) << np.uint64(32) | np.arange(len(held), dtype=np.uint64)
+    key.sort()
+    same = (key[1:] ^ key[:-1]) >> np.uint64(32) == 0
+    shared = np.zeros(len(key), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    held = held[key[shared] & np.uint64(0xFFFFFFFF)]
+    del key, same, shared
+    if not len(held):
+        return
     held = held[np.argsort(held["bucket"].astype(np.uint64) << np.uint64(32) | held["line"] >> np.uint64(32))]
     held = held[np.concatenate([[True], (held["bucket"][1:] != held["bucket"][:-1]) | (held["line"][1:] != held["line"][:-1])])]
     edge = np.flatnonzero(np.concatenate([[True], held["bucket"][1:] != held["bucket"][:-1], [True]]))
@@ -295,8 +328,10 @@ def _search_batches(batches, percent, shingle):
     """Rows (lead, bucket, unit, line, sketch, text, label) sorted by unit; links of lines.
 
     What units of the same lead have found connected, and their sets, are held for the next.
+    Units of the same lead share most lines, so they are searched as one up to PACK lines.
     """
     held: list[tuple] = []
+    pack: dict[bytes, tuple] = {}
     root: dict[bytes, bytes] = {}
     known: dict[bytes, np.ndarray] = {}
 
@@ -306,6 +341,8 @@ def _search_batches(batches, percent, shingle):
         return k
 
     def search():
+        held = list(pack.values())
+        pack.clear()
         ids = [r[3] for r in held]
         tops = [find(r[6]) for r in held]
         if len(set(tops)) == 1:
@@ -340,22 +377,31 @@ def _search_batches(batches, percent, shingle):
 
     links: list[tuple] = []
 
+    def packed():
+        """Add the unit at hand to the pack, which is searched before if it has no room."""
+        if pack and len(pack) + sum(r[3] not in pack for r in held) > PACK:
+            links.extend(search())
+        pack.update((r[3], r) for r in held)
+        held.clear()
+
     def rows():
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in range(2)], names=["line_a", "line_b"])
 
     for batch in batches:
         for row in zip(*[batch.column(c).to_pylist() for c in ("lead", "bucket", "unit", "line", "sketch", "text", "label")]):
             if held and row[:3] != held[0][:3]:
-                links += search()
-                if row[0] != held[0][0]:
+                lead = held[0][0]
+                packed()
+                if row[0] != lead:
+                    links += search()
                     root.clear()
                     known.clear()
-                held = []
                 if len(links) >= 10_000:
                     yield rows()
                     links.clear()
             held.append(row)
     if held:
+        packed()
         links += search()
     if links:
         yield rows()
@@ -406,8 +452,8 @@ def _low(line):
     return F.conv(F.hex(F.substring(line, 1, 8)), 16, -10).cast("bigint")
 
 
-def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame | None:
-    """(id, component) of linked lines that differ, or None."""
+def _meetings(keyed: DataFrame, n_lines: int, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame:
+    """What the buckets give: pairs and members, under 64 bits of the lines."""
     spark = keyed.sparkSession
     met = None
     for first in range(0, BANDS, BANDS_AT_ONCE):
@@ -417,6 +463,11 @@ def _components(keyed: DataFrame, distinct: DataFrame, n_lines: int, percent: in
         part = scratch.write(common.arrow_map(dealt.repartitionById(tasks, F.col("task")), f"{__name__}:_bucket_batches", _MET, percent=percent), "met")
         scratch.tidy()
         met = part if met is None else met.unionByName(part)
+    return met
+
+
+def _components(keyed: DataFrame, distinct: DataFrame, met: DataFrame, percent: int, shingle: int, scratch: common.Scratch) -> DataFrame | None:
+    """(id, component) of linked lines that differ, or None."""
     pairs = met.where("b is not null").select("a", "b").distinct()
     members = met.where("b is null").select("bucket", F.col("a").alias("low"), "sketch")
     # one bucket of all that have the same members
@@ -465,9 +516,10 @@ def duplicate_lines(keyed: DataFrame, percent: int = PERCENT, shingle: int = SHI
     scratch = common.Scratch(keyed.sparkSession)
     lines = common.schema_of(keyed, ["_key", "doc_id"], "line_no int, line binary")
     lines = scratch.write(common.arrow_map(keyed.select("_key", "doc_id", "text"), f"{__name__}:_line_batches", lines), "lines")
+    met = _meetings(keyed, lines.count(), percent, shingle, scratch)  # first, since its entries take the most room
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key", "line_no")
     distinct = scratch.write(lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")), "distinct")
-    components = _components(keyed, distinct, distinct.count(), percent, shingle, scratch)
+    components = _components(keyed, distinct, met, percent, shingle, scratch)
     if components is None:
         groups = distinct.where("n > 1").select("line", "first")
     else:

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lorequarry.llm import common, jaccard_join, line_dedup, queries
 
@@ -371,3 +372,53 @@ def test_blocks_of_large_groups_are_searched_two_by_two(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
     got = jaccard_join.components(fixtures.table(spark, families(4))).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(families(4), 4, 85)
+
+
+def test_lines_are_signed_once_for_all_bands(spark, monkeypatch):
+    mapped, arrow_map = [], common.arrow_map
+
+    def noted(df, target, schema, **params):
+        mapped.append(target.split(":")[1])
+        return arrow_map(df, target, schema, **params)
+
+    monkeypatch.setattr(common, "arrow_map", noted)
+    got = line_dedup.remove_duplicate_lines(fixtures.table(spark, line_families(3)), "doc_id").collect()
+    assert mapped.count("_entry_batches") == 1
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == brute_lines(line_families(3))
+
+
+def searched_units(units, monkeypatch):
+    """Links that the search finds in units of one lead, and the number of its comparisons by sketch."""
+    rows, asked, close = [], [], line_dedup.close
+    for k, lines in enumerate(units):
+        for line in sorted(lines, key=line_dedup.line_id):
+            sketch = line_dedup.signatures([line], 4, 0, line_dedup.BANDS)[2].tobytes()
+            rows.append((1, k, 0, line_dedup.line_id(line), sketch, line, line_dedup.line_id(line)))
+    names = ["lead", "bucket", "unit", "line", "sketch", "text", "label"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    monkeypatch.setattr(line_dedup, "close", lambda *x: asked.append(1) or close(*x))
+    found = [r for b in line_dedup._search_batches(iter([batch]), 80, 4) for r in b.to_pylist()]
+    monkeypatch.setattr(line_dedup, "close", close)
+    return {frozenset((r["line_a"], r["line_b"])) for r in found}, len(asked)
+
+
+def test_units_of_a_lead_are_searched_as_one(monkeypatch):
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcdefghijklmnop") for _ in range(80))
+    near = base[:40] + "7" + base[41:]
+    others = ["".join(rng.choice("abcdefghijklmnop") for _ in range(80)) for _ in range(4)]
+    link = {frozenset(line_dedup.line_id(x) for x in (base, near))}
+    one = searched_units([[base, near, *others]], monkeypatch)
+    assert one[0] == link and searched_units([[base, near, *others]] * 5, monkeypatch) == one
+    # what doesn't fit into one pack is searched in several
+    monkeypatch.setattr(line_dedup, "PACK", 3)
+    assert searched_units([[base, others[0]], [base, near, others[1]], [others[2], others[3]], [near, *others]], monkeypatch)[0] == link
+
+
+def test_a_task_without_shared_buckets_is_empty():
+    lines = ["".join(random.Random(k).choice("abcdefghijklmnop") for _ in range(60)) for k in range(5)]
+    dealt = [b.to_pydict() for b in line_dedup._entry_batches(iter([pa.RecordBatch.from_pydict({"text": ["\n".join(lines)]})]), 4, 0, line_dedup.BANDS, 1)]
+    batch = pa.RecordBatch.from_pydict({"task": pa.array(dealt[0]["task"], pa.int32()), "entries": dealt[0]["entries"]})
+    assert len(dealt) == 1 and list(line_dedup._bucket_batches(iter([batch]), 80)) == []
+    again = pa.RecordBatch.from_pydict({"task": pa.array([0, 0], pa.int32()), "entries": dealt[0]["entries"] * 2})
+    assert sum(b.num_rows for b in line_dedup._bucket_batches(iter([again]), 80)) == 0
